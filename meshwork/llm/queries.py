@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import license_scan, quality_rules, sentencepiece_codec, sharding
+from meshwork.llm import license_scan, ngram_join, quality_rules, sentencepiece_codec, sharding
 from meshwork.llm.staging import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar(table(spark, folder, "documents"), size=4, num=85, den=100)
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "rejected_by")
@@ -26,5 +30,5 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_sharding, op6_license_scans, op8_sentencepiece)}
-ORACLES = {"op6_license_scans": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op6_license_scans, op8_sentencepiece)}
+ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle()}
