@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import license_scan, ngram_join, quality_rules, sentencepiece_codec, sharding
+from meshwork.llm import license_scan, line_dedup, ngram_join, quality_rules, sentencepiece_codec, sharding
 from meshwork.llm.staging import table
 
 
@@ -26,9 +26,13 @@ def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scanned(table(spark, folder, "documents"), license_scan.known_licenses(spark))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, folder, "documents")).select("doc_id", "line_no", "kind")
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op6_license_scans, op8_sentencepiece)}
-ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op6_license_scans, op7_line_dedup, op8_sentencepiece)}
+ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE}
