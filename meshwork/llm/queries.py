@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import license_scan, line_dedup, ngram_join, quality_rules, sentencepiece_codec, sharding
+from meshwork.llm import license_scan, line_dedup, ngram_join, pivot_index, quality_rules, sentencepiece_codec, sharding, source_mixing
 from meshwork.llm.staging import table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.byte_shards(table(spark, folder, "documents"), 16)
 
 
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mixing.decisions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scanned(table(spark, folder, "documents"), license_scan.known_licenses(spark))
 
@@ -34,5 +38,9 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op6_license_scans, op7_line_dedup, op8_sentencepiece)}
+def op10_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op5_source_mixing, op6_license_scans, op7_line_dedup, op8_sentencepiece, op10_pivot_index)}
 ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE}
