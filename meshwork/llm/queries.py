@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import license_scan, line_dedup, ngram_join, pivot_index, quality_rules, sentencepiece_codec, sharding, source_mixing
+from meshwork.llm import katz_model, license_scan, line_dedup, ngram_join, pivot_index, quality_rules, sentencepiece_codec, sharding, source_mixing
 from meshwork.llm.staging import table
 
 
@@ -38,9 +38,13 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz_model.scored(table(spark, folder, "documents"))
+
+
 def op10_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_index.near_vectors(table(spark, folder, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op5_source_mixing, op6_license_scans, op7_line_dedup, op8_sentencepiece, op10_pivot_index)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op5_source_mixing, op6_license_scans, op7_line_dedup, op8_sentencepiece, op9_katz_scores, op10_pivot_index)}
 ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE}
