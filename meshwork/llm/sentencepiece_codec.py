@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Units in each of the two generations of a worker's cache.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
+#: Symbols from which a unit's agenda is a heap; a shorter one is a plain list in text order, searched for its best pair.
+HEAP_FROM = 40
+NEVER = float("inf")
 
 
 class Codec:
@@ -36,22 +39,47 @@ class Codec:
         plain = [i for i in range(n) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))]
         if any(MARK in self.pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece holds a space mark after another character; units can't be encoded apart")
-        self.rank = {self.pieces[i]: (-library.get_score(i), i) for i in plain}
+        self.rank = {self.pieces[i]: -library.get_score(i) for i in plain}
+        self.id_of = {self.pieces[i]: i for i in plain}
         self.byte_id = {int(self.pieces[i][1:-1], 16): i for i in range(n) if library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.spaced, self.decimal = [x.replace(MARK, " ") for x in self.pieces], [str(i) for i in range(n)]
         self.end, self.unknown = library.eos_id(), library.unk_id()
         self.units: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit."""
-        symbols, rank = list(unit), self.rank
+        symbols = self.merged_in_list(list(unit)) if len(unit) < HEAP_FROM else self.merged_in_heap(list(unit))
+        try:
+            return [self.id_of[s] for s in symbols]
+        except KeyError:
+            ids: list[int] = []
+            for s in symbols:
+                ids += [self.id_of[s]] if s in self.id_of else [self.byte_id.get(b, self.unknown) for b in s.encode()]
+            return ids
+
+    def merged_in_list(self, symbols: list[str]) -> list[str]:
+        rank = self.rank.get
+        agenda = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)  # the leftmost
+            symbols[i] = pair = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + pair, NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(pair + symbols[i + 1], NEVER)
+        return symbols
+
+    def merged_in_heap(self, symbols: list[str]) -> list[str]:
+        rank = self.rank
         left, right = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         agenda = []
         for i in range(len(symbols) - 1):
             pair = symbols[i] + symbols[i + 1]
             if pair in rank:
-                agenda.append((rank[pair][0], i, pair))
+                agenda.append((rank[pair], i, pair))
         heapify(agenda)
         while agenda:
             _, i, pair = heappop(agenda)
@@ -63,19 +91,15 @@ class Codec:
             if k >= 0:
                 left[k] = i
                 if (further := pair + symbols[k]) in rank:
-                    heappush(agenda, (rank[further][0], i, further))
+                    heappush(agenda, (rank[further], i, further))
             if (h := left[i]) >= 0 and (further := symbols[h] + pair) in rank:
-                heappush(agenda, (rank[further][0], h, further))
-        ids = []
-        for s in symbols:
-            if s in rank:
-                ids.append(rank[s][1])
-            elif s:
-                ids += [self.byte_id.get(b, self.unknown) for b in s.encode()]
-        return ids
+                heappush(agenda, (rank[further], h, further))
+        return [s for s in symbols if s]
 
     def text_of(self, ids: list[int]) -> str:
         """Text of a unit's ids, marks as spaces; runs of byte pieces are read as UTF-8."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.spaced[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -91,30 +115,29 @@ class Codec:
 
     def learn(self, units: set[str]) -> None:
         """Encode units that the cache lacks, each checked against the library."""
-        new = [u for u in units if u not in self.units]
-        for u in [u for u in new if u in self.older]:
-            self.units[u] = self.older[u]
-        new = [u for u in new if u not in self.older]
+        new = []
+        for u in units:
+            if u in self.older:
+                self.units[u] = self.older[u]
+            else:
+                new.append(u)
         merged = [self.merge(u) for u in new]
         for u, ours, theirs in zip(new, merged, self.library.encode([u[1:].replace(MARK, " ") for u in new], num_threads=1), strict=True):
             if ours != theirs and u != MARK:  # the library gives no ids for an empty text
                 raise ValueError(f"{u!r} is encoded as {ours}, by the library as {theirs}")
-            self.units[u] = (" ".join(map(str, ours)), len(ours), self.text_of(ours))
+            self.units[u] = (" ".join([self.decimal[i] for i in ours]), len(ours), self.text_of(ours))
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """Decimal ids joined by spaces (the end id last), their number, and the decoded text."""
         if not text:
             return str(self.end), 1, ""
         units = UNIT.findall(MARK + text.replace(" ", MARK))
+        if len(self.units) > CACHE_UNITS:
+            self.older, self.units = self.units, {}
         known = self.units
-        try:
-            found = [known[u] for u in units]
-        except KeyError:
-            if len(known) > CACHE_UNITS:
-                self.older, self.units = known, {}
-                known = self.units
-            self.learn(set(units))
-            found = [known[u] for u in units]
+        if new := set(units).difference(known):
+            self.learn(new)
+        found = [known[u] for u in units]
         ids, counts, parts = zip(*found, strict=True)
         return f"{' '.join(ids)} {self.end}", sum(counts) + 1, "".join(parts)[1:]
 
