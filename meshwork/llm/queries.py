@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import katz_model, license_scan, line_dedup, ngram_join, pivot_index, quality_rules, sentencepiece_codec, sharding, source_mixing
+from meshwork.llm import katz_model, license_scan, line_dedup, ngram_join, pivot_index, quality_rules, sentencepiece_codec, sharding, source_mixing, suffix_dedup
 from meshwork.llm.staging import table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.byte_shards(table(spark, folder, "documents"), 16)
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return source_mixing.decisions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -46,5 +50,5 @@ def op10_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_index.near_vectors(table(spark, folder, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op5_source_mixing, op6_license_scans, op7_line_dedup, op8_sentencepiece, op9_katz_scores, op10_pivot_index)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_source_mixing, op6_license_scans, op7_line_dedup, op8_sentencepiece, op9_katz_scores, op10_pivot_index)}
 ORACLES = {"op1_ngram_jaccard": ngram_join.ORACLE, "op6_license_scans": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE}
