@@ -6,8 +6,8 @@ column among the first n - ceil(n num/den) + 1 of either, so only that block of
 candidate pairs and accumulates their overlaps, and a pair is discarded when its size or the most it can still share
 is too small. The rest of the product is done for surviving pairs only.
 
-Pairs inside a group of near copies would be quadratic, so the first round pairs each row with the smallest row of
-each column; after it, only pairs in different components are left, and the second round takes all of those.
+Pairs inside a group of near copies would be quadratic, so the first round pairs each row with the most central row
+of each column; after it, only pairs in different components are left, and the second round takes all of those.
 """
 
 from __future__ import annotations
@@ -88,21 +88,25 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
-    """(id, n, columns): each set's rarest columns, in the common order, as many as a partner can't avoid."""
+    """(id, n, heart, columns): each set's rarest columns, in the common order, as many as a partner can't avoid.
+
+    ``heart`` is the mean count of the set's columns: the original of many edited copies has more than they."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = sketch.value
         for batch in batches:
-            sizes, parts = [], []
+            sizes, hearts, parts = [], [], []
             for found in shingle_sets(batch.column(1), size):
-                order = np.argsort(load[(found >> U64(44)).astype(np.int64)], kind="stable")
+                loads = load[(found >> U64(44)).astype(np.int64)]
+                order = np.argsort(loads, kind="stable")
                 sizes.append(len(found))
+                hearts.append(int(loads.sum()) // max(len(found), 1))
                 parts.append(found[order[: prefix_length(len(found), num, den)]].astype(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             columns = pa.ListArray.from_arrays(pa.array(ends), _ints(np.concatenate(parts) if parts else np.empty(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), columns], names=["id", "n", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hearts, pa.int64()), columns], names=["id", "n", "heart", "columns"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, columns array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, heart long, columns array<long>")
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -164,17 +168,21 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
         _prefixes(docs, size, num, den, sketch)
         .where("n > 0")
         .join(reps, "id", "left_semi")
-        .select("id", "n", F.posexplode("columns").alias("place", "gram"))
-        .select("gram", "id", F.expr("shiftleft(n, 32) | place").alias("at"))
+        .select("id", "n", "heart", F.posexplode("columns").alias("place", "gram"))
+        .select("gram", "id", "heart", F.expr("shiftleft(n, 32) | place").alias("at"))
     )
     of_column = Window.partitionBy("gram")
-    shared = entries.withColumns({"first": F.min(F.struct("id", "at")).over(of_column), "last": F.max("id").over(of_column)})
-    shared = staged(shared.where("first.id != last").drop("last"), "ngram-shared")
+    shared = entries.withColumns({"first": F.min(F.struct((-F.col("heart")).alias("less"), "id", "at")).over(of_column), "low": F.min("id").over(of_column), "high": F.max("id").over(of_column)})
+    shared = staged(shared.where("low != high").drop("low", "high", "heart"), "ngram-shared")
     sized = lambda x, y: f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})"
     n_of = lambda x: f"shiftright({x}, 32)"
 
-    sets = staged(_sets(docs, size, shared.select("id").distinct()).dropDuplicates(["id", "grams"]), "ngram-sets")
-    stars = shared.where("id != first.id").where(sized(n_of("at"), n_of("first.at"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    # From a shared column on, two sets share at most what is left of either.
+    reaching = lambda x, y: f"{den + num} * least({n_of(x)} - ({x} & 4294967295L), {n_of(y)} - ({y} & 4294967295L)) >= {num} * ({n_of(x)} + {n_of(y)})"
+
+    sets = staged(_sets(docs, size, shared.select("id").distinct()), "ngram-sets")
+    stars = shared.where("id != first.id").where(sized(n_of("at"), n_of("first.at"))).where(reaching("at", "first.at"))
+    stars = stars.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
     stars = staged(stars, "ngram-stars")
     links = staged(_links(stars, sets, num, den), "ngram-links")
     found = components(links)
@@ -185,14 +193,14 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
     mixed = staged(placed.join(tally.where("parts > 1"), "gram").drop("parts"), "ngram-mixed")
     x = mixed.select("gram", *[F.col(k).alias(f"x_{k}") for k in ("id", "at", "c")], (F.col("c") != F.col("main")).alias("x_apart"))
     y = mixed.where("c != main").select("gram", *[F.col(k).alias(f"y_{k}") for k in ("id", "at", "c")])
-    met = x.join(y, "gram").where("x_c != y_c and (not x_apart or x_id < y_id)").where(sized(n_of("x_at"), n_of("y_at")))
+    met = x.join(y, "gram").where("x_c != y_c and (not x_apart or x_id < y_id)").where(sized(n_of("x_at"), n_of("y_at"))).where(reaching("x_at", "y_at"))
     turned = F.col("x_id") < F.col("y_id")
     overlap = (
         met.select(
             F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"),
             F.when(turned, F.col("x_at")).otherwise(F.col("y_at")).alias("at_a"), F.when(turned, F.col("y_at")).otherwise(F.col("x_at")).alias("at_b"),
         )
-        .groupBy("a", "b")
+        .groupBy("a", "b")  # a column out of reach comes after all that are within, so none before the last is missing
         .agg(F.count("*").alias("sum"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     )
     rest = lambda at: f"(shiftright({at}, 32) - 1 - ({at} & 4294967295L))"
