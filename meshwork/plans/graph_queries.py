@@ -245,13 +245,13 @@ def ranked_region_pairs(spark, folder):
     return rounded(regions.ranked_pairs(V.measured_edges(spark, folder)))
 
 
-@query("""select region, round(sum(case when region <> o then micro else 0 end) / 1000000, 5) strength, round(sum(case when region = o then micro else 0 end) / 1000000, 5) internal, count(distinct o) filter (region <> o) partners,
+@query("""select region, round(sum(case when region <> o then micro else 0 end) / 1000000, 3) strength, round(sum(case when region = o then micro else 0 end) / 1000000, 3) internal, count(distinct o) filter (region <> o) partners,
  round(sum(case when region <> o then micro else 0 end) / (select 2 * sum(micro) from mm where src_region <> dst_region), 6) strength_share
  from (select src_region region, dst_region o, micro from mm union all select dst_region, src_region, micro from mm where src_region <> dst_region) group by 1""")
 def region_strength(spark, folder):
     """A30, J15's sums."""
     s = regions.region_strength(V.measured_edges(spark, folder))
-    return s.withColumns({"strength": F.round("strength", 5), "internal": F.round("internal", 5), "strength_share": F.round("strength_share", 6)})
+    return s.withColumns({"strength": F.round("strength", 3), "internal": F.round("internal", 3), "strength_share": F.round("strength_share", 6)})
 
 
 @query("select count(*) edges, round(sum(micro) / 1000000, 5) wire, count(*) filter (src_region = dst_region) edges_inside, round(sum(micro) filter (src_region = dst_region) / 1000000, 5) wire_inside from mm")
@@ -332,7 +332,7 @@ def route_counts(spark, folder):
 
 
 @query("""select top_fraction, sum(i * o)::bigint routes from (select top_fraction, hub, count(*) filter (layer in ('brain-descending', 'vnc-ascending')) i, count(*) filter (layer in ('descending-vnc', 'ascending-brain')) o
- from lay join rich on rich.node = partner, (select t top_fraction, (select quantile_cont(richness, 1 - t) from rich0 where member) cut from (values (0.05::double), (0.1::double), (0.2::double), (0.5::double)) v(t)) where member and richness >= cut group by 1, 2) group by 1""")
+ from lay join rich on rich.node = partner, (select unnest([0.05::double, 0.1::double, 0.2::double, 0.5::double]) top_fraction, unnest(quantile_cont(richness, [0.95, 0.9, 0.8, 0.5])) cut from rich0 where member) where member and richness >= cut group by 1, 2) group by 1""")
 def route_threshold_curve(spark, folder):
     """N24."""
     return E.route_threshold_curve(V.measured_edges(spark, folder), V.fine_nodes(spark, folder), [0.05, 0.1, 0.2, 0.5])
