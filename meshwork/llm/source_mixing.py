@@ -148,5 +148,7 @@ def decisions(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as its copies say."""
-    found = weighed(docs, labels, **options).where("mix_copies > 0")
-    return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # An outer explode, as a filter on the copies would be pushed below and repeat the posterior's expression many times.
+    found = weighed(docs, labels, **options)
+    some = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))
+    return found.withColumn("mix_copy", F.explode_outer(some)).where("mix_copy is not null").select(*[F.col(f"`{c}`") for c in docs.columns])
