@@ -27,7 +27,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    line = F.btrim(F.lower("line"), F.lit(BLANKS))
+    line = F.btrim("line", F.lit(BLANKS))
     return lines.select("doc", "no", line.alias("line")).where("line != ''").select("doc", "no", F.split("line", r"[\x20\x09-\x0D]+").alias("words"))
 
 
@@ -56,74 +56,70 @@ def _rank(lines: DataFrame) -> Column:
 
 
 def _matches(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (doc, no, at_doc, at_no) of which the whole sets reach the similarity, with their shared tokens and sizes."""
-    one = sets.select("doc", "no", F.col("keys").alias("x"))
-    two = sets.select(F.col("doc").alias("at_doc"), F.col("no").alias("at_no"), F.col("keys").alias("y"))
-    sized = pairs.join(one, ["doc", "no"]).join(two, ["at_doc", "at_no"]).select(
-        "doc", "no", "at_doc", "at_no", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both")
-    )
-    return sized.where(f"{den} * shared >= {num} * (both - shared)").select("doc", "no", "at_doc", "at_no", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
+    """The pairs (later, earlier) of lines whose whole sets reach the similarity."""
+    one = sets.select(F.col("line").alias("later"), F.col("keys").alias("x"))
+    two = sets.select(F.col("line").alias("earlier"), F.col("keys").alias("y"))
+    sized = pairs.join(one, "later").join(two, "earlier").select("later", "earlier", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return sized.where(f"{den} * shared >= {num} * (both - shared)").select("later", "earlier", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
 
 
 def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that match an earlier line (smaller id, or the same id and earlier line), judged on the input.
 
-    Returns id, line_no (from 0), kind ('equal': the same words; 'near': Jaccard similarity ``num / den`` or more),
-    earlier_id, earlier_line_no (the earliest of the matches found) and similarity. Lines are split at ``\\n`` and
-    lower-cased; a line without a word matches nothing. Null texts have no lines; rows with a null id are left out.
-    Rows that share an id and a text have the same lines, reported once; where texts differ under an id, their lines
-    share numbers. Empty table: no rows. Other columns are ignored.
+    Returns id, line_no (from 0), kind ('equal': the same words; 'near': Jaccard similarity ``num / den`` or more, with
+    no equal line before), earlier_id, earlier_line_no (the earliest of the matches found) and similarity. Lines are
+    split at ``\\n``; words keep their case; a line without a word matches nothing. Null texts have no lines; rows with
+    a null id are left out. Rows that share an id and a text have the same lines, reported once; where texts differ
+    under an id, their lines share numbers. Empty table: no rows. Other columns are ignored. Lines are told apart by
+    64-bit hash.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     lines = _lines(docs)
     rank = _rank(lines)
 
-    keyed = lines.select("doc", "no", F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"))
-    equal = staged(
-        keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("m")).select("k1", "k2", "f.doc", "f.no", "m"), "line-first"
-    )
-    later = keyed.join(equal.where("m > 1").select("k1", "k2", F.col("doc").alias("at_doc"), F.col("no").alias("at_no")), ["k1", "k2"]).where("doc != at_doc or no != at_no")
+    keyed = staged(lines.select("doc", "no", F.xxhash64("words").alias("line")), "line-keyed")
+    firsts = staged(keyed.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("at"), F.count("*").alias("m")).select("line", "at.doc", "at.no", "m"), "line-firsts")
+    later = keyed.join(firsts.where("m > 1").select("line", F.col("doc").alias("at_doc"), F.col("no").alias("at_no")), "line").where("doc != at_doc or no != at_no")
     later = later.select("doc", "no", "at_doc", "at_no").dropDuplicates(["doc", "no"])
 
-    keys = lines.select("doc", "no", _tokens("words").alias("tokens")).select("doc", "no", _keys(rank, "tokens").alias("keys"))
+    keys = lines.select(F.xxhash64("words").alias("line"), _tokens("words").alias("tokens")).select("line", _keys(rank, "tokens").alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
-    entries = keys.select("doc", "no", n.alias("n"), F.posexplode(prefix).alias("place", "key")).select(
-        F.hash("key").alias("key"), "doc", "no", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("at")
-    )
+    entries = keys.select("line", n.alias("n"), F.posexplode(prefix).alias("place", "key")).select(F.hash("key").alias("key"), "line", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("at"))
     under = Window.partitionBy("key")
-    shared = entries.withColumns({"first": F.min(F.struct("doc", "no", "at")).over(under), "last": F.max(F.struct("doc", "no")).over(under)})
-    shared = shared.where("first.doc != last.doc or first.no != last.no").drop("last")
-    shared = staged(shared.join(equal.select("doc", "no"), ["doc", "no"], "left_semi"), "line-shared")
+    shared = entries.withColumns({"low": F.min("line").over(under), "high": F.max("line").over(under)}).where("low != high").select("key", "line", "at").distinct()
+    # Place the lines that share a key by their first occurrence; the earliest under a key is the centre of its star.
+    shared = shared.join(firsts.select("line", F.struct("doc", "no").alias("first")), "line")
+    shared = staged(shared.withColumn("centre", F.min(F.struct("first", "line", "at")).over(under)), "line-shared")
 
     size = lambda at: f"shiftright({at}, 32)"
     rest = lambda at: f"({size(at)} - ({at} & 4294967295L))"
     fits = lambda a, b: f"{den} * least({size(a)}, {size(b)}) >= {num} * greatest({size(a)}, {size(b)})"
     placed = lambda a, b: f"{den + num} * least({rest(a)}, {rest(b)}) >= {num} * ({size(a)} + {size(b)})"
 
-    # Equal lines have the same keys, so the earliest line under a key is the first of its kind.
-    stars = shared.where("doc != first.doc or no != first.no").where(fits("at", "first.at")).where(placed("at", "first.at"))
-    stars = staged(stars.select("doc", "no", F.col("first.doc").alias("at_doc"), F.col("first.no").alias("at_no")).distinct(), "line-stars")
-    near = staged(_matches(stars, _sets(docs, stars, rank), num, den), "line-near")
+    sets = staged(_sets(docs, shared.select("line", "first.doc", "first.no").distinct(), rank), "line-sets")
+    stars = shared.where("line != centre.line").where(fits("at", "centre.at")).where(placed("at", "centre.at"))
+    stars = staged(stars.select(F.col("line").alias("later"), F.col("centre.line").alias("earlier")).distinct(), "line-stars")
+    near = staged(_matches(stars, sets, num, den), "line-near")
 
-    waiting = shared.drop("first").join(near.select("doc", "no"), ["doc", "no"], "left_anti")
-    earlier = shared.select("key", F.col("doc").alias("at_doc"), F.col("no").alias("at_no"), F.col("at").alias("at_at"))
-    pairs = waiting.join(earlier, "key").where("at_doc < doc or (at_doc = doc and at_no < no)").where(fits("at", "at_at")).where(placed("at", "at_at"))
-    pairs = staged(pairs.select("doc", "no", "at_doc", "at_no").distinct().join(stars, ["doc", "no", "at_doc", "at_no"], "left_anti"), "line-pairs")
-    near = near.unionByName(_matches(pairs, _sets(docs, pairs, rank), num, den))
-    near = near.groupBy("doc", "no").agg(F.min(F.struct("at_doc", "at_no", "similarity")).alias("e"))
+    waiting = shared.drop("centre").join(near.select(F.col("later").alias("line")), "line", "left_anti").withColumnRenamed("line", "later")
+    others = shared.select("key", F.col("line").alias("earlier"), F.col("first").alias("other_first"), F.col("at").alias("other_at"))
+    pairs = waiting.join(others, "key").where("other_first < first").where(fits("at", "other_at")).where(placed("at", "other_at"))
+    pairs = pairs.select("later", "earlier").distinct().join(stars, ["later", "earlier"], "left_anti")
+    near = near.unionByName(_matches(pairs, sets, num, den))
 
+    where = firsts.select(F.col("line").alias("l"), "doc", "no")
+    near = near.join(where.withColumnRenamed("l", "earlier").select("earlier", F.struct("doc", "no").alias("e")), "earlier")
+    near = near.groupBy("later").agg(F.min(F.struct("e", "similarity")).alias("m")).join(where.withColumnRenamed("l", "later"), "later")
     result = lambda kind, d, k, s: [F.col("doc").alias(id_col), F.col("no").alias("line_no"), F.lit(kind).alias("kind"), F.col(d).alias("earlier_id"), F.col(k).alias("earlier_line_no"), s.alias("similarity")]
-    return later.select(*result("equal", "at_doc", "at_no", F.lit(1.0))).unionByName(near.select(*result("near", "e.at_doc", "e.at_no", F.col("e.similarity"))))
+    return later.select(*result("equal", "at_doc", "at_no", F.lit(1.0))).unionByName(near.select(*result("near", "m.e.doc", "m.e.no", F.col("m.similarity"))))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, rank: Column) -> DataFrame:
-    """(doc, no, keys): the whole token sets of the lines in ``pairs``."""
-    wanted = pairs.select("doc", "no").unionByName(pairs.select(F.col("at_doc").alias("doc"), F.col("at_no").alias("no")))
-    wanted = wanted.groupBy("doc").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
-    lines = docs.join(wanted, "doc").select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"), "wanted").where(F.array_contains("wanted", F.col("no")))
-    lines = _words(lines)
-    return lines.select("doc", "no", _tokens("words").alias("tokens")).select("doc", "no", _keys(rank, "tokens").alias("keys")).dropDuplicates(["doc", "no"])
+def _sets(docs: DataFrame, wanted: DataFrame, rank: Column) -> DataFrame:
+    """(line, keys): the whole token sets of the lines at the places (doc, no) in ``wanted``."""
+    per = wanted.groupBy("doc").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
+    lines = docs.join(per, "doc").select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"), "wanted").where(F.array_contains("wanted", F.col("no")))
+    return _words(lines).select(F.xxhash64("words").alias("line"), _tokens("words").alias("tokens")).select("line", _keys(rank, "tokens").alias("keys")).dropDuplicates(["line"])
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
@@ -147,7 +143,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 #: DuckDB SQL for the repeated lines' places.
 ORACLE = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(0, len(string_split(text, chr(10))))) no from documents),
-w as (select doc_id, no, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from l),
+w as (select doc_id, no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from l),
 s as (select doc_id, no, case when len(ws) < 5 then [array_to_string(ws, ' ')]
   else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end sh, ws from w where len(ws) > 0),
 d as (select min((doc_id, no)) f, ws, any_value(sh) sh from s group by ws),
