@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.sources.sinks import checkpointed
+
 
 def running(frame: DataFrame, value: str, *order: Column, parts: int = 64) -> DataFrame:
     """``frame`` with nth (from 1), upto (running sum of ``value``), rows and total, in the given order.
@@ -124,7 +126,7 @@ def rank_among(frame: DataFrame, value: str, *by: str) -> DataFrame:
 def average_ranks(frame: DataFrame, *values: str) -> DataFrame:
     """``frame`` with rank_<value>: places from 1, ties sharing their mean. Distinct values are ranked, from their counts."""
     for v in values:
-        counts = frame.groupBy(v).agg(F.count("*").alias("_m"))
+        counts = checkpointed(frame.groupBy(v).agg(F.count("*").alias("_m")))
         ran = running(counts, "_m", F.col(v))
         frame = frame.join(ran.select(v, (F.col("upto") - (F.col("_m") - 1) / 2).alias(f"rank_{v}")), v)
     return frame
@@ -134,7 +136,7 @@ def suggestions(nodes: DataFrame, typed: str, limit: int = 8) -> DataFrame:
     """Names that begin with the typed text (shortest, then by name) before names that hold it (by place, length, name)."""
     name, t = F.lower("node"), typed.lower()
     at = F.instr(name, t)
-    return nodes.select("node").where(at > 0).withColumns({"at": at, "size": F.length("node")}).orderBy(F.when(F.col("at") == 1, 0).otherwise(1), F.when(F.col("at") == 1, 0).otherwise(F.col("at")), "size", "node").limit(limit).select("node", "at")
+    return nodes.select("node").where(at > 0).withColumns({"place": at, "size": F.length("node")}).orderBy("place", "size", "node").limit(limit).select("node", "place")
 
 
 def resolved(nodes: DataFrame, asked: str) -> DataFrame:

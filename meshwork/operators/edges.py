@@ -203,7 +203,7 @@ def distance_to_centroid(nodes: DataFrame, *scope: str) -> DataFrame:
 
 
 def crosstab(nodes: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    return nodes.groupBy(row).pivot(column, values).agg(F.count("*")).fillna(0)
+    return nodes.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meshwork.functions.expressions import distance, draw, sigmoid
 from meshwork.operators.analytic import running
 from meshwork.operators.edges import degrees
+from meshwork.sources.sinks import checkpointed
 
 #: Nested models by the columns they use.
 MODELS = {
@@ -55,7 +56,7 @@ def fit(design: DataFrame, columns: list[str], strength: float = 1.0):
     """L2-regularised logistic regression, intercept free. ``design`` is encoded; returns the model and scored rows."""
     ready = VectorAssembler(inputCols=columns, outputCol="features").transform(design)
     n = ready.count()
-    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(ready)
+    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=30, tol=1e-6).fit(ready)
     return model, model.transform(ready).withColumn("p", vector_to_array("probability")[1]).drop("features", "probability", "rawPrediction", "prediction")
 
 
@@ -69,7 +70,7 @@ def fit_statistics(scored: DataFrame, columns: int) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve by average ranks."""
-    counts = scored.groupBy("p").agg(F.count("*").alias("m"), F.sum("label").alias("g"))
+    counts = checkpointed(scored.groupBy("p").agg(F.count("*").alias("m"), F.sum("label").alias("g")))
     ran = running(counts, "m", F.col("p")).withColumn("r", F.col("upto") - (F.col("m") - 1) / 2)
     s = ran.agg(F.sum(F.col("r") * F.col("g")).alias("r"), F.sum("g").alias("n1"), F.sum(F.col("m") - F.col("g")).alias("n0"))
     return s.select(((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))

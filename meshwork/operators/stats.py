@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions import tails
 from meshwork.operators.analytic import average_ranks, running
+from meshwork.sources.sinks import checkpointed
 
 
 @F.pandas_udf("double")
@@ -34,7 +35,7 @@ def fisher_tail(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Ser
 
 def spearman(frame: DataFrame, a: str, b: str) -> DataFrame:
     """n and rank correlation, ties sharing their mean rank; rows with a null are left out."""
-    ranked = average_ranks(frame.select(a, b).dropna(), a, b)
+    ranked = average_ranks(checkpointed(frame.select(a, b).dropna()), a, b)
     return ranked.agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
 
 
@@ -46,14 +47,14 @@ def pearson_log10(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 def partial_spearman(frame: DataFrame, a: str, b: str, given: str) -> DataFrame:
     """Rank correlation of a and b after ranks of ``given`` are regressed out of both."""
-    ranked = average_ranks(frame.select(a, b, given).dropna(), a, b, given)
+    ranked = average_ranks(checkpointed(frame.select(a, b, given).dropna()), a, b, given)
     c = ranked.agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("ab"), F.corr(f"rank_{a}", f"rank_{given}").alias("ag"), F.corr(f"rank_{b}", f"rank_{given}").alias("bg"))
     return c.select("n", ((F.col("ab") - F.col("ag") * F.col("bg")) / F.sqrt((1 - F.col("ag") * F.col("ag")) * (1 - F.col("bg") * F.col("bg")))).alias("rho"))
 
 
 def mann_whitney(frame: DataFrame, value: str, group: str) -> DataFrame:
     """U of rows with the group true against the others, and its tie-corrected normal score."""
-    counts = frame.groupBy(value).agg(F.count("*").alias("m"), F.count_if(F.col(group)).alias("g"))
+    counts = checkpointed(frame.groupBy(value).agg(F.count("*").alias("m"), F.count_if(F.col(group)).alias("g")))
     ran = running(counts, "m", F.col(value)).withColumn("r", F.col("upto") - (F.col("m") - 1) / 2)
     sums = ran.agg(F.sum("g").cast("double").alias("n1"), F.sum(F.col("m") - F.col("g")).cast("double").alias("n2"), F.sum(F.col("r") * F.col("g")).alias("rank_sum"), F.sum((F.col("m") * F.col("m") * F.col("m") - F.col("m")).cast("double")).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
@@ -66,20 +67,20 @@ def mann_whitney(frame: DataFrame, value: str, group: str) -> DataFrame:
 def contingency(frame: DataFrame, row: str, column: str) -> DataFrame:
     """Counts of a 2 x 2 table of booleans and the sample odds ratio (null if a product is 0)."""
     r, c = F.col(row), F.col(column)
-    t = frame.agg(F.count_if(r & c).alias("both"), F.count_if(r & ~c).alias("row_only"), F.count_if(~r & c).alias("column_only"), F.count_if(~r & ~c).alias("neither"))
-    return t.withColumn("odds_ratio", (F.col("both") * F.col("neither")) / F.nullif((F.col("row_only") * F.col("column_only")).cast("double"), F.lit(0.0)))
+    t = frame.agg(F.count_if(r & c).alias("row_and_column"), F.count_if(r & ~c).alias("row_only"), F.count_if(~r & c).alias("column_only"), F.count_if(~r & ~c).alias("neither"))
+    return t.withColumn("odds_ratio", (F.col("row_and_column") * F.col("neither")) / F.nullif((F.col("row_only") * F.col("column_only")).cast("double"), F.lit(0.0)))
 
 
 def fisher(frame: DataFrame, row: str, column: str) -> DataFrame:
     """One-sided exact test of a 2 x 2 table."""
     t = contingency(frame, row, column)
-    total = F.col("both") + F.col("row_only") + F.col("column_only") + F.col("neither")
-    return t.withColumn("p", fisher_tail("both", total, F.col("both") + F.col("column_only"), F.col("both") + F.col("row_only")))
+    total = F.col("row_and_column") + F.col("row_only") + F.col("column_only") + F.col("neither")
+    return t.withColumn("p", fisher_tail("row_and_column", total, F.col("row_and_column") + F.col("column_only"), F.col("row_and_column") + F.col("row_only")))
 
 
 def ks_distance(frame: DataFrame, value: str, group: str) -> DataFrame:
     """Greatest distance of the two groups' distribution functions, from counts of distinct values."""
-    counts = frame.groupBy(value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
+    counts = checkpointed(frame.groupBy(value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b")))
     ran = running(counts, "a", F.col(value)).select(value, "b", F.col("upto").alias("ua"), F.col("total").alias("ta"))
     ran = running(ran, "b", F.col(value))
     return ran.agg(F.max(F.abs(F.col("ua") / F.col("ta") - F.col("upto") / F.col("total"))).alias("ks"))

@@ -370,12 +370,12 @@ def degree_and_wire(spark, folder):
     return rounded(E.degree_and_wire(V.measured_edges(spark, folder), V.fine_nodes(spark, folder)))
 
 
-@query("""select superclass, count(*) edges, round(sum(micro) / 1000000, 5) wire, round(sum(micro) / (select sum(micro) from mm), 6) wire_share, round(sum(micro) / 1000000 / count(*), 6) mean, round(quantile_cont(length, 0.5), 6) median
+@query("""select superclass, count(*) edges, round(sum(micro) / 1000000, 3) wire, round(sum(micro) / (select sum(micro) from mm), 6) wire_share, round(sum(micro) / 1000000 / count(*), 6) mean, round(quantile_cont(length, 0.5), 6) median
  from (select src_superclass superclass, micro, length from mm union all select dst_superclass, micro, length from mm where src_superclass <> dst_superclass) group by 1""")
 def class_ownership(spark, folder):
     """A21, P20."""
     o = E.ownership(V.measured_edges(spark, folder))
-    return rounded(o.withColumn("wire", F.round("wire", 5)))
+    return rounded(o.withColumn("wire", F.round("wire", 3)))
 
 
 @query("select case when src_role <> 'none' then src else dst end node, count(*) crossing_edges, round(sum(micro) / 1000000, 6) price, round(sum(micro) / 1000000 / count(*), 6) mean_length from crossed where crossing group by 1")
