@@ -123,12 +123,17 @@ def base_failed():
 
 
 def rungs_passed(rule: str):
-    """How many rungs of the rule the document is above (it is rejected by a chosen rung r, from 1, if at least r)."""
+    """How many of the rule's cutoffs the document is above; a chosen rung r, counted from 1 at the lenient end, rejects it
+    if these are at least ``reach(rule, r)``, as the strict cutoffs are the low ones."""
     ratio, ladder = RULES[rule]
     value = F.expr(f"{ratio.split(' / ')[0]} / cast(nullif({ratio.split(' / ')[1]}, 0) as double)")
     return sum((F.when(value > c, 1).otherwise(0) for c in ladder), F.lit(0))
 
 
+def reach(rule: str, rung: int) -> int:
+    return len(RULES[rule][1]) - rung + 1
+
+
 def choose(group: pd.DataFrame, strata: int, risk: float, error: float) -> dict[str, int]:
     """The strictest safe rung of each rule (0: none) from counts of good documents by rule and rungs passed."""
     chosen = {}
@@ -136,7 +141,7 @@ def choose(group: pd.DataFrame, strata: int, risk: float, error: float) -> dict[
         by = group[group["rule"] == rule].groupby("rungs")["n"].sum().to_dict()
         n, chosen[rule] = sum(by.values()), 0
         for rung in range(1, len(ladder) + 1):
-            wrong = sum(v for k, v in by.items() if k >= rung)
+            wrong = sum(v for k, v in by.items() if k >= reach(rule, rung))
             if n == 0 or binomial_cdf(wrong, n, risk / len(RULES)) > error / (strata * len(RULES)):
                 break
             chosen[rule] = rung
@@ -173,7 +178,7 @@ def judged(
     cuts = counts.groupBy("stratum").applyInPandas(cutoffs, "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
     verdict = features.join(cuts, "stratum", "left")
     hit = F.filter(
-        F.array(*[F.when((F.col(f"cut_{r}") > 0) & (F.col(f"rungs_{r}") >= F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
+        F.array(*[F.when((F.col(f"cut_{r}") > 0) & (F.col(f"rungs_{r}") >= F.lit(reach(r, 0)) - F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
     )
     return (
         verdict.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(hit))
@@ -183,7 +188,9 @@ def judged(
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; a repeated id is kept if any of its rows is (equal texts fare alike)."""
-    id_col = options.get("id_col", "doc_id")
-    bad = judged(docs, labels, **options).where(~F.col("kept")).select(F.col(id_col).alias("bad_id"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` that the rules keep. Rows equal in id and text fare alike; null ids are judged by row too."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    digest = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    found = judged(docs.select(id_col, text_col, options.get("stratum_col", "lang"), digest.alias("text_digest")), labels, **options)
+    bad = found.where(~F.col("kept")).select(F.col(id_col).alias("bad_id"), F.col("text_digest").alias("bad_digest"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (digest == bad["bad_digest"]), "left_anti")
