@@ -259,9 +259,21 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     settled = docs.mapInArrow(emit, SENT_SCHEMA).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(settle, OUT_SCHEMA)
     settled = staged(settled, "suffix-settled")
-    words = settled.where("word is not null").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # BITS / 64 rows at most
+    strip = 1 << 12  # words of the bitmap in a row
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strips: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, bits = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            for s in np.unique(word // strip).tolist():
+                own = word // strip == s
+                np.bitwise_or.at(strips.setdefault(s, np.zeros(strip, np.int64)), word[own] % strip, bits[own])
+        yield pa.RecordBatch.from_arrays([pa.array(list(strips), pa.int32()), pa.array([x.tobytes() for x in strips.values()], pa.binary())], names=["strip", "words"])
+
+    words = settled.where("word is not null").select("word", "bits").repartition(parts, F.expr(f"word div {strip}")).mapInArrow(merge, "strip int, words binary")
     bitmap = np.zeros(BITS // 64, np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for row in words.collect():  # BITS bits in all
+        bitmap[row["strip"] * strip : (row["strip"] + 1) * strip] = np.frombuffer(row["words"], np.int64)
     marked = spark.sparkContext.broadcast(bitmap)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
