@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from meshwork.functions import tails
 from meshwork.operators.analytic import average_ranks, running
 from meshwork.sources.sinks import checkpointed
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation; for result rows."""
 
@@ -23,12 +24,12 @@ def t_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, m) for r, m in zip(rho, n)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(tails.normal_upper)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_tail(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series([tails.hypergeometric_upper(*map(int, row)) for row in zip(k, total, marked, drawn)])
 
@@ -80,9 +81,9 @@ def fisher(frame: DataFrame, row: str, column: str) -> DataFrame:
 
 def ks_distance(frame: DataFrame, value: str, group: str) -> DataFrame:
     """Greatest distance of the two groups' distribution functions, from counts of distinct values."""
-    counts = checkpointed(frame.groupBy(value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b")))
-    ran = running(counts, "a", F.col(value)).select(value, "b", F.col("upto").alias("ua"), F.col("total").alias("ta"))
-    ran = running(ran, "b", F.col(value))
+    counts = checkpointed(frame.groupBy(value).agg(F.count_if(F.col(group)).alias("_a"), F.count_if(~F.col(group)).alias("_b")))
+    ran = running(counts, "_a", F.col(value)).select(value, "_b", F.col("upto").alias("ua"), F.col("total").alias("ta"))
+    ran = running(ran, "_b", F.col(value))
     return ran.agg(F.max(F.abs(F.col("ua") / F.col("ta") - F.col("upto") / F.col("total"))).alias("ks"))
 
 
