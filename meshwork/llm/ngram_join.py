@@ -180,11 +180,11 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
     # From a shared column on, two sets share at most what is left of either.
     reaching = lambda x, y: f"{den + num} * least({n_of(x)} - ({x} & 4294967295L), {n_of(y)} - ({y} & 4294967295L)) >= {num} * ({n_of(x)} + {n_of(y)})"
 
-    sets = staged(_sets(docs, size, shared.select("id").distinct()), "ngram-sets")
     stars = shared.where("id != first.id").where(sized(n_of("at"), n_of("first.at"))).where(reaching("at", "first.at"))
     stars = stars.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
     stars = staged(stars, "ngram-stars")
-    links = staged(_links(stars, sets, num, den), "ngram-links")
+    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = staged(_links(stars, staged(_sets(docs, size, ids(stars)), "ngram-sets"), num, den), "ngram-links")
     found = components(links)
 
     # Second round: columns whose rows are still in several components; every pair has a row outside the column's largest one.
@@ -206,7 +206,8 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
     rest = lambda at: f"(shiftright({at}, 32) - 1 - ({at} & 4294967295L))"
     most = f"(sum + least({rest('at_a')}, {rest('at_b')}))"
     open_pairs = overlap.where(f"{den + num} * {most} >= {num} * (shiftright(at_a, 32) + shiftright(at_b, 32))")
-    more = _links(open_pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"), sets, num, den)
+    open_pairs = staged(open_pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"), "ngram-open")
+    more = _links(open_pairs, staged(_sets(docs, size, ids(open_pairs)), "ngram-sets"), num, den)
     # Links of the first round are now its components' stars: the second adds few.
     found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
