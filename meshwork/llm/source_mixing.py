@@ -20,7 +20,9 @@ from meshwork.llm.staging import staged
 FIT_DOCS, CELLS, EVIDENCE = 4000, 4096, 40
 #: Steps at most, the relative residual change at which they end, and steps between written rates.
 STEPS, CLOSE, WRITE_EVERY = 40, 1e-7, 10
-TARGETS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
+TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+#: The greatest rate: a domain that is rarer than its target isn't made up by endless repeats.
+MOST = 2.0
 SEED = 20
 
 
@@ -72,14 +74,15 @@ def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]
 
 
 def step(rate: Column, change: list[float]) -> Column:
-    """One projected step: the rate less a combination of the document's posteriors, not below 0."""
-    return F.greatest(F.lit(0.0), rate - sum((F.col("mix_p")[d] * F.lit(c) for d, c in enumerate(change)), F.lit(0.0)))
+    """One projected step: the rate less a combination of the document's posteriors, from 0 to MOST."""
+    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), rate - sum((F.col("mix_p")[d] * F.lit(c) for d, c in enumerate(change)), F.lit(0.0))))
 
 
 def solved(members: DataFrame, targets: list[float]) -> list[list[float]]:
     """The changes of the projected-gradient steps from rate 1. ``members`` has mix_n and mix_p.
 
-    ``targets`` are weights; the total is such that the heaviest domain keeps its tokens. Residuals are measured in
+    ``targets`` are weights; the total is such that the heaviest domain keeps its tokens, and no domain is
+    asked for more than MOST times its own. Residuals are measured in
     the inverse of the domains' second moments, in which the unprojected problem takes one step.
     """
     d = len(targets)
@@ -87,7 +90,7 @@ def solved(members: DataFrame, targets: list[float]) -> list[list[float]]:
     moments = members.agg(*[F.sum(F.col("mix_n") * p(i) * p(j)).alias(f"m{i}_{j}") for i in range(d) for j in range(d)], *[F.sum(F.col("mix_n") * p(i)).alias(f"t{i}") for i in range(d)]).first()
     now = np.array([moments[f"t{i}"] or 0.0 for i in range(d)])
     heaviest = int(np.argmax(targets))
-    wanted = np.array(targets) / targets[heaviest] * now[heaviest]
+    wanted = np.minimum(np.array(targets) / targets[heaviest] * now[heaviest], MOST * now)
     second = np.array([[moments[f"m{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)])
     inverse = np.linalg.pinv(second, rcond=1e-9, hermitian=True)
     changes: list[list[float]] = []

@@ -307,16 +307,16 @@ def test_source_mixing(docs, clashing, labels, spark):
     assert len(got) == len(DOCS)
     p = np.array([[r[f"p_{d}"] for d in names] for r in got])
     n, rate = np.array([r["n_tokens"] for r in got]), np.array([r["rate"] for r in got])
-    assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
+    assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all() and (rate <= source_mixing.MOST).all()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {d[0]: len(words(d[1])) for d in DOCS}
     # The same projected steps in numpy from the same posteriors.
     t0 = n @ p
     target = np.array([source_mixing.TARGETS[d] for d in names])
-    wanted = target / target.max() * t0[target.argmax()]
+    wanted = np.minimum(target / target.max() * t0[target.argmax()], source_mixing.MOST * t0)
     inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9, hermitian=True)
     x = np.ones(len(n))
     for _ in range(200):
-        x = np.maximum(0, x - p @ (inverse @ ((x * n) @ p - wanted)))
+        x = np.clip(x - p @ (inverse @ ((x * n) @ p - wanted)), 0, source_mixing.MOST)
     assert np.allclose((rate * n) @ p, (x * n) @ p, rtol=1e-3)
     assert np.abs((rate * n) @ p - wanted).sum() <= np.abs(t0 - wanted).sum()
     copies = {r["doc_id"]: r["copies"] for r in got}
