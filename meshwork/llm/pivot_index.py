@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its PREFIX nearest reference points (pivots) out of a bounded sample that is thinned so that
-no two pivots are close. Two vectors meet in the inverted list of each two pivots that both descriptions hold, so they
+A vector is described by its PREFIX nearest reference points (pivots) out of a bounded sample of its length that is
+thinned so that no two pivots are close, as long as PREFIX remain. Two vectors meet in the inverted list of each two pivots that both descriptions hold, so they
 are retrieved if they share two pivots; a pair is taken in the list of its two smallest shared pivots alone, then
 verified by cosine in double precision. Lists are cut into blocks and blocks meet in pairs, so no task holds a whole
 list. Blocks return link counts and a spanning forest instead of pairs: their rows follow the vectors, not the links.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +31,23 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _pivots(vectors: DataFrame, sample: int) -> np.ndarray:
-    """At most ``sample`` unit vectors of the commonest length, spread out."""
-    rows = [r["v"] for r in vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample).select("v").collect()]
-    if not rows:
-        return np.zeros((0, 0))
-    lengths = [len(r) for r in rows]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    chosen: list[np.ndarray] = []
-    for r in rows:
-        if len(r) == width:
-            x = _unit(np.array([r], np.float64))[0]
-            if all(x @ y < APART for y in chosen):
-                chosen.append(x)
-    return np.array(chosen)
+def _pivots(vectors: DataFrame, sample: int) -> dict[int, tuple[int, np.ndarray]]:
+    """For each vector length the number of its first pivot and its pivots: of at most ``sample`` unit vectors those that
+    are spread out, and others where fewer than PREFIX are. With PREFIX pivots or fewer all vectors share them all."""
+    nth = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("id", F.lit(11)), "id"))
+    rows = vectors.select("id", "v", F.size("v").alias("length")).withColumn("nth", nth).where(F.col("nth") <= sample).select("length", "nth", "v").collect()
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    begin = 0
+    for width in sorted({r["length"] for r in rows}):
+        chosen: list[np.ndarray] = []
+        close: list[np.ndarray] = []
+        for r in sorted((r for r in rows if r["length"] == width), key=lambda r: r["nth"]):
+            x = _unit(np.array([r["v"]], np.float64))[0]
+            (chosen if all(x @ y < APART for y in chosen) else close).append(x)
+        chosen += close[: max(PREFIX - len(chosen), 0)]
+        found[width] = begin, np.array(chosen)
+        begin += len(chosen)
+    return found
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -52,20 +56,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _described(vectors: DataFrame, pivots) -> DataFrame:
-    """(id, weight, v, p): p are the nearest pivots in the order of their numbers; vectors of another length are left out."""
+    """(id, weight, v, p): p are the nearest pivots of the vector's length in the order of their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = pivots.value
-        width, m = points.shape[1] if points.size else -1, min(PREFIX, len(points))
         for batch in batches:
             lengths = np.diff(batch.column(2).offsets.to_numpy())
-            batch = batch.filter(pa.array(lengths == width))
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
-            near = np.sort(np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :m], axis=1).astype(np.int32)
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * m)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], names=["id", "weight", "v", "p"])
+            for width in np.unique(lengths).tolist():
+                first, points = pivots.value[width]
+                m = min(PREFIX, len(points))
+                some = batch.filter(pa.array(lengths == width))
+                x = _unit(some.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
+                near = first + np.sort(np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :m], axis=1).astype(np.int32)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * m)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(offsets, pa.array(near.ravel().astype(np.int32)))], names=["id", "weight", "v", "p"])
 
     return vectors.mapInArrow(run, f"id {vectors.schema['id'].dataType.simpleString()}, weight long, v array<{_element(vectors)}>, p array<int>")
 
@@ -118,6 +121,13 @@ def _linked(lists: DataFrame, least: float) -> DataFrame:
         kind = None
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            # Pivots are numbered by vector length, so rows of a length follow each other.
+            lengths = pc.list_value_length(table.column(7)).to_numpy()
+            cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+            for begin, end in zip(cuts, cuts[1:]):
+                yield from flush_length(table.slice(begin, end - begin))
+
+        def flush_length(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([table.column(i).to_numpy() for i in range(4)], axis=1)
             side = table.column(4).to_numpy()
             ids = np.array(table.column(5).to_pylist(), object)
@@ -162,8 +172,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE, i
     links, itself included), kept (the id is its component's).
 
     Found links have cosine ``least`` or more; equal vectors always link. A pair is missed if the descriptions share
-    fewer than two pivots. Vectors that are null, zero, or hold null or non-finite components link with nothing; ones
-    whose length isn't that of the pivots link with equal ones alone. Rows that share an id and a vector are other
+    fewer than two pivots, which can't be in a table with PREFIX pivots or fewer: there all pairs are compared. Vectors
+    that are null, zero, or hold null or non-finite components link with nothing; others link with those of their own
+    length, each of which has its own sample in the driver. Rows that share an id and a vector are other
     vectors to each other. A null id has its group's component. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -172,8 +183,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE, i
     classes = rows.where("ok").select("id", "v", *digest).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min_by("v", "id").alias("v"))
     classes = staged(classes, "pivot-classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "weight", "v")
-    points = _pivots(reps, sample)
-    pivots = spark.sparkContext.broadcast(points)
+    pivots = spark.sparkContext.broadcast(_pivots(reps, sample))
 
     described = _described(reps, pivots)
     pairs = F.array(*[F.when(F.size("p") > j, F.struct(F.col("p")[i].alias("k1"), F.col("p")[j].alias("k2"))) for i, j in PAIRS])

@@ -47,6 +47,24 @@ def test_pivot_index(spark, monkeypatch):
     assert pivot_index.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_pivots_of_concentrated_tiny_and_mixed_tables(spark):
+    r = np.random.default_rng(7)
+    centre = r.normal(size=16)
+    cone = [(centre + 0.35 * r.normal(size=16)).tolist() for _ in range(150)]  # within a cosine of 0.7 of each other, mostly
+    tight = [(centre + 0.1 * r.normal(size=16)).tolist() for _ in range(60)]
+    near = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1]]
+    mixed = [(x[:n] + 0.05 * r.normal(size=n)).tolist() for n in (16, 9, 4, 1) for x in r.normal(size=(12, 16)) for _ in range(4)]
+    for rows in (cone, tight, near, [*mixed, *near]):
+        unit = [np.array(x) / np.linalg.norm(x) for x in rows]
+        links = [[j for j, y in enumerate(unit) if j != i and len(x) == len(y) and x @ y >= 0.9] for i, x in enumerate(unit)]
+        got = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+        got = {x["vec_id"]: x["n_links"] for x in pivot_index.near_vectors(got).collect()}
+        assert sum(map(len, links)) > 0 and all(got[i] <= len(x) for i, x in enumerate(links))
+        for n in {len(x) for x in rows}:
+            of = [i for i, x in enumerate(rows) if len(x) == n]
+            assert sum(got[i] for i in of) >= 0.9 * sum(len(links[i]) for i in of)
+
+
 def test_pivot_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.array([r[0] for r in frame.orderBy("vec_id").select("embedding").collect()], np.float64)
