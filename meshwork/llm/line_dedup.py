@@ -14,29 +14,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.llm.staging import staged
+from meshwork.llm.skew import with_groups
+from meshwork.llm.staging import partitions, staged
 
 WORDS, CELLS = 5, 1 << 14
-#: The white space between words.
-BLANKS = " \t\n\x0b\f\r"
+#: White space between words other than the space; the line feed ends lines.
+OTHER_BLANKS = "\t\x0b\f\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, words) of each line with a word; ``docs`` has doc and text."""
-    return _words(docs.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, text): tag tells texts under one id apart. White space in the text is spaces and line feeds."""
+    text = F.col(text_col)
+    some = F.contains(text, F.lit(OTHER_BLANKS[0]))
+    for blank in OTHER_BLANKS[1:]:
+        some = some | F.contains(text, F.lit(blank))
+    plain = F.when(some, F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
+    return docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("tag"), plain.alias("text")).where("doc is not null and text is not null")
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    line = F.btrim("line", F.lit(BLANKS))
-    return lines.select("doc", "no", line.alias("line")).where("line != ''").select("doc", "no", F.split("line", r"[\x20\x09-\x0D]+").alias("words"))
+def _lines(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc, tag, no, line, words) of each line with a word; ``line`` is the hash of its words."""
+    lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("no", "line"), *others).where("btrim(line) != ''")
+    words = lines.select("doc", "tag", "no", F.array_remove(F.split("line", " "), "").alias("words"), *others)
+    return words.withColumn("line", F.xxhash64("words"))
 
 
-def _tokens(words: str) -> Column:
-    """Hashes of the distinct shingles of an array of words."""
+def _runs(words: str) -> Column:
+    """Hashes of the shingles of an array of words."""
     hashed = f"transform({words}, w -> xxhash64(w))"
     at = ", ".join(f"h[i + {k}]" for k in range(WORDS))
-    runs = f"transform(array({hashed}), h -> if(size(h) < {WORDS}, array(xxhash64(h)), transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({at}))))[0]"
-    return F.array_distinct(F.expr(runs))
+    return F.expr(f"transform(array({hashed}), h -> if(size(h) < {WORDS}, array(xxhash64(h)), transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({at}))))[0]")
 
 
 def _keys(rank: Column, tokens: str) -> Column:
@@ -47,8 +54,7 @@ def _keys(rank: Column, tokens: str) -> Column:
 
 def _rank(lines: DataFrame) -> Column:
     """Rank (0-255, by the logarithm of the count) of each cell: CELLS numbers, whatever the corpus."""
-    tokens = lines.select(F.explode(_tokens("words")).alias("token"))
-    counts = tokens.groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode(_runs("words")).alias("token")).groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
     ranks = ["0"] * CELLS
     for row in counts.select(F.col("cell").cast("int"), F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("r")).collect():
         ranks[row["cell"]] = str(row["r"])
@@ -73,23 +79,32 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     under an id, their lines share numbers. Empty table: no rows. Other columns are ignored. Lines are told apart by
     64-bit hash.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    lines = _lines(docs)
-    rank = _rank(lines)
+    return _repeated(_documents(docs, id_col, text_col), num, den).select(F.col("doc").alias(id_col), "line_no", "kind", F.col("earlier.doc").alias("earlier_id"), F.col("earlier.no").alias("earlier_line_no"), "similarity")
 
-    keyed = staged(lines.select("doc", "no", F.xxhash64("words").alias("line")), "line-keyed")
-    firsts = staged(keyed.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("at"), F.count("*").alias("m")).select("line", "at.doc", "at.no", "m"), "line-firsts")
-    later = keyed.join(firsts.where("m > 1").select("line", F.col("doc").alias("at_doc"), F.col("no").alias("at_no")), "line").where("doc != at_doc or no != at_no")
-    later = later.select("doc", "no", "at_doc", "at_no").dropDuplicates(["doc", "no"])
 
-    keys = lines.select(F.xxhash64("words").alias("line"), _tokens("words").alias("tokens")).select("line", _keys(rank, "tokens").alias("keys"))
+def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc, tag, line_no, kind, earlier, similarity) of ``repeated_lines``; ``earlier`` is a place (doc, no, tag)."""
+    lines = _lines(docs)
+    rank = _rank(lines)
+    place = F.struct("doc", "no", "tag")
+
+    keyed = staged(lines.select("doc", "tag", "no", "line"), "line-keyed")
+    total = keyed.count()
+    firsts = staged(keyed.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("m")), "line-firsts")
+    # A very common line is in many places: these stay where they are, and its first one alone goes on.
+    later = with_groups(keyed, firsts.where("m > 1"), ["line"], "m", total).where("found").where(place != F.col("first"))
+    later = later.select("doc", "tag", "no", "first").dropDuplicates(["doc", "tag", "no"])
+    common = firsts.where(F.col("m") > total / (4 * partitions(docs.sparkSession))).select("line", F.col("first").alias("only"))  # four a partition at most
+    once = lines.join(F.broadcast(common), "line", "left").where(F.col("only").isNull() | (place == F.col("only")))
+
+    keys = once.select("line", F.array_distinct(_runs("words")).alias("tokens")).select("line", _keys(rank, "tokens").alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
     entries = keys.select("line", n.alias("n"), F.posexplode(prefix).alias("place", "key")).select(F.hash("key").alias("key"), "line", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("at"))
     under = Window.partitionBy("key")
     shared = entries.withColumns({"low": F.min("line").over(under), "high": F.max("line").over(under)}).where("low != high").select("key", "line", "at").distinct()
     # Place the lines that share a key by their first occurrence; the earliest under a key is the centre of its star.
-    shared = shared.join(firsts.select("line", F.struct("doc", "no").alias("first")), "line")
+    shared = shared.join(firsts.select("line", "first"), "line")
     shared = staged(shared.withColumn("centre", F.min(F.struct("first", "line", "at")).over(under)), "line-shared")
 
     size = lambda at: f"shiftright({at}, 32)"
@@ -97,7 +112,7 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     fits = lambda a, b: f"{den} * least({size(a)}, {size(b)}) >= {num} * greatest({size(a)}, {size(b)})"
     placed = lambda a, b: f"{den + num} * least({rest(a)}, {rest(b)}) >= {num} * ({size(a)} + {size(b)})"
 
-    sets = staged(_sets(docs, shared.select("line", "first.doc", "first.no").distinct(), rank), "line-sets")
+    sets = staged(_sets(docs, shared.select("line", "first.doc", "first.tag", "first.no").distinct(), rank), "line-sets")
     stars = shared.where("line != centre.line").where(fits("at", "centre.at")).where(placed("at", "centre.at"))
     stars = staged(stars.select(F.col("line").alias("later"), F.col("centre.line").alias("earlier")).distinct(), "line-stars")
     near = staged(_matches(stars, sets, num, den), "line-near")
@@ -108,36 +123,41 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     pairs = pairs.select("later", "earlier").distinct().join(stars, ["later", "earlier"], "left_anti")
     near = near.unionByName(_matches(pairs, sets, num, den))
 
-    where = firsts.select(F.col("line").alias("l"), "doc", "no")
-    near = near.join(where.withColumnRenamed("l", "earlier").select("earlier", F.struct("doc", "no").alias("e")), "earlier")
+    where = firsts.select(F.col("line").alias("l"), "first")
+    near = near.join(where.select(F.col("l").alias("earlier"), F.col("first").alias("e")), "earlier")
     near = near.groupBy("later").agg(F.min(F.struct("e", "similarity")).alias("m")).join(where.withColumnRenamed("l", "later"), "later")
-    result = lambda kind, d, k, s: [F.col("doc").alias(id_col), F.col("no").alias("line_no"), F.lit(kind).alias("kind"), F.col(d).alias("earlier_id"), F.col(k).alias("earlier_line_no"), s.alias("similarity")]
-    return later.select(*result("equal", "at_doc", "at_no", F.lit(1.0))).unionByName(near.select(*result("near", "m.e.doc", "m.e.no", F.col("m.similarity"))))
+    result = lambda d, kind, e, s: [*(F.col(f"{d}{c}") for c in ("doc", "tag")), F.col(f"{d}no").alias("line_no"), F.lit(kind).alias("kind"), F.col(e).alias("earlier"), s.alias("similarity")]
+    return later.select(*result("", "equal", "first", F.lit(1.0))).unionByName(near.select(*result("first.", "near", "m.e", F.col("m.similarity"))))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rank: Column) -> DataFrame:
-    """(line, keys): the whole token sets of the lines at the places (doc, no) in ``wanted``."""
-    per = wanted.groupBy("doc").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
-    lines = docs.join(per, "doc").select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"), "wanted").where(F.array_contains("wanted", F.col("no")))
-    return _words(lines).select(F.xxhash64("words").alias("line"), _tokens("words").alias("tokens")).select("line", _keys(rank, "tokens").alias("keys")).dropDuplicates(["line"])
-
-
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
-    """``docs`` without the lines of ``repeated_lines``; where present, ``n_chars`` is counted anew. Documents stay,
-    if with an empty text; texts without a repeat, null texts and null ids are unchanged."""
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))  # at most the document's lines
-    joined = docs.join(gone, docs[id_col] == gone["gone_id"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_lines"))
-    text = F.when(F.col("gone_lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(left, lambda i: lines[i]), "\n")
-    )
-    out = joined.withColumn(text_col, text)
+    """(line, keys): the whole token sets of the lines at the places (doc, tag, no) in ``wanted``."""
+    per = wanted.groupBy("doc", "tag").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
+    lines = _lines(docs.join(per, ["doc", "tag"]), "wanted").where(F.array_contains("wanted", F.col("no")))
+    return lines.select("line", F.array_distinct(_runs("words")).alias("tokens")).select("line", _keys(rank, "tokens").alias("keys")).dropDuplicates(["line"])
+
+
+def without_repeated_lines(
+    docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", drop_emptied: bool = False
+) -> DataFrame:
+    """``docs`` without the lines of ``repeated_lines``; where present, ``n_chars`` is counted anew.
+
+    Lines go by id and text: texts that share an id each lose their own. Texts without a repeat, null texts and rows
+    with a null id are unchanged. A document that loses every line with a word stays with the rest of its text, or goes
+    with ``drop_emptied``. Repeated rows fare alike; an empty table has no rows; all columns stay, whatever their names.
+    """
+    gone = _repeated(_documents(docs, id_col, text_col), num, den).groupBy("doc", "tag").agg(F.collect_set("line_no").alias("gone"))  # at most the document's lines
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    lines = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    out = rows.join(gone, ["doc", "tag"], "left").select("row", F.col("gone").isNotNull().alias("changed"), text.alias("text"))
+    if drop_emptied:
+        out = out.where(~F.col("changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("text")}
     if chars_col in docs.columns:
-        kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("gone_lines").isNull(), F.col(chars_col)).otherwise(F.char_length(text_col).cast(kind)))
-    return out.select(*[out[c] for c in docs.columns])
+        new[chars_col] = F.when(F.col("changed"), F.char_length("text").cast(docs.schema[chars_col].dataType)).otherwise(F.col("row")[chars_col])
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the repeated lines' places.
