@@ -3,7 +3,8 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. Documents get nonnegative rates
 so that expected domain totals of tokens, sum(rate * tokens * posterior), match targets in least squares. The problem
 has a variable per document but only as many residuals as domains: a projected-gradient step needs the domain totals
-(one aggregate over all documents) and then changes each rate by a combination of the document's own posterior.
+(one aggregate over all documents) and then changes each rate by a combination of the document's own posterior. A rate
+follows from the posterior alone, so the steps run over distinct posteriors with their tokens, not over documents.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from meshwork.llm.staging import staged
 
-#: Labelled documents that the classifier is fitted on at most, cells of its token table, tokens whose evidence counts.
-FIT_DOCS, CELLS, EVIDENCE = 4000, 4096, 40
+#: Labelled documents that the classifier is fitted on at most, cells of its token table, decimals of a posterior.
+FIT_DOCS, CELLS, DECIMALS = 4000, 4096, 5
 #: The projected gradient (root mean square a token) at which steps end, steps after which it is an error that they
 #: haven't, and steps between written rates.
 CLOSE, STEPS, WRITE_EVERY = 1e-6, 2000, 10
@@ -35,15 +36,15 @@ def _cells(text: Column) -> Column:
     return F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(CELLS)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str) -> tuple[list[float], list[list[float]]]:
+def fitted(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[list[float], list[list[float]]]:
     """Log prior of each domain and its log weights by cell, from at most FIT_DOCS labelled documents.
 
     A document with several labels takes the smallest domain name. Cells' counts are smoothed by 1; a domain without
     labels has a prior of half a document.
     """
-    known = labels.select(F.col(id_col).alias("id"), domain_of_labels().alias("domain")).where(F.col("domain").isin(domains) & F.col("id").isNotNull())
-    known = known.groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(FIT_DOCS)
-    found = docs.join(F.broadcast(known), docs[id_col] == known["id"]).select("domain", _cells(F.col(text_col)).alias("cells"))
+    known = labels.select(F.col("id").alias("known"), domain_of_labels().alias("domain")).where(F.col("domain").isin(domains) & F.col("known").isNotNull())
+    known = known.groupBy("known").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("known", F.lit(SEED)), "known").limit(FIT_DOCS)
+    found = docs.select("id", "text").join(F.broadcast(known), F.col("id") == F.col("known")).select("domain", _cells(F.col("text")).alias("cells"))
     found = staged(found, "mixing-fit")
     per = {r["domain"]: r["n"] for r in found.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     counts = np.ones((len(domains), CELLS))
@@ -54,22 +55,21 @@ def fitted(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str,
     return [math.log(s / sum(share)) for s in share], logs.tolist()
 
 
-def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], domains: list[str], text_col: str) -> DataFrame:
-    """``docs`` with mix_n (words) and mix_p (array of posteriors). The evidence of a text is its mean per word, counted
-    EVIDENCE times at most, so long texts stay soft; a text without words has the prior."""
+def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], text_col: str) -> DataFrame:
+    """``docs`` with mix_n (words) and mix_p (array of posteriors of naive Bayes, rounded to DECIMALS, the first being what
+    the others leave of 1). A text without words has the prior."""
     prior, logs = model
-    base = logs[0]
-    weights = [F.split(F.lit(",".join(f"{x - y:.5f}" for x, y in zip(row, base, strict=True))), ",").cast("array<double>") for row in logs[1:]]
-    out = docs.withColumn("mix_cells", _cells(F.col(text_col))).withColumn("mix_n", F.size("mix_cells").cast("long"))
+    weights = [F.split(F.lit(",".join(f"{x - y:.9f}" for x, y in zip(row, logs[0], strict=True))), ",").cast("array<double>") for row in logs[1:]]
+
     def evidence(w: Column) -> Column:
-        return F.aggregate("mix_cells", F.lit(0.0), lambda acc, c: acc + F.coalesce(w[c], F.lit(0.0)))
+        return F.aggregate("mix_cells", F.lit(0.0), lambda total, c: total + w[c])
 
-    sums = [evidence(w) for w in weights]
-    scale = F.least(F.col("mix_n"), F.lit(EVIDENCE)) / F.greatest(F.col("mix_n"), F.lit(1))
-    scores = F.array(F.lit(prior[0]), *[F.lit(p) + s * scale for p, s in zip(prior[1:], sums, strict=True)])
+    scores = F.array(F.lit(prior[0]), *[F.lit(p) + evidence(w) for p, w in zip(prior[1:], weights, strict=True)])
+    out = docs.withColumn("mix_cells", _cells(F.col(text_col))).withColumn("mix_n", F.size("mix_cells").cast("long"))
     out = out.withColumn("mix_s", scores).withColumn("mix_s", F.transform("mix_s", lambda s: F.exp(s - F.array_max("mix_s"))))
     total = F.aggregate("mix_s", F.lit(0.0), lambda a, s: a + s)
-    return out.withColumn("mix_p", F.transform("mix_s", lambda s: s / total)).drop("mix_s", "mix_cells")
+    others = F.transform(F.slice("mix_s", 2, max(len(prior) - 1, 1)), lambda s: F.round(s / total, DECIMALS))
+    return out.withColumn("mix_p", F.concat(F.array(F.lit(1.0) - F.aggregate(others, F.lit(0.0), lambda a, x: a + x)), others)).drop("mix_s", "mix_cells")
 
 
 def advanced(steps: list[list[float]], start: Column) -> Column:
@@ -94,7 +94,8 @@ def _one() -> Column:
 
 
 def solved(members: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The projected-gradient steps from rate 1 to the least-squares optimum. ``members`` has mix_n and mix_p.
+    """The projected-gradient steps from rate 1 to the least-squares optimum. ``members`` has mix_n and mix_p, a row for
+    each posterior.
 
     ``targets`` are weights; the total is such that the heaviest domain keeps its tokens. Residuals are measured in
     the inverse of the domains' second moments, in which the unprojected problem takes one step. Steps are accelerated
@@ -145,15 +146,15 @@ def copies(id_col: str) -> Column:
     return F.floor(F.col("mix_rate") + draw).cast("int")
 
 
-def weighed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with mix_n, mix_p, mix_rate and mix_copies (how often a mixture takes the document; 0: not at all)."""
-    targets = targets or TARGETS
+def _weighed(rows: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``rows`` (id, text and other columns of the caller) with mix_n, mix_p, mix_rate and mix_copies (how often a mixture
+    takes the document; 0: not at all), and without the text unless it is in another column."""
     domains = sorted(targets)
-    docs = docs.drop(*[c for c in ("mix_n", "mix_p", "mix_rate", "mix_copies", "mix_s", "mix_cells") if c in docs.columns])
-    model = fitted(docs, labels, domains, id_col, text_col)
-    found = with_posteriors(docs, model, domains, text_col)
-    steps = solved(staged(found.select("mix_n", "mix_p"), "mixing-members"), [targets[d] for d in domains])
-    return found.withColumn("mix_rate", rates(steps)).withColumn("mix_copies", copies(id_col))
+    model = fitted(rows, labels, domains)
+    found = staged(with_posteriors(rows, model, "text").drop("text"), "mixing-posteriors")
+    members = found.where("mix_n > 0").groupBy("mix_p").agg(F.sum("mix_n").alias("mix_n"))
+    steps = solved(staged(members, "mixing-members"), [targets[d] for d in domains])
+    return found.withColumn("mix_rate", rates(steps)).withColumn("mix_copies", copies("id"))
 
 
 def decisions(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,13 +166,19 @@ def decisions(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     least squares. Empty table: no rows. Other columns are ignored.
     """
     domains = sorted(targets or TARGETS)
-    found = weighed(docs.select(id_col, text_col), labels, targets, id_col, text_col)
-    return found.select(id_col, F.col("mix_n").alias("n_tokens"), *[F.col("mix_p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+    labels = labels.withColumn("id", F.col(id_col))
+    found = _weighed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels, targets or TARGETS)
+    return found.select(F.col("id").alias(id_col), F.col("mix_n").alias("n_tokens"), *[F.col("mix_p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as its copies say."""
-    # An outer explode, as a filter on the copies would be pushed below and repeat the posterior's expression many times.
-    found = weighed(docs, labels, **options)
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as its copies say; all its columns, whatever their names.
+
+    Nulls, empty texts, repeats and empty tables are as in ``decisions``: a row without words is taken once or not at
+    all by the rate of the prior; rows that repeat an id and a text are taken equally often.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _weighed(rows, labels.withColumn("id", F.col(id_col)), targets or TARGETS)
+    # An outer explode, as a filter on the copies would be pushed below and repeat the rate's expression.
     some = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))
-    return found.withColumn("mix_copy", F.explode_outer(some)).where("mix_copy is not null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select("row", F.explode_outer(some).alias("mix_copy")).where("mix_copy is not null").select("row.*")
