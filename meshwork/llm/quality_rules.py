@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Counts are taken of every whole text in Arrow batches. Each rule is a ratio and a ladder of cutoffs from lenient to
-strict. In each stratum, labelled good documents that pass the base rules are the holdout: for a rung, the exact
-binomial test asks whether the chance of rejecting a good document can be at least the rule's share of the risk.
-Rungs are tested in fixed order from lenient to strict until one fails (which keeps the family's error without a
-further correction), and the error is split over all rules and strata (Bonferroni). A rule without a passing rung
-rejects nothing. With probability 1 - ``error`` no stratum's chance of falsely rejecting a good document is over
-``risk``.
+strict; a policy is a rung of every rule. In each stratum, labelled good documents that pass the base rules are the
+holdout: the exact binomial test asks whether a policy's chance of rejecting a good document can be over ``risk``.
+
+A stratum's policies form a path from lenient to strict that doesn't depend on its own holdout: it ends at the rungs
+that the good documents of the other strata bear, and steps towards them. Policies are tested in the order of the path
+until one fails, which keeps the stratum's error without a further correction; the error is split over the strata
+(Bonferroni). With probability 1 - ``error`` no stratum's chance of falsely rejecting a good document is over ``risk``.
+A stratum without a passing policy rejects nothing beyond the base.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshwork.functions.tails import binomial_cdf
 from meshwork.llm.staging import staged
@@ -113,9 +116,9 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [batch.column(i) for i in range(len(others))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[:, i]) for i in range(len(COUNTS))], names=[*others, *COUNTS])
 
-    selected = docs.select(*[F.col(f"`{c}`") for c in others], text_col)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), *(f"{c} long" for c in COUNTS)])
-    return selected.mapInArrow(run, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in others])
+    schema = StructType([*kept.schema, *(StructField(c, LongType()) for c in COUNTS)])
+    return docs.select(*kept.columns, text_col).mapInArrow(run, schema)
 
 
 def base_failed():
@@ -123,29 +126,88 @@ def base_failed():
 
 
 def rungs_passed(rule: str):
-    """How many of the rule's cutoffs the document is above; a chosen rung r, counted from 1 at the lenient end, rejects it
-    if these are at least ``reach(rule, r)``, as the strict cutoffs are the low ones."""
+    """How many of the rule's cutoffs the document is above."""
     ratio, ladder = RULES[rule]
     value = F.expr(f"{ratio.split(' / ')[0]} / cast(nullif({ratio.split(' / ')[1]}, 0) as double)")
     return sum((F.when(value > c, 1).otherwise(0) for c in ladder), F.lit(0))
 
 
-def reach(rule: str, rung: int) -> int:
-    return len(RULES[rule][1]) - rung + 1
+STEPS = len(RULES["symbols"][1])
 
 
-def choose(group: pd.DataFrame, strata: int, risk: float, error: float) -> dict[str, int]:
-    """The strictest safe rung of each rule (0: none) from counts of good documents by rule and rungs passed."""
-    chosen = {}
-    for rule, (_, ladder) in RULES.items():
-        by = group[group["rule"] == rule].groupby("rungs")["n"].sum().to_dict()
-        n, chosen[rule] = sum(by.values()), 0
-        for rung in range(1, len(ladder) + 1):
-            wrong = sum(v for k, v in by.items() if k >= reach(rule, rung))
-            if n == 0 or binomial_cdf(wrong, n, risk / len(RULES)) > error / (strata * len(RULES)):
-                break
-            chosen[rule] = rung
-    return chosen
+def first_step(rungs: str, end: str):
+    """The first step of a path to rung ``end`` at which a document above ``rungs`` of a rule's cutoffs is rejected; the
+    strict cutoffs are the low ones, so rung r rejects what is above STEPS - r + 1 of them or more."""
+    needed = STEPS + 1 - F.col(rungs)
+    return F.when(needed <= F.col(end), F.floor((needed - 1) * STEPS / F.col(end)) + 1).otherwise(STEPS + 1).cast("int")
+
+
+def tuned(own: pd.DataFrame, totals: pd.DataFrame, risk: float) -> dict[str, int]:
+    """The rung of each rule that good documents of the other strata bear: their rejected share is its part of half the
+    risk at most. Without other strata, the strictest. ``own`` and ``totals`` count good documents by rule and rungs."""
+    ends = {}
+    for rule in RULES:
+        n = np.zeros(STEPS + 1)
+        for frame, sign in ((totals, 1), (own, -1)):
+            of = frame[frame["rule"] == rule]
+            np.add.at(n, of["rungs"].to_numpy(np.int64), sign * of["n"].to_numpy(np.float64))
+        wrong = np.cumsum(n[::-1])[:STEPS]  # of rungs 1, 2, ...
+        ends[rule] = int((wrong <= risk / 2 / len(RULES) * n.sum()).sum())
+    return ends
+
+
+def certified(wrong: dict[int, int], n: int, strata: int, risk: float, error: float) -> int:
+    """The last step of the path that passes the exact binomial test with all before it; ``wrong`` counts the ``n`` good
+    documents by the first step that rejects them."""
+    so_far = 0
+    for step in range(1, STEPS + 1):
+        so_far += wrong.get(step, 0)
+        if binomial_cdf(so_far, n, risk) > error / strata:
+            return step - 1
+    return STEPS
+
+
+def _cutoffs(features: DataFrame, good: DataFrame, risk: float, error: float) -> DataFrame:
+    """(stratum, n_good, step, cut_<rule>): the certified step and the rung of each rule (0: none) of each stratum."""
+    holdout = features.where(~F.col("base_failed")).join(good, features["id"] == good["good_id"], "left_semi")
+    # At most one row per stratum, rule and rung; their sums over strata are a few dozen rows.
+    stack = f"stack({len(RULES)}, " + ", ".join(f"'{r}', rungs_{r}" for r in RULES) + ") as (rule, rungs)"
+    by_rule = staged(holdout.select("stratum", F.expr(stack)).groupBy("stratum", "rule", "rungs").agg(F.count("*").alias("n")), "quality-holdout")
+    totals = by_rule.groupBy("rule", "rungs").agg(F.sum("n").alias("n")).toPandas()
+    strata = max(1, by_rule.select("stratum").distinct().count())
+
+    def path(group: pd.DataFrame) -> pd.DataFrame:
+        ends = tuned(group, totals, risk)
+        return pd.DataFrame([{"stratum": group["stratum"].iloc[0], **{f"end_{r}": e for r, e in ends.items()}}])
+
+    ends = by_rule.groupBy("stratum").applyInPandas(path, "stratum string, " + ", ".join(f"end_{r} int" for r in RULES))
+    first = F.least(*[first_step(f"rungs_{r}", f"end_{r}") for r in RULES])
+    at = ["stratum", *(f"end_{r}" for r in RULES)]
+    counts = holdout.join(ends, "stratum").groupBy(*at, first.alias("first")).agg(F.count("*").alias("n"))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["n"].sum())
+        step = certified(dict(zip(group["first"], group["n"], strict=True)), n, strata, risk, error)
+        return pd.DataFrame([{"stratum": group["stratum"].iloc[0], "n_good": n, "step": step, **{f"cut_{r}": -(-step * int(group[f"end_{r}"].iloc[0]) // STEPS) for r in RULES}}])
+
+    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, n_good long, step int, " + ", ".join(f"cut_{r} int" for r in RULES))
+
+
+def _features(docs: DataFrame, labels: DataFrame, stratum_col: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, id, stratum, COUNTS, base_failed, rungs), and the ids of good documents."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000null")).alias("stratum"), F.col(text_col).alias("text"))
+    features = counted(rows, "text").withColumn("base_failed", base_failed()).withColumns({f"rungs_{r}": rungs_passed(r) for r in RULES})
+    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("good_id")).agg(F.min("quality").alias("good")).where("good = 1")
+    return staged(features, "quality-counts"), good
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """What ``judged`` applies: stratum (null: \\0null), n_good (its holdout), step and, for each rule, the cutoff above
+    which a ratio rejects (null: the rule rejects nothing). Strata without good documents have no row."""
+    found = _cutoffs(*_features(docs, labels, stratum_col, id_col, text_col), risk, error)
+    rungs = [F.get(F.array(*map(F.lit, ladder)), F.col(f"cut_{r}") - 1).alias(r) for r, (_, ladder) in RULES.items()]
+    return found.select("stratum", "n_good", "step", *rungs)
 
 
 def judged(
@@ -156,41 +218,27 @@ def judged(
     ``labels`` has the id and ``quality`` (0/1): a document is good if all its labels that aren't null are 1; null
     ids and unlabelled documents aren't in the holdout. A null stratum is a stratum of its own. A text that is null,
     empty or has no word fails the base. Repeated rows are judged alike, and count each in the holdout. Empty tables
-    give no rows; without labels only the base rules reject. Columns of ``docs`` with the names of results are replaced.
+    give no rows; without labels only the base rules reject. Columns of ``docs`` with the names of results (in any case)
+    are replaced.
     """
-    added = [*(f"rungs_{r}" for r in RULES), "base_failed", "rejected_by", "kept", "stratum"]
-    docs = docs.drop(*[c for c in added if c in docs.columns])
-    features = counted(docs, text_col).withColumn("base_failed", base_failed())
-    features = features.withColumns({f"rungs_{r}": rungs_passed(r) for r in RULES})
-    features = staged(features.withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000null"))), "quality-counts")
-    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("good")).where("good = 1")
-    holdout = features.where(~F.col("base_failed")).join(good, features[id_col] == good["id"], "left_semi")
-    # At most one row per stratum, rule and rung.
-    stack = f"stack({len(RULES)}, " + ", ".join(f"'{r}', rungs_{r}" for r in RULES) + ") as (rule, rungs)"
-    counts = holdout.select("stratum", F.expr(stack)).groupBy("stratum", "rule", "rungs").agg(F.count("*").alias("n"))
-    counts = staged(counts, "quality-holdout")
-    strata = max(1, counts.select("stratum").distinct().count())
-
-    def cutoffs(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = choose(group, strata, risk, error)
-        return pd.DataFrame([{"stratum": group["stratum"].iloc[0], **{f"cut_{r}": c for r, c in chosen.items()}}])
-
-    cuts = counts.groupBy("stratum").applyInPandas(cutoffs, "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
-    verdict = features.join(cuts, "stratum", "left")
-    hit = F.filter(
-        F.array(*[F.when((F.col(f"cut_{r}") > 0) & (F.col(f"rungs_{r}") >= F.lit(reach(r, 0)) - F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
-    )
+    features, good = _features(docs, labels, stratum_col, id_col, text_col)
+    verdict = features.join(F.broadcast(_cutoffs(features, good, risk, error)), "stratum", "left")  # a row per stratum
+    hit = F.filter(F.array(*[F.when((F.col(f"cut_{r}") > 0) & (F.col(f"rungs_{r}") >= STEPS + 1 - F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    added = {c.lower() for c in (*COUNTS, "base_failed", "rejected_by", "kept")}
     return (
         verdict.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(hit))
         .withColumn("kept", F.size("rejected_by") == 0)
-        .drop("stratum", *[f"cut_{r}" for r in RULES], *[f"rungs_{r}" for r in RULES])
+        .select(*[F.col("row")[c].alias(c) for c in docs.columns if c != text_col and c.lower() not in added], *COUNTS, "base_failed", "rejected_by", "kept")
     )
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows equal in id and text fare alike; null ids are judged by row too."""
+    """The rows of ``docs`` that the rules keep. Rows equal in id and text fare alike; null ids are judged by row too.
+
+    A null or empty text is never kept, an empty table has no rows, and all columns stay, whatever their names.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     digest = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
     found = judged(docs.select(id_col, text_col, options.get("stratum_col", "lang"), digest.alias("text_digest")), labels, **options)
-    bad = found.where(~F.col("kept")).select(F.col(id_col).alias("bad_id"), F.col("text_digest").alias("bad_digest"))
+    bad = found.where(~F.col("kept")).select(F.col(id_col).alias("bad_id"), F.col("text_digest").alias("bad_digest")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (digest == bad["bad_digest"]), "left_anti")
