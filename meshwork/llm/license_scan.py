@@ -2,7 +2,8 @@
 
 A text is made canonical (case, copyright lines, equivalent spellings, punctuation and spacing) and its digest is
 looked up among the digests of known licence texts. Whole texts are compared, so a licence inside a longer text isn't
-reported. Built-in functions only; the known digests are one row per licence.
+reported. Built-in functions only; the known digests are one row per licence. ``known_licenses`` has a few short
+licences; ``license_files`` reads a folder of them, such as those that come with an operating system.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 EQUIVALENT = [
     ("https", "http"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("behaviour", "behavior"),
     ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("customisation", "customization"), ("defence", "defense"),
-    ("favour", "favor"), ("fulfil ", "fulfill "), ("honour", "honor"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"),
+    ("favour", "favor"), ("fulfil", "fulfill"), ("honour", "honor"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"),
     ("merchantability", "merchantibility"), ("non commercial", "noncommercial"), ("organisation", "organization"), ("per cent", "percent"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("sub license", "sublicense"), ("utilisation", "utilization"),
     ("while", "whilst"), ("copyright owner", "copyright holder"),
@@ -67,6 +68,25 @@ KNOWN = {
         'the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
         "specific language governing permissions and limitations under the License."
     ),
+    "MIT-0": (
+        "MIT No Attribution\n\nCopyright <year> <holder>\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+        f"modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\n{_AS_IS}"
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    **{
+        f"{name}-{version}-or-later-notice": (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the "
+            f"Free Software Foundation, either version {version[0]} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope "
+            "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            f"{kind}General Public License for more details.\n\nYou should have received a copy of the GNU {kind}General Public License along with this program. If not, "
+            "see <https://www.gnu.org/licenses/>."
+        )
+        for name, version, kind in (("GPL", "2.0", ""), ("GPL", "3.0", ""), ("LGPL", "3.0", "Lesser "), ("AGPL", "3.0", "Affero "))
+    },
     "Zlib": (
         "zlib License\n\nCopyright (c) <year> <holder>\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors "
         "be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including "
@@ -76,9 +96,11 @@ KNOWN = {
         "being the original software.\n3. This notice may not be removed or altered from any source distribution."
     ),
 }
-#: What makes a text canonical: pattern, replacement, in order, on lower-cased text. RE2 and Java read them alike.
+#: What makes a text canonical: pattern, replacement, in order, on lower-cased text. RE2 and Java read them alike. A
+#: copyright line begins with a sign, or with the word and has a sign, a placeholder or a year; other lines that begin
+#: with the word are a licence's own ("copyright notice, this list ...").
 STEPS = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (r"(^|\n)[ \t]*(\(c\)|©|copyright[ \t]*(\(c\)|©|[<\[{])|copyright[^\n]*[12][0-9][0-9][0-9])[^\n]*", "\n"),
     (r"all rights reserved\.?", " "),
     (r"[^a-z0-9\u0080-\U0010ffff]+", " "),
 ]
@@ -89,9 +111,21 @@ def canonical(text: Column) -> Column:
     out = F.lower(text)
     for pattern, new in STEPS:
         out = F.regexp_replace(out, pattern.replace(r"\u0080-\U0010ffff", "\u0080-\U0010ffff"), new)
+    # Each word between two spaces of its own, so that neighbours and ends are replaced too.
+    out = F.concat(F.lit(" "), F.replace(F.trim(out), F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {old.strip()} "), F.lit(f" {new.strip()} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(_spaced(old)), F.lit(_spaced(new)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def license_files(spark: SparkSession, path: str) -> DataFrame:
+    """Known licences from the files of a folder, one each: license_id is the file's name without ``.txt``."""
+    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")
+    return spark.read.text(path, wholetext=True).select(name.alias("license_id"), F.col("value").alias("license_text"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -126,9 +160,10 @@ def oracle() -> str:
         for pattern, new in STEPS:
             duck = pattern.replace(r"\u0080-\U0010ffff", r"\x{80}-\x{10ffff}")
             out = f"regexp_replace({out}, '{duck}', {_quoted(new)}, 'g')"
+        out = f"' ' || replace(trim({out}, ' '), ' ', '  ') || ' '"
         for old, new in EQUIVALENT:
-            out = f"replace({out}, ' {old.strip()} ', ' {new.strip()} ')"
-        return f"trim({out}, ' ')"
+            out = f"replace({out}, '{_spaced(old)}', '{_spaced(new)}')"
+        return f"trim(replace({out}, '  ', ' '), ' ')"
 
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in KNOWN.items())
     return f"""
