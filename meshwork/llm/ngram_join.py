@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm.components import components
+from meshwork.llm.skew import with_groups
 from meshwork.llm.staging import partitions, staged
 from meshwork.llm.text_arrays import U64, WORD_LOWER, mix, shingle_sets
 
@@ -161,7 +162,7 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
     summaries = staged(_summaries(docs, size), "ngram-summaries")
     sketch = spark.sparkContext.broadcast(_sketch(summaries))
     rows = summaries.where("block is null").select("id", "n", "f1", "f2")
-    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"))
 
     entries = (
@@ -171,9 +172,11 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
         .select("id", "n", "heart", F.posexplode("columns").alias("place", "gram"))
         .select("gram", "id", "heart", F.expr("shiftleft(n, 32) | place").alias("at"))
     )
-    of_column = Window.partitionBy("gram")
-    shared = entries.withColumns({"first": F.min(F.struct((-F.col("heart")).alias("less"), "id", "at")).over(of_column), "low": F.min("id").over(of_column), "high": F.max("id").over(of_column)})
-    shared = staged(shared.where("low != high").drop("low", "high", "heart"), "ngram-shared")
+    # The most central row of each column; a column of very many rows is broadcast to them instead of gathering them.
+    columns = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct((-F.col("heart")).alias("less"), "id", "at")).alias("first"), F.min("id").alias("low"), F.max("id").alias("high"))
+    columns = staged(columns.where("low != high").drop("low", "high"), "ngram-columns")
+    total = columns.agg(F.sum("m")).first()[0] or 0
+    shared = staged(with_groups(entries.select("gram", "id", "at"), columns, ["gram"], "m", total).where("found").drop("found"), "ngram-shared")
     sized = lambda x, y: f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})"
     n_of = lambda x: f"shiftright({x}, 32)"
 
@@ -211,20 +214,26 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
     # Links of the first round are now its components' stars: the second adds few.
     found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    grouped = classes.join(found, classes["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("group"))
-    return (
-        rows.join(grouped, ["n", "f1", "f2"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
-    )
+    grouped = classes.join(found, classes["rep"] == found["node"], "left").select("n", "f1", "f2", "weight", F.coalesce("component", "rep").alias("group"))
+    grouped = staged(grouped, "ngram-groups").withColumnsRenamed({"n": "k", "f1": "k1", "f2": "k2"})
+    rows = rows.select("id", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(k) for c, k in (("n", "k"), ("f1", "k1"), ("f2", "k2"))])  # no set, no group
+    total = grouped.agg(F.sum("weight")).first()[0] or 0
+    return with_groups(rows, grouped, ["k", "k1", "k2"], "weight", total).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Texts without a shingle (null, empty, no words) link with nothing and stay, as do rows with a null id; rows that
+    share an id are one document and stay or go together, repeats of one text once. An empty table has no rows; all columns
+    stay, whatever their names.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     later = similar(docs, **options).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("later_id")).distinct()
-    rest = docs.join(later, docs[id_col] == later["later_id"], "left_anti")
-    known = rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(rest.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("digest"))
+    rest = rows.join(later, rows["id"] == later["later_id"], "left_anti")
+    known = rest.where("id is not null").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return known.select("row.*").unionByName(rest.where("id is null").select("row.*"))
 
 
 #: DuckDB SQL for shingles of 4 words and 85 of 100.
