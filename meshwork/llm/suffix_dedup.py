@@ -5,8 +5,8 @@ of SPAN bytes, so equal strings of SPAN bytes have anchors at equal places in th
 Splitters sampled from the anchors' leading eight bytes range-partition the suffixes; splitters are leading tokens, so
 no group of equal beginnings crosses a boundary.
 
-A bucket first sorts by digest of each anchor's whole surroundings: equal surroundings are matches in full, except
-the first. What remains is an anchor whose GRAM bytes have several surroundings; for the first of each, the bytes are
+Equal surroundings of anchors are matches in full, except the first; they are sorted by digest, in each block of texts
+before anything is sent, so a very common passage goes to its bucket once a block, and again in the bucket. What remains is an anchor whose GRAM bytes have several surroundings; for the first of each, the bytes are
 fetched, every suffix from which the anchor can be reached is sorted by its leading eight bytes, then by the digest of
 its first SPAN bytes, then by place, and neighbours are compared. Strings are compared by 64-bit digest beyond the
 leading bytes.
@@ -28,7 +28,7 @@ from meshwork.llm.text_arrays import LINE_BYTES, PLACE, U64, mix, powers
 SPAN, GRAM = 100, 32
 REACH = SPAN - GRAM
 #: Bytes of long texts handled at once, anchors of a block, sampled leading tokens of a block, bits of the filter.
-PIECE, BLOCK_ANCHORS, SAMPLED, BITS = 1 << 20, 1 << 20, 256, 1 << 26
+PIECE, BLOCK_ANCHORS, SAMPLED, BITS = 1 << 20, 1 << 19, 256, 1 << 26
 VALUES = LINE_BYTES.copy()
 AROUND = REACH + SPAN
 
@@ -166,13 +166,9 @@ SENT = ["part", "rows", "grams", "around", "ids", "tags", "pos", "sides", "near"
 SENT_SCHEMA = "part int, rows int, grams binary, around binary, ids binary, tags binary, pos binary, sides binary, near binary"
 
 
-def _covers(ids, tags, pos, left, right) -> pa.RecordBatch:
-    keep = left + right >= SPAN
-    n = int(keep.sum())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[keep]), pa.array(tags[keep].astype(np.int32)), pa.array((pos - left)[keep]), pa.array((pos + right)[keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-        names=OUT,
-    )
+def _covers(ids, tags, begin, end) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags.astype(np.int32)), pa.array(begin), pa.array(end), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=OUT)
 
 
 def _sent(part, own: dict[str, np.ndarray], at: np.ndarray, near: bytes | None) -> tuple:
@@ -196,8 +192,31 @@ def _buckets(lead: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np.
         begin = end
 
 
-def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], list]]:
-    """The anchors of each bucket, with their surroundings' bytes where sent. Batches are sorted by part."""
+def _later(own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are first of their surroundings, and rows whose surroundings are at an earlier place. A document that is
+    given twice has the same places twice: neither."""
+    first = firsts(own["around"], places(own["id"], own["tag"], own["pos"]))
+    f = first[np.searchsorted(own["around"][first], own["around"])]  # firsts are sorted by surroundings
+    same = (own["id"] == own["id"][f]) & (own["tag"] == own["tag"][f]) & (own["pos"] == own["pos"][f])
+    return first, np.flatnonzero(~same)
+
+
+def _merged(own: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, tag, begin, end) of the surroundings of rows ``at`` that hold a string of SPAN bytes, overlapping ones as one."""
+    at = at[own["left"][at] + own["right"][at] >= SPAN]
+    ids, tags, begin = own["id"][at], own["tag"][at], own["pos"][at] - own["left"][at]
+    order = np.lexsort((begin, tags, ids))
+    ids, tags, begin, end = ids[order], tags[order], begin[order], (own["pos"][at] + own["right"][at])[order]
+    # Ends rise with begins inside a document, as neither side is longer for an earlier anchor by more than its distance.
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return ids[first], tags[first], begin[first], (np.maximum.reduceat(end, first) if len(first) else end)
+
+
+def _received(batches: Iterator[pa.RecordBatch], covers: list | None = None) -> Iterator[tuple[dict[str, np.ndarray], list]]:
+    """The anchors of each bucket, with their surroundings' bytes where sent; ``covers`` takes what blocks have found.
+    Batches are sorted by part."""
     part, held = None, []
 
     def done():
@@ -212,6 +231,9 @@ def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.
                     yield done()
                 part, held = p.as_py(), []
             g, a, d, t, q, s, near = (b.as_buffer() if b.is_valid else None for b in blobs)
+            if g is None:
+                covers.append((unpack(d, np.int64), unpack(t, np.uint16).astype(np.int64), unpack(q, np.int64), unpack(a, np.int64)))
+                continue
             sides = np.frombuffer(s, np.uint8).reshape(2, -1).astype(np.int64)
             held.append(
                 {"gram": unpack(g, U64), "around": unpack(a, U64), "id": unpack(d, np.int64), "tag": unpack(t, np.uint16).astype(np.int64), "pos": unpack(q, np.int64), "left": sides[0], "right": sides[1], "near": near}
@@ -240,18 +262,19 @@ def _spans(docs: DataFrame) -> DataFrame:
         for ids, tags, own, _ in anchor_blocks(batches):
             if own:
                 own["id"], own["tag"] = ids[own["row"]], tags[own["row"]].astype(np.int64)
-                everything = np.arange(len(own["gram"]))
-                rows = [_sent(p, own, everything[at], None) for p, at in _buckets(own["lead"], splitters.value)]
-                yield from (_sent_batch([r]) for r in rows)
+                first, later = _later(own)
+                yield from (_sent_batch([_sent(p, own, first[at], None)]) for p, at in _buckets(own["lead"][first], splitters.value))
+                of, tag, begin, end = _merged(own, later)
+                if len(of):
+                    yield _sent_batch([(int(of[0]) % parts, len(of), None, pack(end), pack(of), pack(tag.astype(np.uint16)), pack(begin), None, None)])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, _ in _received(batches):
-            order = places(own["id"], own["tag"], own["pos"])
-            first = firsts(own["around"], order)
-            later = np.ones(len(order), bool)
-            later[first] = False
-            twice = later & ~_same_place(own, first)
-            yield _covers(*(own[k][twice] for k in ("id", "tag", "pos", "left", "right")))
+        covers: list[tuple[np.ndarray, ...]] = []
+        for own, _ in _received(batches, covers):
+            first, later = _later(own)
+            covers.append(_merged(own, later))
+            while covers:
+                yield _covers(*covers.pop())
             _, back, n = np.unique(own["gram"][first], return_inverse=True, return_counts=True)
             still = first[n[back] > 1]
             slot = np.sort(slots(own["id"][still], own["tag"][still], own["pos"][still]))
@@ -260,12 +283,8 @@ def _spans(docs: DataFrame) -> DataFrame:
                 bits = np.bitwise_or.reduceat(np.int64(1) << (slot & 63), at)
                 m = len(words)
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(m, k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array(words.astype(np.int32)), pa.array(bits)], names=OUT)
-
-    def _same_place(own, first) -> np.ndarray:
-        """Rows that repeat the very place of the first of their surroundings (a document given twice)."""
-        around = own["around"][first]  # sorted
-        f = first[np.searchsorted(around, own["around"])]
-        return (own["id"] == own["id"][f]) & (own["tag"] == own["tag"][f]) & (own["pos"] == own["pos"][f])
+        while covers:
+            yield _covers(*covers.pop())
 
     settled = docs.mapInArrow(emit, SENT_SCHEMA).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(settle, OUT_SCHEMA)
     settled = staged(settled, "suffix-settled")
