@@ -1,9 +1,10 @@
 """Line dedup as an exact set-similarity join. DataFrame functions only.
 
 A line's tokens are its distinct five-word shingles (with fewer words: the whole sequence). Tokens are ordered from
-rare to common by a count of all tokens of the corpus in CELLS cells, then by hash. Two lines of similarity t share a
-token among the first n - ceil(t n) + 1 of either (prefix filter), their sizes differ by a factor t at most (length
-filter), and what follows the shared token must suffice (positional filter). What is left is verified on whole sets.
+rare to common by the count of their first word in the corpus, which bounds their own, kept in CELLS cells, then by
+hash. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of either (prefix filter), their sizes
+differ by a factor t at most (length filter), and what follows the shared token must suffice (positional filter). What
+is left is verified on whole sets.
 
 A line needs one earlier match only. Equal lines are found by digest; then each line is compared with the earliest
 line under each of its prefix tokens; only lines without a match so far are compared with all others.
@@ -39,22 +40,25 @@ def _lines(docs: DataFrame, *others: str) -> DataFrame:
     return words.withColumn("line", F.xxhash64("words"))
 
 
-def _runs(words: str) -> Column:
-    """Hashes of the shingles of an array of words."""
-    hashed = f"transform({words}, w -> xxhash64(w))"
-    at = ", ".join(f"h[i + {k}]" for k in range(WORDS))
-    return F.expr(f"transform(array({hashed}), h -> if(size(h) < {WORDS}, array(xxhash64(h)), transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({at}))))[0]")
+def _keys(words: str, rank: Column) -> Column:
+    """The tokens of an array of words as numbers in the common order, sorted: the rank of the first word's cell above, 55
+    bits of the shingle's hash below. ``rank`` is an array of CELLS numbers."""
+    hashes = F.transform(F.col(words), lambda w: F.xxhash64(w))
 
+    def shingles(h: Column) -> Column:
+        def token(first: Column, i: Column) -> Column:
+            return F.shiftleft(rank[first.bitwiseAND(F.lit(CELLS - 1)).cast("int")], 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[h[i + k] for k in range(WORDS)]), 9))
 
-def _keys(rank: Column, tokens: str) -> Column:
-    """Tokens as numbers in the common order: the rank of the cell above, 55 bits of the hash below."""
-    cell = lambda t: F.coalesce(rank[F.pmod(t, F.lit(CELLS)).cast("int")], F.lit(0))
-    return F.sort_array(F.transform(F.col(tokens), lambda t: F.shiftleft(cell(t), 55).bitwiseOR(F.shiftrightunsigned(t, 9))))
+        runs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - (WORDS - 1), F.lit(0))), token)
+        return F.when(F.size(h) < WORDS, F.array(F.shiftrightunsigned(F.xxhash64(h), 9))).otherwise(runs)
 
+    return F.sort_array(F.array_distinct(F.transform(F.array(hashes), shingles)[0]))
 
-def _rank(lines: DataFrame) -> Column:
-    """Rank (0-255, by the logarithm of the count) of each cell: CELLS numbers, whatever the corpus."""
-    counts = lines.select(F.explode(_runs("words")).alias("token")).groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
+
+def _rank(docs: DataFrame) -> Column:
+    """Rank (0-255, by the logarithm of the count) of each cell of words: CELLS numbers, whatever the corpus."""
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n"))
     ranks = ["0"] * CELLS
     for row in counts.select(F.col("cell").cast("int"), F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("r")).collect():
         ranks[row["cell"]] = str(row["r"])
@@ -85,7 +89,7 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
 def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, tag, line_no, kind, earlier, similarity) of ``repeated_lines``; ``earlier`` is a place (doc, no, tag)."""
     lines = _lines(docs)
-    rank = _rank(lines)
+    rank = _rank(docs)
     place = F.struct("doc", "no", "tag")
 
     keyed = staged(lines.select("doc", "tag", "no", "line"), "line-keyed")
@@ -97,10 +101,10 @@ def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     common = firsts.where(F.col("m") > total / (4 * partitions(docs.sparkSession))).select("line", F.col("first").alias("only"))  # four a partition at most
     once = lines.join(F.broadcast(common), "line", "left").where(F.col("only").isNull() | (place == F.col("only")))
 
-    keys = once.select("line", F.array_distinct(_runs("words")).alias("tokens")).select("line", _keys(rank, "tokens").alias("keys"))
+    keys = once.select("line", _keys("words", rank).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
-    entries = keys.select("line", n.alias("n"), F.posexplode(prefix).alias("place", "key")).select(F.hash("key").alias("key"), "line", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("at"))
+    entries = keys.select("line", n.alias("n"), F.posexplode(prefix).alias("place", "key")).select("key", "line", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("at"))
     under = Window.partitionBy("key")
     shared = entries.withColumns({"low": F.min("line").over(under), "high": F.max("line").over(under)}).where("low != high").select("key", "line", "at").distinct()
     # Place the lines that share a key by their first occurrence; the earliest under a key is the centre of its star.
@@ -134,7 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rank: Column) -> DataFrame:
     """(line, keys): the whole token sets of the lines at the places (doc, tag, no) in ``wanted``."""
     per = wanted.groupBy("doc", "tag").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
     lines = _lines(docs.join(per, ["doc", "tag"]), "wanted").where(F.array_contains("wanted", F.col("no")))
-    return lines.select("line", F.array_distinct(_runs("words")).alias("tokens")).select("line", _keys(rank, "tokens").alias("keys")).dropDuplicates(["line"])
+    return lines.select("line", _keys("words", rank).alias("keys")).dropDuplicates(["line"])
 
 
 def without_repeated_lines(
