@@ -474,6 +474,18 @@ def _answered(found: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, table = None, None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def sums() -> pa.RecordBatch:
+            block, text, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            names, at = np.unique(block, return_inverse=True)
+            out = []
+            for k, rest in split(at, len(names)):
+                of, score, base, known = _sums(text[rest], np.ones(len(rest), np.int64), weight[rest], np.zeros(len(rest)), np.zeros(len(rest)))
+                out.append((_goes(int(names[k]), parts), SUMS, int(names[k]), packed(small(of), score, base, small(known))))
+            return _batch(out, SENT)
+
         for p, kind, _, data in rows(batches):
             if p != part:
                 part, table = p, None
@@ -487,12 +499,11 @@ def _answered(found: DataFrame, parts: int) -> DataFrame:
             if table is not None:
                 at = np.minimum(np.searchsorted(table[0], context), len(table[0]) - 1)
                 lift = np.where(table[0][at] == context, table[1][at], 0.0)
-            sums = []
-            for b in np.unique(block).tolist():
-                own = block == b
-                of, score, base, known = _sums(text[own].astype(np.int64), n[own].astype(np.int64), lift[own], np.zeros(own.sum()), np.zeros(own.sum()))
-                sums.append((_goes(b, parts), SUMS, b, packed(small(of), score, base, small(known))))
-            yield _batch(sums, SENT)
+            held.append((block, text.astype(np.int64), n * lift))
+            if sum(len(h[0]) for h in held) > BLOCK_TOKENS:
+                yield sums()
+        if held:
+            yield sums()
 
     return _in_order(found, parts, "part", "kind").mapInArrow(run, SENT)
 
