@@ -9,25 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.sources.sinks import checkpointed
+from meshwork.sources.sinks import checkpointed, partitions
 
 
-def running(frame: DataFrame, value: str, *order: Column, parts: int = 64) -> DataFrame:
+def running(frame: DataFrame, value: str, *order: Column) -> DataFrame:
     """``frame`` with nth (from 1), upto (running sum of ``value``), rows and total, in the given order.
 
-    The order's first column is cut at approximate quantiles; each range is summed in its own window.
+    Rows are range-partitioned by the whole order, as many ranges as the session has partitions, and written once; each
+    range is summed in its own window.
     """
-    first = order[0]
-    key = frame.withColumn("_key", first.cast("double"))
-    cuts = key.agg(F.percentile_approx("_key", [k / parts for k in range(1, parts)], 1000).alias("cuts"))
-    ranged = key.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("cuts", lambda c: c < F.col("_key")))).drop("cuts")
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    ranged = frame.withColumns(keys).repartitionByRange(partitions(frame.sparkSession), *keys).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(ranged, "ranges")
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     every = Window.partitionBy()
     starts = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_n").over(every).alias("rows"), F.sum("_s").over(every).alias("total"))
-    inside = Window.partitionBy("_range").orderBy("_key", *order[1:])
+    inside = Window.partitionBy("_range").orderBy(*keys)
     placed = ranged.withColumns({"_i": F.row_number().over(inside), "_u": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    return placed.join(F.broadcast(starts), "_range").withColumns({"nth": F.col("_n0") + F.col("_i"), "upto": F.col("_s0") + F.col("_u")}).drop("_range", "_key", "_i", "_u", "_n0", "_s0")
+    placed = placed.join(F.broadcast(starts), "_range").withColumns({"nth": F.col("_n0") + F.col("_i"), "upto": F.col("_s0") + F.col("_u")})
+    return placed.drop("_range", "_i", "_u", "_n0", "_s0", *keys)
 
 
 def with_micro(edges: DataFrame) -> DataFrame:

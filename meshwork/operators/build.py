@@ -107,3 +107,10 @@ def extent(points: DataFrame) -> DataFrame:
 def checked(frame: DataFrame, condition, message: str) -> DataFrame:
     """``frame``, which fails when it is read if a row breaks the condition."""
     return frame.where(F.coalesce(condition, F.lit(False)) | F.raise_error(F.lit(message)).isNotNull())
+
+
+def joined_once(sample: DataFrame, measured: DataFrame, key: str) -> DataFrame:
+    """``sample`` left-joined with measurements, at most one a key on either side: a second one stops the query."""
+    fine = F.col("times") == 1
+    once = lambda frame: checked(frame.groupBy(key).agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in frame.columns if c != key]), fine, f"{key} is not unique").drop("times")
+    return once(sample).join(once(measured), key, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance
+from meshwork.operators.analytic import running
 
 
 
@@ -123,7 +124,7 @@ def layered(edges: DataFrame, rich: DataFrame) -> DataFrame:
     """Edges of the four layers with the hub (their connective end) and whether the partner is rich."""
     kept = edges.withColumn("layer", layer()).where("layer is not null")
     hub_is_dst = F.col("layer").isin("brain-descending", "vnc-ascending")
-    kept = kept.select("layer", "length", F.when(hub_is_dst, F.col("dst")).otherwise(F.col("src")).alias("hub"), F.when(hub_is_dst, F.col("src")).otherwise(F.col("dst")).alias("node"))
+    kept = kept.select("layer", F.when(hub_is_dst, F.col("dst")).otherwise(F.col("src")).alias("hub"), F.when(hub_is_dst, F.col("src")).otherwise(F.col("dst")).alias("node"))
     return kept.join(rich, "node").withColumnRenamed("node", "partner")
 
 
@@ -156,10 +157,14 @@ def rich_club(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     of_nodes = degree.groupBy(F.col("degree").alias("k")).agg(F.count("*").alias("n"))
     least = edges.select("src", "dst").join(degree.select(F.col("node").alias("src"), F.col("degree").alias("a")), "src").join(degree.select(F.col("node").alias("dst"), F.col("degree").alias("b")), "dst")
     of_edges = least.groupBy(F.least("a", "b").alias("k")).agg(F.count("*").alias("e"))
-    spine = degree.agg(F.max("degree").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long"))).alias("k"))
-    above = Window.orderBy("k").rowsBetween(1, Window.unboundedFollowing)  # a row per degree value
-    joined = spine.join(of_nodes, "k", "left").join(of_edges, "k", "left")
-    sums = joined.select("k", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("nodes_above"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("edges_above"))
+    # Above a degree that no node has, the next one counts: only degrees that occur take part in the running sums.
+    seen = of_nodes.join(of_edges, "k", "left").withColumn("e", F.coalesce("e", F.lit(0))).withColumn("one", F.col("n"))
+    ran = running(seen, "n", -F.col("k")).select("k", F.col("upto").alias("n_from"), "n", "e")
+    ran = running(ran, "e", -F.col("k")).select("k", "n_from", "n", F.col("upto").alias("e_from"), F.lag("k").over(Window.orderBy("k")).alias("below"))  # a row per degree that occurs
+    # From the degree below up to k - 1, the nodes and edges above are those from k on; from the greatest on there are none.
+    spans = ran.select(F.explode(F.sequence(F.coalesce("below", F.lit(0)).cast("long"), F.col("k") - 1)).alias("k"), F.col("n_from").alias("nodes_above"), F.col("e_from").alias("edges_above"), F.col("k").alias("top")).where("k < top")
+    last = degree.agg(F.max("degree").cast("long").alias("k")).select("k", F.lit(0).cast("long").alias("nodes_above"), F.lit(0).cast("long").alias("edges_above"))
+    sums = spans.drop("top").unionByName(last)
     n = F.col("nodes_above")
     return sums.withColumn("phi", F.when(n >= 2, F.col("edges_above") / (n * (n - 1))))
 

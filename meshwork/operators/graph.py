@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.functions.expressions import draw
+from meshwork.functions.expressions import distance, draw
+from meshwork.operators import edges as E
+from meshwork.operators.analytic import running
+from meshwork.operators.flow import max_flow
+from meshwork.sources.graph_views import with_ends
 from meshwork.sources.sinks import checkpointed
 
+#: Edges of a range in which rewiring looks for partners.
+PAIRED = 4096
+
 
-def search_levels(edges: DataFrame, roots: DataFrame, most: int = 100, directed: bool = True) -> DataFrame:
-    """Breadth-first search from every root at once: (root, node, level), the root at level 0.
+def search_levels(edges: DataFrame, roots: DataFrame, directed: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Breadth-first search from every root at once, to the end: (*by, root, node, level), the root at level 0.
 
-    A round joins the frontier with the edges and drops nodes already reached. ``roots`` has node.
+    A round joins the frontier with the edges and drops nodes already reached; each level is a table of its own.
+    ``roots`` has node. Searches in several graphs run together: ``by`` are columns of both tables that tell them apart.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = edges.select(*by, "src", "dst").distinct()
     if not directed:
-        steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = checkpointed(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("level")).distinct())
-    for level in range(1, most + 1):
-        frontier = reached.where(F.col("level") == level - 1).select("root", F.col("node").alias("src"))
-        found = frontier.join(steps, "src").select("root", F.col("dst").alias("node")).distinct().join(reached.select("root", "node"), ["root", "node"], "left_anti")
-        grown = checkpointed(found.withColumn("level", F.lit(level)))
-        if grown.isEmpty():
-            break
-        reached = checkpointed(reached.unionByName(grown))
+        steps = steps.unionByName(steps.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    frontier = checkpointed(roots.select(*by, F.col("node").alias("root"), "node", F.lit(0).alias("level")).distinct(), "level")
+    reached = frontier
+    while not frontier.isEmpty():
+        found = frontier.select(*by, "root", F.col("node").alias("src"), "level").join(steps, [*by, "src"]).groupBy(*by, "root", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("level"))
+        frontier = checkpointed(found.join(reached.select(*by, "root", "node"), [*by, "root", "node"], "left_anti"), "level")
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -130,29 +138,87 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return steps.join(sums, ["src", "dst"], "left").fillna(0.0)
 
 
-def rewired(edges: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """Degree-preserving randomisation: each round pairs all edges at random and swaps targets where the graph stays
-    simple; then each source's weights are dealt anew over its new edges."""
-    now = checkpointed(edges.select("src", "dst"))
-    width = 1 << 20
+def rewired(edges: DataFrame, rounds: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Degree-preserving randomisation: each round pairs edges at random (inside the groups ``by``, such as layers) and swaps
+    targets where the graph stays simple; then each source's weights are dealt anew over its new edges.
+
+    Neighbours in a random order are partners; the order is cut into ranges of about PAIRED edges, so no window is long.
+    """
+    now = checkpointed(edges.select(*by, "src", "dst"), "rewired")
+    ranges = max(1, -(-now.count() // PAIRED))
     for k in range(rounds):
-        keyed = now.withColumn("u", draw(seed, k, F.col("src"), F.col("dst")))
-        # Neighbours in the random order inside equal ranges of it are partners.
-        w = Window.partitionBy(F.floor(F.col("u") * 64)).orderBy("u", "src", "dst")
-        nth = keyed.withColumn("bucket", F.floor(F.col("u") * 64)).withColumn("i", F.row_number().over(w) - 1).withColumn("pair", F.expr("i div 2")).select("bucket", "pair", (F.col("i") % 2).alias("which"), "src", "dst")
+        keyed = now.withColumn("u", draw(seed, k, F.col("src"), F.col("dst"))).withColumn("bucket", F.floor(F.col("u") * ranges))
+        w = Window.partitionBy(*by, "bucket").orderBy("u", "src", "dst")
+        nth = keyed.withColumn("i", F.row_number().over(w) - 1).withColumn("pair", F.expr("i div 2")).select(*by, "bucket", "pair", (F.col("i") % 2).alias("which"), "src", "dst")
         one, two = nth.where("which = 0"), nth.where("which = 1")
-        pairs = one.select("bucket", "pair", F.col("src").alias("a"), F.col("dst").alias("b")).join(two.select("bucket", "pair", F.col("src").alias("c"), F.col("dst").alias("d")), ["bucket", "pair"])
-        wanted = pairs.where("a != d and c != b and a != c and b != d")
-        new = wanted.select("a", "b", "c", "d", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("d").alias("dst")), F.struct(F.col("c").alias("src"), F.col("b").alias("dst")))).alias("e"))
-        new = new.select("a", "b", "c", "d", "e.src", "e.dst")
-        clash = new.join(now.withColumn("old", F.lit(1)), ["src", "dst"], "left").withColumn("same", F.count("*").over(Window.partitionBy("src", "dst")))
-        good = checkpointed(clash.groupBy("a", "b", "c", "d").agg(F.max("old").alias("old"), F.max("same").alias("same")).where("old is null and same = 1").select("a", "b", "c", "d"))
-        gone = good.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(good.select(F.col("c").alias("src"), F.col("d").alias("dst")))
-        made = good.select(F.col("a").alias("src"), F.col("d").alias("dst")).unionByName(good.select(F.col("c").alias("src"), F.col("b").alias("dst")))
-        now = checkpointed(now.join(gone, ["src", "dst"], "left_anti").unionByName(made))
-    old = edges.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy(draw(seed, "w", F.col("src"), F.col("dst")), "dst"))).select("src", "i", "weight")
-    fresh = now.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    return fresh.join(old, ["src", "i"]).select("src", "dst", "weight")
+        pairs = one.select(*by, "bucket", "pair", F.col("src").alias("a"), F.col("dst").alias("b")).join(two.select(*by, "bucket", "pair", F.col("src").alias("c"), F.col("dst").alias("d")), [*by, "bucket", "pair"])
+        wanted = checkpointed(pairs.where("a != d and c != b and a != c and b != d").select(*by, "a", "b", "c", "d"), "swaps")
+        new = wanted.select(*by, "a", "b", "c", "d", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("d").alias("dst")), F.struct(F.col("c").alias("src"), F.col("b").alias("dst")))).alias("e"))
+        new = new.select(*by, "a", "b", "c", "d", "e.src", "e.dst")
+        times = new.groupBy(*by, "src", "dst").agg(F.count("*").alias("same"))
+        clash = new.join(now.withColumn("old", F.lit(1)), [*by, "src", "dst"], "left").join(times, [*by, "src", "dst"])
+        good = checkpointed(clash.groupBy(*by, "a", "b", "c", "d").agg(F.max("old").alias("old"), F.max("same").alias("same")).where("old is null and same = 1").select(*by, "a", "b", "c", "d"), "swaps")
+        at = lambda x, y: good.select(*by, F.col(x).alias("src"), F.col(y).alias("dst"))
+        now = checkpointed(now.join(at("a", "b").unionByName(at("c", "d")), [*by, "src", "dst"], "left_anti").unionByName(at("a", "d")).unionByName(at("c", "b")), "rewired")
+    old = edges.withColumn("i", F.row_number().over(Window.partitionBy(*by, "src").orderBy(draw(seed, "w", F.col("src"), F.col("dst")), "dst"))).select(*by, "src", "i", "weight")
+    fresh = now.withColumn("i", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dst")))
+    return fresh.join(old, [*by, "src", "i"]).select(*by, "src", "dst", "weight")
+
+
+def redealt(graph: DataFrame, seed: int) -> DataFrame:
+    """The same pairs (one, two) with their wires dealt anew."""
+    rows = graph.withColumn("single", F.lit(1))
+    named = running(rows, "single", F.col("one"), F.col("two")).select("nth", "one", "two")
+    dealt = running(rows, "single", draw(seed, F.col("one"), F.col("two")), F.col("one"), F.col("two")).select("nth", "wire")
+    return named.join(dealt, "nth").drop("nth")
+
+
+def network_metrics(graph: DataFrame) -> DataFrame:
+    """One row for an undirected weighted graph (one, two, wire): mean local clustering and the same weighted by wire (a
+    closed pair counts with its two wires' mean over the node's), and mean path length in steps and by cost, the
+    greatest wire over the edge's; means of paths are over pairs with one."""
+    both = checkpointed(graph.select(F.col("one").alias("node"), F.col("two").alias("other"), "wire").unionByName(graph.select(F.col("two").alias("node"), F.col("one").alias("other"), "wire")), "both")
+    per = both.groupBy("node").agg(F.count("*").alias("k"), F.sum("wire").alias("s"))
+    wedge = both.select("node", F.col("other").alias("x"), F.col("wire").alias("wx")).join(both.select("node", F.col("other").alias("y"), F.col("wire").alias("wy")), "node").where("x < y")
+    closed = wedge.join(both.select(F.col("node").alias("x"), F.col("other").alias("y")), ["x", "y"]).groupBy("node").agg(F.count("*").alias("t"), F.sum(F.col("wx") + F.col("wy")).alias("w"))
+    local = per.join(closed, "node", "left").fillna(0, ["t", "w"])
+    k = F.col("k")
+    clustering = local.agg(F.count("*").alias("nodes"), F.avg(F.when(k >= 2, 2 * F.col("t") / (k * (k - 1))).otherwise(0.0)).alias("clustering"), F.avg(F.when(k >= 2, F.col("w") / (F.col("s") * (k - 1))).otherwise(0.0)).alias("weighted_clustering"))
+    steps = search_levels(both.select(F.col("node").alias("src"), F.col("other").alias("dst")), per.select("node")).where("level > 0").agg(F.avg("level").alias("path"))
+    costs = path_costs(both.join(F.broadcast(both.agg(F.max("wire").alias("most")))).select("node", "other", (F.col("most") / F.col("wire")).alias("cost"))).agg(F.avg("cost").alias("weighted_path"))
+    return clustering.join(steps).join(costs)
+
+
+def path_costs(steps: DataFrame) -> DataFrame:
+    """(root, node, cost) of the cheapest paths between all pairs by (node, other, cost): rounds in which every pair whose
+    cost fell is carried one step further. All pairs are the feature."""
+    best = checkpointed(steps.groupBy(F.col("node").alias("root"), F.col("other").alias("node")).agg(F.min("cost").alias("cost")), "costs")
+    fresh = best
+    while not fresh.isEmpty():
+        longer = fresh.join(steps.select("node", "other", F.col("cost").alias("more")), "node").where("root != other").groupBy("root", F.col("other").alias("node")).agg(F.min(F.col("cost") + F.col("more")).alias("found"))
+        joined = checkpointed(best.join(longer, ["root", "node"], "full_outer").withColumn("fell", F.coalesce(F.col("found") < F.col("cost") * (1 - 1e-12), F.col("cost").isNull())), "costs")
+        fresh = joined.where("fell").select("root", "node", F.col("found").alias("cost"))
+        best = joined.select("root", "node", F.when(F.col("fell"), F.col("found")).otherwise(F.col("cost")).alias("cost"))
+    return best
+
+
+def properties(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(property, value) of a directed graph over ``nodes`` (node, x, y, z, role, compartment, superclass): edges, spread and
+    maximum of in- and out-degree, total and median length, share across compartments, reciprocity, transitivity, flow and
+    reachable pairs from sensory to motor nodes, crossing edges, routes between rich nodes."""
+    measured = checkpointed(with_ends(edges.select("src", "dst"), nodes, ["x", "y", "z", "role", "compartment"]).withColumn("length", distance("src_", "dst_")), "measured")
+    d = E.degrees(measured, nodes)
+    s, t = (nodes.where(F.col("superclass") == c).select("node") for c in ("sensory", "motor"))
+    rich = E.rich_mask(measured, nodes, 0.1)
+    other = ~F.coalesce(F.col("src_compartment").eqNullSafe(F.col("dst_compartment")), F.lit(False))
+    parts = [
+        d.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in ("in_degree", "out_degree") for f, n in ((F.stddev_pop, "sd"), (F.max, "max"))]),
+        measured.agg(F.count("*").cast("double").alias("edges"), E.wire().alias("total_cost"), F.median("length").alias("median_length"), F.avg(other.cast("int")).alias("cross_compartment"), F.count_if(E.crossing()).cast("double").alias("crossing_edges")),
+        E.reciprocity(measured).select("reciprocity"), clustering(measured).select("transitivity"), max_flow(measured.select("src", "dst"), s, t).select(F.col("flow").cast("double").alias("flow")),
+        reachable_pairs(measured, s, t).select(F.col("pairs").cast("double").alias("pairs")), E.route_counts(measured, rich).agg(F.coalesce(F.sum("routes"), F.lit(0)).cast("double").alias("rich_routes")),
+    ]
+    rows = [p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).alias("value")) for c in p.columns])).alias("r")).select("r.*") for p in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def modularity(graph: DataFrame, parts: DataFrame) -> DataFrame:
@@ -185,15 +251,20 @@ def communities(graph: DataFrame, rounds: int = 12, seed: int = 1) -> DataFrame:
     return named.select("node", F.col("name").alias("community"))
 
 
-def removal_curve(edges: DataFrame, nodes: DataFrame, cuts: DataFrame, sources: DataFrame, order: str) -> DataFrame:
-    """For each cut (name, cut): largest component and efficiency after the first ``cut`` edges by ``order`` are gone.
+def removal_curve(edges: DataFrame, nodes: DataFrame, cuts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(schedule, share, cut, largest, efficiency): largest component and efficiency after the first ``cut`` edges of a
+    schedule are gone. ``edges`` has schedule, nth, src, dst; ``cuts`` has schedule, share, cut.
 
-    Cuts are few; each is a pair of distributed searches.
+    Every cut is a graph of its own in the same tables, so all of them share the rounds of one search.
     """
-    out = None
-    count = nodes.agg(F.count("*").alias("n"))
-    for row in cuts.collect():  # a handful of schedule points
-        left = checkpointed(edges.where(F.col(order) > row["cut"]))
-        one = largest_component(left, nodes).join(efficiency(search_levels(left, sources), count)).select(F.lit(row["share"]).alias("share"), F.lit(row["cut"]).alias("cut"), "largest", "efficiency")
-        out = one if out is None else out.unionByName(one)
-    return out
+    by = ("schedule", "share")
+    left = checkpointed(edges.join(F.broadcast(cuts), "schedule").where("nth > cut").select(*by, "src", "dst"), "left")
+    many = cuts.select(*by)
+    n = nodes.agg(F.count("*").alias("n"))
+    levels = checkpointed(search_levels(left, many.join(F.broadcast(sources.select("node").distinct())), by=by), "levels")
+    near = levels.groupBy(*by).agg(F.sum(F.when(F.col("level") > 0, 1 / F.col("level")).otherwise(0.0)).alias("s"), F.countDistinct("root").alias("roots")).join(F.broadcast(n))
+    named = lambda c: F.concat_ws("\u0001", "schedule", F.col("share").cast("string"), c)
+    parts = weak_components(left.select(named("src").alias("src"), named("dst").alias("dst")), many.join(F.broadcast(nodes.select("node"))).select(named("node").alias("node")))
+    first = lambda i: F.split("component", "\u0001")[i]
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).groupBy(first(0).alias("schedule"), first(1).cast("double").alias("share")).agg(F.max("size").alias("largest"))
+    return cuts.join(sizes, list(by)).join(near, list(by)).select("schedule", "share", "cut", "largest", (F.col("s") / (F.col("roots") * (F.col("n") - 1))).alias("efficiency"))

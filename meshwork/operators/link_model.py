@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from meshwork.functions.expressions import distance, draw, sigmoid
 from meshwork.operators.analytic import running
 from meshwork.operators.edges import degrees
+from meshwork.operators.graph import properties
+from meshwork.operators.regions import all_pairs
+from meshwork.operators.sampling import non_edges
 from meshwork.sources.sinks import checkpointed
 
 #: Nested models by the columns they use.
@@ -45,11 +49,15 @@ def stacked(edges: DataFrame, negatives: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.lit(1.0).alias("label")).unionByName(negatives.select("src", "dst", F.lit(0.0).alias("label")))
 
 
-def encoded(design: DataFrame) -> DataFrame:
+def encoders(design: DataFrame):
+    """Models that make class_index and pair from class_pair; classes that the design lacks are one more class."""
     index = StringIndexer(inputCol="class_pair", outputCol="class_index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(design)
-    hot = OneHotEncoder(inputCol="class_index", outputCol="pair", dropLast=False)
-    indexed = index.transform(design)
-    return hot.fit(indexed).transform(indexed)
+    return index, OneHotEncoder(inputCol="class_index", outputCol="pair", dropLast=False).fit(index.transform(design))
+
+
+def encoded(design: DataFrame) -> DataFrame:
+    index, hot = encoders(design)
+    return hot.transform(index.transform(design))
 
 
 def fit(design: DataFrame, columns: list[str], strength: float = 1.0):
@@ -103,16 +111,62 @@ def logit_histogram(logits: DataFrame, width: float = 0.002) -> DataFrame:
 
 
 def solved_shift(histogram: DataFrame, expected: float, width: float = 0.002) -> float:
-    """The shift at which the logistic sum over the histogram is the expected number of edges; bisection on aggregates."""
+    """The shift at which the logistic sum over the histogram is the expected number of edges. The histogram is of bounded
+    length (logits are clipped by their range over ``width``); it is bisected in the driver."""
+    rows = histogram.select("bin", "n").toPandas()
+    centre, n = (rows["bin"].to_numpy() + 0.5) * width, rows["n"].to_numpy(float)
     low, high = -50.0, 50.0
-    histogram = histogram.cache()
-    for _ in range(40):
+    for _ in range(80):
         middle = (low + high) / 2
-        total = histogram.agg(F.sum(F.col("n") * sigmoid((F.col("bin") + 0.5) * F.lit(width) + F.lit(middle))).alias("s")).first()["s"]
-        low, high = (middle, high) if total < expected else (low, middle)
+        low, high = (middle, high) if (n / (1 + np.exp(-(centre + middle)))).sum() < expected else (low, middle)
     return (low + high) / 2
 
 
+def sampled_design(edges: DataFrame, nodes: DataFrame, seed: int, per_edge: int = 5) -> DataFrame:
+    """The pair design of all edges and ``per_edge`` non-edges for each (all of them, if there are fewer)."""
+    n, m = nodes.count(), edges.count()
+    return pair_design(stacked(edges, non_edges(edges, nodes, min(per_edge * m, n * (n - 1) - m), seed)), node_features(nodes, edges))
+
+
+def calibrated(edges: DataFrame, nodes: DataFrame, models: list[str], seed: int, per_edge: int = 5, width: float = 0.002) -> DataFrame:
+    """For each model: its intercept corrected for the sampled non-edges, the shift that makes all pairs expect as many edges
+    as there are, and the number expected with it."""
+    n, m = nodes.count(), edges.count()
+    rows = []
+    for name in models:
+        shift, logits, intercept = _model_logits(edges, nodes, name, seed, per_edge, width)
+        expected = logits.agg(F.sum(sigmoid(F.col("logit") + F.lit(shift)))).first()[0]
+        rows.append((name, corrected_intercept(intercept, min(per_edge * m, n * (n - 1) - m), n * (n - 1) - m), shift, m, expected))
+    return nodes.sparkSession.createDataFrame(rows, "model string, intercept double, shift double, edges long, expected double")
+
+
+def _model_logits(edges: DataFrame, nodes: DataFrame, name: str, seed: int, per_edge: int = 5, width: float = 0.002) -> tuple[float, DataFrame, float]:
+    """(shift, logits of all pairs by the fitted model, its intercept)."""
+    n, m = nodes.count(), edges.count()
+    features = node_features(nodes, edges)
+    design = sampled_design(edges, nodes, seed, per_edge)
+    index, hot = encoders(design)
+    model, _ = fit(hot.transform(index.transform(design)), MODELS[name])
+    pairs = pair_design(all_pairs(nodes, []).select("src", "dst"), features)
+    every = model.transform(VectorAssembler(inputCols=MODELS[name], outputCol="features").transform(hot.transform(index.transform(pairs))))
+    logits = checkpointed(every.select("src", "dst", vector_to_array("rawPrediction")[1].alias("logit")), "logits")
+    return solved_shift(logit_histogram(logits, width), float(m), width), logits, float(model.intercept)
+
+
 def sampled_graph(logits: DataFrame, shift: float, seed: int) -> DataFrame:
     """Edges drawn independently with their own chance."""
     return logits.where(draw(seed, F.col("src"), F.col("dst")) < sigmoid(F.col("logit") + F.lit(shift))).select("src", "dst")
+
+
+def compared(edges: DataFrame, nodes: DataFrame, models: list[str], draws: int, seed: int) -> DataFrame:
+    """(model, property, real, draws, mean, low, high, reproduced): properties of graphs drawn from each fitted model, and
+    whether the real one is inside their central 95 percent."""
+    out = None
+    for name in models:
+        shift, logits, _ = _model_logits(edges, nodes, name, seed)
+        for i in range(draws):
+            one = properties(checkpointed(sampled_graph(logits, shift, seed + 1 + i), "drawn"), nodes).select(F.lit(name).alias("model"), F.lit(i).alias("draw"), "property", "value")
+            out = one if out is None else out.unionByName(one)
+    real = properties(edges, nodes).select("property", F.col("value").alias("real"))
+    per = out.groupBy("model", "property").agg(F.count("*").alias("draws"), F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    return per.join(real, "property").select("model", "property", "real", "draws", "mean", "low", "high", F.col("real").between(F.col("low"), F.col("high")).alias("reproduced"))

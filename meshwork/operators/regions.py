@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance
 from meshwork.operators.edges import wire
+from meshwork.sources.sinks import checkpointed
 
+#: Nodes of a block of the all-pairs histogram.
+BLOCK = 1024
 
-def pair_histogram(nodes: DataFrame, width: float, category: str = "compartment") -> DataFrame:
-    """Ordered pairs of different nodes by distance bin and category (the shared one, else 'cross').
 
-    All pairs are the feature; they are counted as they are made and never kept. Nodes are grouped into equal blocks
-    by hash and blocks meet on a key, so the work spreads over blocks x blocks tasks and none holds all nodes.
+def all_pairs(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Ordered pairs of different nodes (src, dst, src_<c>, dst_<c>). All pairs are the feature: their users aggregate them
+    as they are made.
+
+    Nodes are grouped into blocks of about BLOCK by hash and blocks meet on a key, so a group is bounded and the work
+    spreads over blocks x blocks groups.
     """
-    blocks = 16
-    c = F.coalesce(category, F.lit("none"))
-    base = nodes.select("node", "x", "y", "z", c.alias("category"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+    blocks = max(1, -(-nodes.count() // BLOCK))
+    base = nodes.select("node", *columns, F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = base.select(*[F.col(k).alias(f"a_{k}") for k in ("node", "x", "y", "z", "category", "block")]).withColumn("b_block", F.explode(every))
-    b = base.select(*[F.col(k).alias(f"b_{k}") for k in ("node", "x", "y", "z", "category", "block")]).withColumn("a_block", F.explode(every))
-    pairs = a.join(b, ["a_block", "b_block"]).where("a_node != b_node")
-    kind = F.when(F.col("a_category") == F.col("b_category"), F.col("a_category")).otherwise("cross")
-    return pairs.groupBy(F.floor(distance("a_", "b_") / width).alias("bin"), kind.alias("category")).agg(F.count("*").alias("pairs"))
+    side = lambda e: [F.col("node").alias(e), *[F.col(k).alias(f"{e}_{k}") for k in columns]]
+    a = base.select(*side("src"), F.col("block").alias("one"), F.explode(every).alias("two"))
+    b = base.select(*side("dst"), F.col("block").alias("two"), F.explode(every).alias("one"))
+    return a.join(b, ["one", "two"]).where("src != dst").drop("one", "two")
+
+
+def pair_histogram(nodes: DataFrame, width: float, category: str = "compartment") -> DataFrame:
+    """Ordered pairs of different nodes by distance bin and category (the shared one, else 'cross')."""
+    pairs = all_pairs(nodes.withColumn("category", F.coalesce(category, F.lit("none"))), ["x", "y", "z", "category"])
+    kind = F.when(F.col("src_category") == F.col("dst_category"), F.col("src_category")).otherwise("cross")
+    return pairs.groupBy(F.floor(distance("src_", "dst_") / width).alias("bin"), kind.alias("category")).agg(F.count("*").alias("pairs"))
 
 
 def edge_histogram(edges: DataFrame, width: float) -> DataFrame:
@@ -47,12 +57,41 @@ def probability_minima(curve: DataFrame) -> DataFrame:
 
 
 def nearest_region(nodes: DataFrame, surface: DataFrame) -> DataFrame:
-    """Each node's nearest surface point: region and distance. ``surface`` (region, x, y, z) is a table of landmarks;
-    Spark broadcasts it while it is small, and joins it by blocks of landmarks beyond."""
-    landmarks = surface.select("region", *[F.col(k).alias(f"r_{k}") for k in "xyz"])
-    near = nodes.select("node", *[F.col(k).alias(f"n_{k}") for k in "xyz"]).join(landmarks, F.lit(True)).withColumn("d", distance("n_", "r_"))
-    best = near.groupBy("node").agg(F.min(F.struct("d", "region")).alias("b"))
-    return best.select("node", F.col("b.region").alias("region"), F.col("b.d").alias("region_distance"))
+    """Each node's nearest surface point: region and distance. ``surface`` has region, x, y, z; of points at one distance
+    the least region counts. Nodes without a position are left out.
+
+    Points and nodes meet in the cells of a grid with about a point a cell: a node looks into the cells around its own,
+    and, as long as its nearest may be beyond them, into twice as many in each direction.
+    """
+    surface = surface.where("x is not null and y is not null and z is not null")
+    nodes = nodes.where("x is not null and y is not null and z is not null")
+    span = surface.agg(F.count("*").alias("n"), *[F.min(k).alias(f"low_{k}") for k in "xyz"], *[F.max(k).alias(f"high_{k}") for k in "xyz"]).first()
+    if not span["n"]:
+        return nodes.select("node", F.lit(None).cast(surface.schema["region"].dataType).alias("region"), F.lit(None).cast("double").alias("region_distance"))
+    width = max(max(span[f"high_{k}"] - span[f"low_{k}"] for k in "xyz") / max(round(span["n"] ** (1 / 3)), 1), 1e-9)
+    most = round(max(span[f"high_{k}"] - span[f"low_{k}"] for k in "xyz") / width) + 1
+
+    def cell(k: str) -> Column:  # a node outside of the span is in the nearest cell
+        inside = F.greatest(F.lit(span[f"low_{k}"]), F.least(F.lit(span[f"high_{k}"]), F.col(k)))
+        return F.floor((inside - F.lit(span[f"low_{k}"])) / width).cast("int")
+
+    points = checkpointed(surface.select("region", *[F.col(k).alias(f"r_{k}") for k in "xyz"], *[cell(k).alias(f"g{k}") for k in "xyz"]), "points")
+    waiting = checkpointed(nodes.select("node", *[F.col(k).alias(f"n_{k}") for k in "xyz"], *[cell(k).alias(f"c{k}") for k in "xyz"]), "nodes")
+    found, reach = None, 1
+    while not waiting.isEmpty():
+        near = waiting
+        for k in "xyz":
+            near = near.withColumn(f"g{k}", F.explode(F.sequence(F.greatest(F.col(f"c{k}") - reach, F.lit(0)), F.least(F.col(f"c{k}") + reach, F.lit(most)))))
+        near = near.join(points, ["gx", "gy", "gz"]).withColumn("d", distance("n_", "r_"))
+        best = near.groupBy("node").agg(F.min(F.struct("d", "region")).alias("b"))
+        # What is nearer than the cells looked at is certain: the node's distance to their border is at least reach cells inside the span.
+        border = F.least(*[F.least(F.col(f"n_{k}") - (F.lit(span[f"low_{k}"]) + (F.col(f"c{k}") - reach) * width), F.lit(span[f"low_{k}"]) + (F.col(f"c{k}") + reach + 1) * width - F.col(f"n_{k}")) for k in "xyz"])
+        all_seen = F.lit(reach > most)
+        state = checkpointed(waiting.join(best, "node", "left").withColumn("sure", all_seen | F.coalesce(F.col("b.d") <= border, F.lit(False))), "nearest")
+        done = state.where("sure").select("node", F.col("b.region").alias("region"), F.col("b.d").alias("region_distance"))
+        found = done if found is None else found.unionByName(done)
+        waiting, reach = state.where("not sure").select(*waiting.columns), reach * 2
+    return found if found is not None else nodes.select("node", F.lit(None).cast(surface.schema["region"].dataType).alias("region"), F.lit(None).cast("double").alias("region_distance"))
 
 
 def region_centroids(points: DataFrame) -> DataFrame:
@@ -136,3 +175,12 @@ def sibling_pairs(regions: DataFrame, stem: str = "stem", side: str = "side") ->
     right = regions.where(F.col(side) == "R").select(stem, F.col("value").alias("right_value"))
     return left.join(right, stem, "full_outer")
 
+
+
+def group_table(rows: DataFrame, group: str, value: str, member: str) -> DataFrame:
+    """By group: rows, those in each compartment, mean and sum of a value, and the sorted distinct members (names of classes
+    or regions: a small vocabulary)."""
+    return rows.groupBy(group).agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("compartment") == "brain").alias("brain"), F.count_if(F.col("compartment") == "vnc").alias("vnc"),
+        F.avg(value).alias(f"mean_{value}"), F.sort_array(F.collect_set(member)).alias("members"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.functions.expressions import distance, draw
 from meshwork.operators.analytic import running, take_until, with_micro
 from meshwork.operators.edges import wire
+from meshwork.sources.sinks import checkpointed
 
 SEED = 20260916
 
@@ -30,32 +31,89 @@ def cost_matched(edges: DataFrame, target: str, seed: int = SEED) -> DataFrame:
 
 
 def non_edges(edges: DataFrame, nodes: DataFrame, count: int, seed: int = SEED) -> DataFrame:
-    """``count`` distinct ordered pairs that are no edges: random pairs of numbered nodes, made in surplus, less edges."""
+    """``count`` distinct ordered pairs that are no edges: random pairs of numbered nodes less edges, in surplus of how
+    dense the graph is, more until they suffice. More than there are is an error."""
     numbered = running(nodes.select("node").withColumn("one", F.lit(1)).withColumn("_u", draw(seed, F.col("node"))), "one", F.col("_u"), F.col("node")).select((F.col("nth") - 1).cast("long").alias("i"), "node", "rows")
+    numbered = checkpointed(numbered, "numbered")
     size = numbered.agg(F.max("rows").alias("rows"))
-    tries = nodes.sparkSession.range(2 * count + 100).join(F.broadcast(size))
+    n, m = numbered.count(), edges.where("src != dst").select("src", "dst").distinct().count()
+    if count > n * (n - 1) - m:
+        raise ValueError(f"{count} pairs asked, {n * (n - 1) - m} are no edges")
+    spark, tries = nodes.sparkSession, 2 * count + 100
     at = lambda which: F.floor(draw(seed, which, F.col("id")) * F.col("rows")).cast("long")
-    pairs = tries.select("id", at("a").alias("a"), at("b").alias("b")).where("a != b")
-    named = pairs.join(numbered.select(F.col("i").alias("a"), F.col("node").alias("src")), "a").join(numbered.select(F.col("i").alias("b"), F.col("node").alias("dst")), "b")
-    first = named.groupBy("src", "dst").agg(F.min("id").alias("id")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return first.orderBy("id").limit(count).select("src", "dst")
+    while True:
+        pairs = spark.range(tries).join(F.broadcast(size)).select("id", at("a").alias("a"), at("b").alias("b")).where("a != b")
+        named = pairs.join(numbered.select(F.col("i").alias("a"), F.col("node").alias("src")), "a").join(numbered.select(F.col("i").alias("b"), F.col("node").alias("dst")), "b")
+        first = checkpointed(named.groupBy("src", "dst").agg(F.min("id").alias("id")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
+        if first.count() >= count:
+            return first.orderBy("id").limit(count).select("src", "dst")
+        tries *= 2
 
 
 def permutation(nodes: DataFrame, draw_id: Column, *group: str, seed: int = SEED) -> DataFrame:
-    """Positions dealt anew within groups: the k-th node by name takes the position of the k-th by draw. ``nodes`` has draw_id."""
+    """Positions dealt anew within groups: the k-th node by name takes the position of the k-th by draw. ``nodes`` has draw_id.
+
+    Both orders begin with draw and group, so equal places in them are equal places in a group: no group is in one task.
+    """
     by = ["draw_id", *group]
-    named = nodes.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).select("node", "_k", *by)
-    dealt = nodes.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, draw_id, F.col("node")), "node"))).select("_k", *by, "x", "y", "z")
-    return named.join(dealt, ["_k", *by]).drop("_k")
+    one = nodes.withColumn("one", F.lit(1))
+    named = running(one, "one", *map(F.col, by), F.col("node")).select("nth", "node", *by)
+    dealt = running(one, "one", *map(F.col, by), draw(seed, draw_id, F.col("node")), F.col("node")).select("nth", "x", "y", "z")
+    return named.join(dealt, "nth").drop("nth")
 
 
-def placement_null(edges: DataFrame, nodes: DataFrame, draws: int, *group: str, seed: int = SEED) -> DataFrame:
-    """Wire of ``draws`` permuted placements: (draw_id, wire). Draws are rows, so all run in one job."""
+def placement_null(edges: DataFrame, nodes: DataFrame, draws: int = 1000, *group: str, seed: int = SEED, by: tuple[str, ...] = ()) -> DataFrame:
+    """Wire of ``draws`` permuted placements: (draw_id, *by, wire), over edges with the columns ``by``. Draws are rows, so
+    all run in one job."""
     many = nodes.select("node", "x", "y", "z", *group).withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    placed = permutation(many, F.col("draw_id"), *group, seed=seed).select("draw_id", "node", "x", "y", "z")
+    placed = checkpointed(permutation(many, F.col("draw_id"), *group, seed=seed).select("draw_id", "node", "x", "y", "z"), "placed")
     one = placed.select("draw_id", F.col("node").alias("src"), *[F.col(k).alias(f"a_{k}") for k in "xyz"])
     two = placed.select("draw_id", F.col("node").alias("dst"), *[F.col(k).alias(f"b_{k}") for k in "xyz"])
-    return edges.select("src", "dst").join(one, "src").join(two, ["draw_id", "dst"]).withColumn("length", distance("a_", "b_")).groupBy("draw_id").agg(wire().alias("wire"))
+    return edges.select("src", "dst", *by).join(one, "src").join(two, ["draw_id", "dst"]).withColumn("length", distance("a_", "b_")).groupBy("draw_id", *by).agg(wire().alias("wire"))
+
+
+def inner_placement_null(edges: DataFrame, nodes: DataFrame, region: str, draws: int = 1000, least_members: int = 12, least_edges: int = 50, seed: int = SEED) -> DataFrame:
+    """Each region's inner wire against placements dealt anew among its members: (region, members, edges, real, null_mean,
+    null_sd, ratio, z, below). Regions with too few members or inner edges are left out."""
+    inner = edges.where(F.col(f"src_{region}") == F.col(f"dst_{region}")).select("src", "dst", "length", F.col(f"src_{region}").alias(region))
+    members = nodes.groupBy(region).agg(F.count("*").alias("members"))
+    real = inner.groupBy(region).agg(F.count("*").alias("edges"), wire().alias("real")).join(members, region).where((F.col("members") >= least_members) & (F.col("edges") >= least_edges))
+    real = checkpointed(real, "inner")
+    null = placement_null(inner.join(real.select(region), region, "left_semi"), nodes.join(real.select(region), region, "left_semi"), draws, region, seed=seed, by=(region,))
+    found = null.join(real, region).groupBy(region, "members", "edges", "real").agg(F.avg("wire").alias("null_mean"), F.stddev_samp("wire").alias("null_sd"), F.count_if(F.col("wire") <= F.col("real")).alias("below"))
+    return found.select(region, "members", "edges", "real", "null_mean", "null_sd", (F.col("real") / F.col("null_mean")).alias("ratio"), F.when(F.col("null_sd") > 0, (F.col("real") - F.col("null_mean")) / F.col("null_sd")).alias("z"), "below")
+
+
+def enrichment_null(degrees: DataFrame, draws: int = 1000, seed: int = SEED) -> DataFrame:
+    """Rich share when each node's partners are drawn anew without replacement: (draw_id, share).
+
+    ``degrees`` has node, degree (its partners), rich (rich ones among the eligible) and eligible: the number of rich
+    partners is hypergeometric. A node's draws come from its own seed, so they don't depend on the partitioning.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            total, hits = 0, np.zeros(draws, np.int64)
+            for key, degree, rich, eligible in batch[["key", "degree", "rich", "eligible"]].itertuples(index=False):
+                total += degree
+                hits += np.random.default_rng([seed, key]).hypergeometric(rich, eligible - rich, degree, draws)
+            yield pd.DataFrame({"draw_id": np.arange(1, draws + 1), "hits": hits, "total": total})
+
+    keyed = degrees.select(F.pmod(F.xxhash64(*[c for c in degrees.columns if c not in ("degree", "rich", "eligible")]), F.lit(1 << 62)).alias("key"), "degree", "rich", "eligible")
+    return keyed.mapInPandas(run, "draw_id long, hits long, total long").groupBy("draw_id").agg((F.sum("hits") / F.sum("total")).alias("share"))
+
+
+def removal_draws(edges: DataFrame, draws: int, cut: Column, value: str | None = None, seed: int = SEED) -> DataFrame:
+    """Random sets of edges to remove: (draw_id, src, dst). Of each draw's order the first ``cut`` edges go, or, with a
+    ``value``, edges until their sum is closest to ``cut``. Draws are ranges of one running order."""
+    many = edges.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_v", F.col(value) if value else F.lit(1).cast("long"))
+    ran = running(many, "_v", F.col("draw_id"), draw(seed, F.col("draw_id"), F.col("src"), F.col("dst")), F.col("src"), F.col("dst"))
+    ran = ran.withColumn("_upto", F.col("upto") - (F.col("draw_id") - 1) * F.col("total") / draws)  # every draw has the same edges
+    near = (F.col("_upto") <= cut) | ((F.col("_upto") - F.col("_v") < cut) & (F.col("_upto") - cut < cut - (F.col("_upto") - F.col("_v"))))
+    return ran.where(near).select("draw_id", "src", "dst")
 
 
 def summarized(null: DataFrame, value: str, real: DataFrame) -> DataFrame:
@@ -82,10 +140,10 @@ def sign_flip_null(rows: DataFrame, value: str, key: str, draws: int, seed: int
 
 def repairing_null(rows: DataFrame, left: str, right: str, key: str, draws: int, seed: int = SEED) -> DataFrame:
     """Mean absolute log ratio when right values are dealt anew: (draw_id, asymmetry)."""
-    many = rows.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    one = many.withColumn("_k", F.row_number().over(Window.partitionBy("draw_id").orderBy(key))).select("draw_id", "_k", left)
-    two = many.withColumn("_k", F.row_number().over(Window.partitionBy("draw_id").orderBy(draw(seed, F.col("draw_id"), F.col(key)), key))).select("draw_id", "_k", right)
-    return one.join(two, ["draw_id", "_k"]).groupBy("draw_id").agg(F.avg(F.abs(F.ln(F.col(left) / F.col(right)))).alias("asymmetry"))
+    many = rows.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("one", F.lit(1))
+    one = running(many, "one", F.col("draw_id"), F.col(key)).select("nth", "draw_id", left)
+    two = running(many, "one", F.col("draw_id"), draw(seed, F.col("draw_id"), F.col(key)), F.col(key)).select("nth", right)
+    return one.join(two, "nth").groupBy("draw_id").agg(F.avg(F.abs(F.ln(F.col(left) / F.col(right)))).alias("asymmetry"))
 
 
 def random_partner_null(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = SEED) -> DataFrame:

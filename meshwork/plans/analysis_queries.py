@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions import expressions as X
 from meshwork.operators import analytic as A
+from meshwork.operators import build
 from meshwork.operators import edges as E
 from meshwork.operators import graph as G
 from meshwork.operators import link_model as M
@@ -202,16 +203,16 @@ def sampled_non_edges(spark, folder):
     return S.non_edges(V.fine_edges(spark, folder), V.bodies(spark, folder).withColumnRenamed("body", "node"), 2000)
 
 
-PLACED = f"""placed as (select a.i, n.node, p.x, p.y, p.z from (select i, node, compartment, row_number() over (partition by i, coalesce(compartment, '?') order by node) k from nodes, range(1, 6) t(i)) a join nodes n on n.node = a.node
- join (select i, compartment, x, y, z, row_number() over (partition by i, coalesce(compartment, '?') order by {draw(str(SEED), 'i', 'node')}, node) k from nodes, range(1, 6) t(i)) p on p.i = a.i and p.k = a.k and coalesce(p.compartment, '?') = coalesce(a.compartment, '?')),
+PLACED = f"""placed as (select a.i, n.node, p.x, p.y, p.z from (select i, node, compartment, row_number() over (partition by i, coalesce(compartment, '?') order by node) k from nodes, range(1, 21) t(i)) a join nodes n on n.node = a.node
+ join (select i, compartment, x, y, z, row_number() over (partition by i, coalesce(compartment, '?') order by {draw(str(SEED), 'i', 'node')}, node) k from nodes, range(1, 21) t(i)) p on p.i = a.i and p.k = a.k and coalesce(p.compartment, '?') = coalesce(a.compartment, '?')),
  nulls as (select i draw_id, sum(round(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) * 1000000)::bigint) / 1000000 wire from edges join placed a on a.node = src join placed c on c.node = dst using sample 0 group by 1)""".replace("join placed c on c.node = dst using sample 0", "join placed c on c.node = dst and c.i = a.i").replace("select i draw_id", "select a.i draw_id")
 
 
 @query(f", {PLACED} select draw_id, round(wire, 4) wire from nulls")
 def placement_null(spark, folder):
-    """N1, N2, N27 within compartments, five draws."""
+    """N1, N2, N27 within compartments, twenty draws (the operator's default is a thousand)."""
     n = V.fine_nodes(spark, folder).withColumn("compartment", F.coalesce("compartment", F.lit("?")))
-    return rounded(S.placement_null(V.fine_edges(spark, folder), n, 5, "compartment"), 4)
+    return rounded(S.placement_null(V.fine_edges(spark, folder), n, 20, "compartment"), 4)
 
 
 @query(f""", {PLACED} select round(real, 4) as real, count(*) draws, round(avg(wire), 4) null_mean, round(stddev_samp(wire), 4) null_sd, round(real / avg(wire), 6) ratio, round((1 + count(*) filter (wire <= real)) / (count(*) + 1), 6) p_lower,
@@ -220,7 +221,7 @@ def placement_summary(spark, folder):
     """N4 to N7, N12."""
     n = V.fine_nodes(spark, folder).withColumn("compartment", F.coalesce("compartment", F.lit("?")))
     real = V.measured_edges(spark, folder).agg(E.wire().alias("real"))
-    s = S.summarized(S.placement_null(V.fine_edges(spark, folder), n, 5, "compartment"), "wire", real)
+    s = S.summarized(S.placement_null(V.fine_edges(spark, folder), n, 20, "compartment"), "wire", real)
     return s.select(*[F.round(c, 4).alias(c) for c in ("real", "null_mean", "null_sd")], "draws", *[F.round(c, 6).alias(c) for c in ("ratio", "p_lower", "p_upper")])
 
 
@@ -342,10 +343,14 @@ def region_compartment_agreement(spark, folder):
     return rounded(T.partition_agreement(V.fine_nodes(spark, folder), "region", "compartment"))
 
 
-LEVELS = """lv as (select node root, node, 0 level from (select distinct node from cb where kind = 'S') union select root, e.dst, level + 1 from lv join cedges e on e.src = lv.node where level < 6),
+LEVELS = """lv as (select node root, node, 0 level from (select distinct node from cb where kind = 'S') union select root, e.dst, level + 1 from lv join cedges e on e.src = lv.node where level < (select count(distinct node) from cb)),
  best as (select root, node, min(level) level from lv group by 1, 2)"""
 
 
+def _coarse_nodes(spark, folder):
+    return build.summarize_nodes(V.coarse_bodies(spark, folder).withColumn("weight", 1 + F.col("key") % 7))
+
+
 def _roots(spark, folder):
     return V.coarse_bodies(spark, folder).where("kind = 'S'").select("node").distinct()
 
@@ -353,7 +358,7 @@ def _roots(spark, folder):
 @query(f", {LEVELS} select level, count(*) n from best group by 1")
 def search_levels(spark, folder):
     """G8's search: nodes by level from all supplier nodes."""
-    return G.search_levels(V.coarse_edges(spark, folder), _roots(spark, folder), 6).groupBy(F.col("level").cast("int").alias("level")).agg(F.count("*").alias("n"))
+    return G.search_levels(V.coarse_edges(spark, folder), _roots(spark, folder)).groupBy(F.col("level").cast("int").alias("level")).agg(F.count("*").alias("n"))
 
 
 @query(f""", {LEVELS} select count(*) pairs, round(count(*) / ((select count(distinct node) from cb where kind = 'S') * (select count(distinct node) from cb where kind = 'C')), 6) reachability from best where root <> node and node in (select node from cb where kind = 'C')""")
@@ -373,7 +378,7 @@ def unreachable_nodes(spark, folder):
 @query(f", {LEVELS} select (select count(distinct node) from cb where kind = 'S') roots, round(sum(case when level > 0 then 1.0 / level else 0 end) / ((select count(distinct node) from cb where kind = 'S') * ((select count(distinct node) from cb) - 1)), 6) efficiency from best")
 def sampled_efficiency(spark, folder):
     """G8."""
-    levels = G.search_levels(V.coarse_edges(spark, folder), _roots(spark, folder), 6)
+    levels = G.search_levels(V.coarse_edges(spark, folder), _roots(spark, folder))
     n = V.coarse_bodies(spark, folder).select("node").distinct().agg(F.count("*").alias("n"))
     return rounded(G.efficiency(levels, n))
 
@@ -417,14 +422,24 @@ def region_communities(spark, folder):
     return parts.join(R.region_strength(V.measured_edges(spark, folder)).select(F.col("region").alias("node"), "strength"), "node").groupBy("community").agg(F.count("*").alias("regions"), F.sum("strength").alias("strength"), F.sort_array(F.collect_list("node")).alias("members"))
 
 
+SHARES = [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 0.95]
+
+
 @query()
 def removal_curve(spark, folder):
-    """Coarse edges removed by weight."""
-    nodes = V.coarse_bodies(spark, folder).select("node").distinct()
-    e = V.coarse_edges(spark, folder)
-    ran = A.running(e.withColumn("micro", F.col("weight")), "micro", -F.col("weight"), F.col("src"), F.col("dst"))
-    cuts = A.cut_counts(ran, [0.0, 0.5])
-    return G.removal_curve(ran, nodes, cuts, _roots(spark, folder), "nth")
+    """Coarse edges removed longest first, shortest first and in random order, at eighteen shares of the wire."""
+    nodes = _coarse_nodes(spark, folder)
+    e = V.with_ends(V.coarse_edges(spark, folder), nodes, ["x", "y", "z"]).withColumn("length", F.coalesce(X.distance("src_", "dst_"), F.lit(0.0)))
+    e = checkpointed(A.with_micro(e).select("src", "dst", "micro"), "lengths")
+    key = (F.col("src"), F.col("dst"))
+    orders = {"longest": (-F.col("micro"), *key), "shortest": (F.col("micro"), *key), **{f"random {i}": (X.draw(S.SEED, i, *key), *key) for i in range(5)}}
+    ran = cuts = None
+    for name, order in orders.items():
+        one = checkpointed(A.running(e, "micro", *order), "schedule")
+        c = A.cut_counts(one, SHARES).select(F.lit(name).alias("schedule"), "share", "cut")
+        one = one.select(F.lit(name).alias("schedule"), "nth", "src", "dst")
+        ran, cuts = (one, c) if ran is None else (ran.unionByName(one), cuts.unionByName(c))
+    return rounded(G.removal_curve(ran, nodes.select("node"), checkpointed(cuts, "cuts"), _roots(spark, folder)))
 
 
 FEATURES = f"""f as (select n.node, x, y, z, coalesce(compartment, 'none') c, superclass s, ln(1 + out_degree) lo, ln(1 + in_degree) li from nodes n join deg on deg.node = n.node),
@@ -439,19 +454,20 @@ def _design(spark, folder):
 
 @query(f", {FEATURES} select label::double label, pair class_pair, count(*) pairs, round(avg(d / 100), 6) near, round(avg(ln(d + 1)), 6) log_near, round(avg(same::int), 6) same_compartment, round(avg(lo), 6) log_out, round(avg(li), 6) log_in from design group by 1, 2")
 def pair_design(spark, folder):
-    """M1, M2, U6."""
+    """M1, M2, U6, with 2,000 non-edges, which SQL repeats."""
     d = _design(spark, folder).groupBy("label", "class_pair").agg(F.count("*").alias("pairs"), *[F.avg(c).alias(c) for c in ("near", "log_near", "same_compartment", "log_out", "log_in")])
     return rounded(d)
 
 
 @query()
 def link_models(spark, folder):
-    """M3, M4, M5's AUC, M9: four nested models."""
-    design = M.encoded(checkpointed(_design(spark, folder)))
+    """M3 to M5, M9: four nested models of the coarse graph with five non-edges an edge; AUC in the sample and over five folds."""
+    e, n = V.coarse_edges(spark, folder), _coarse_nodes(spark, folder)
+    design = checkpointed(M.encoded(M.sampled_design(e, n, S.SEED)))
     out = None
     for name, columns in M.MODELS.items():
         scored = checkpointed(M.fit(design, columns)[1].select("p", "label"))
-        one = M.fit_statistics(scored, len(columns)).join(M.auc(scored)).withColumn("model", F.lit(name))
+        one = M.fit_statistics(scored, len(columns)).join(M.auc(scored)).join(M.cross_validated(design, columns, 5, S.SEED).withColumnRenamed("auc", "held_out_auc")).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -461,13 +477,12 @@ LOGITS = "(select a.node src, b.node dst, 1.5 - sqrt((a.x - b.x) * (a.x - b.x) +
 
 def _logits(spark, folder):
     n = V.coarse_bodies(spark, folder).groupBy("node").agg(*[F.avg(f"{k}2").alias(k) for k in "xyz"])
-    a, b = (n.select(F.col("node").alias(e), *[F.col(k).alias(f"{e}_{k}") for k in "xyz"], F.lit(1).alias("all")) for e in ("src", "dst"))
-    return a.join(b, "all").where("src != dst").select("src", "dst", (1.5 - X.distance("src_", "dst_") / 50).alias("logit"))
+    return R.all_pairs(n, ["x", "y", "z"]).select("src", "dst", (1.5 - X.distance("src_", "dst_") / 50).alias("logit"))
 
 
 @query(f"select floor(logit / 0.05)::bigint bin, count(*) n from {LOGITS} group by 1")
 def logit_histogram(spark, folder):
-    """M7, M8."""
+    """M8's histogram, of logits by distance with given coefficients, which SQL can repeat; ``model_logits`` has fitted ones."""
     return M.logit_histogram(_logits(spark, folder), 0.05)
 
 
@@ -478,10 +493,10 @@ def sampled_graph(spark, folder):
 
 
 @query()
-def intercept_shift(spark, folder):
-    """M8's bisection, M6."""
-    shift = M.solved_shift(M.logit_histogram(_logits(spark, folder)), 4000.0)
-    return spark.createDataFrame([(shift, M.corrected_intercept(0.0, 2000, 20000))], "shift double, corrected double")
+def model_logits(spark, folder):
+    """M3, M6 to M8: for two models of the coarse graph fitted on its edges and five non-edges each, the intercept after the
+    case-control correction, the shift with which all pairs expect as many edges as there are, and what they expect."""
+    return M.calibrated(V.coarse_edges(spark, folder), _coarse_nodes(spark, folder), ["distance", "degree"], S.SEED)
 
 
 @query("""select 'loops' as check, count(*) n from edges where src = dst union all select 'duplicates', count(*) from (select src, dst from edges group by 1, 2 having count(*) > 1) union all select 'unknown ends', count(*) from edges where src not in (select node from nodes)

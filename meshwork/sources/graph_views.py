@@ -6,11 +6,41 @@ one per type and side. The views are plain DataFrames: nodes with attributes, ed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance
 from meshwork.operators.build import aggregate_edges, build_graph
+from meshwork.sources.sinks import checkpointed
+
+_built: dict[tuple, DataFrame] = {}
+
+
+def built_once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A view that is written as a table at its first use in an application and read from then on.
+
+    The graph of a folder of tables is built once and analysed many times; ``forget`` after the tables change.
+    """
+
+    @wraps(view)
+    def found(spark: SparkSession, folder: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, view.__name__, folder, *args)
+        if key not in _built:
+            _built[key] = checkpointed(view(spark, folder, *args), view.__name__)
+        return spark.read.schema(_built[key].schema).parquet(*_paths(_built[key]))
+
+    return found
+
+
+def _paths(frame: DataFrame) -> list[str]:
+    return sorted({f.rsplit("/", 1)[0] for f in frame.inputFiles()})
+
+
+def forget() -> None:
+    _built.clear()
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +95,7 @@ def compartments(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("body", "compartment").unionByName(parts)
 
 
+@built_once
 def fine_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """node, kind, key, cell_type, side, superclass, role, compartment, positions and region."""
     where = positions(spark, folder)
@@ -74,12 +105,14 @@ def fine_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return b.join(compartments(spark, folder).withColumnRenamed("body", "node"), "node", "left")
 
 
+@built_once
 def fine_edges(spark: SparkSession, folder: str, fraction: float = 0.01) -> DataFrame:
     """src, dst, weight, n_connections, input_fraction of edges over the input threshold, without loops."""
     raw = connections(spark, folder).select(F.col("pre").alias("src"), F.col("post").alias("dst"), "weight")
     return build_graph(aggregate_edges(raw), fraction)
 
 
+@built_once
 def coarse_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """body, node (type|side), cell_type, side, superclass, role, position (null for parts) and second position."""
     nodes = fine_nodes(spark, folder)
@@ -87,6 +120,7 @@ def coarse_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select(F.col("node").alias("body"), F.concat_ws("|", "cell_type", "side").alias("node"), "cell_type", "side", "superclass", "role", "compartment", *soma, "x2", "y2", "z2", "kind", "key")
 
 
+@built_once
 def coarse_edges(spark: SparkSession, folder: str, fraction: float | None = 0.01) -> DataFrame:
     """As ``fine_edges`` between types and sides; without a fraction, all aggregated edges and loops."""
     label = bodies(spark, folder).select("body", F.concat_ws("|", "cell_type", "side").alias("node"))
@@ -102,6 +136,7 @@ def with_ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFra
     return edges.join(one, "src").join(two, "dst")
 
 
+@built_once
 def measured_edges(spark: SparkSession, folder: str, fraction: float = 0.01, extra: tuple[str, ...] = ()) -> DataFrame:
     """Fine edges with length and, for each end, position, compartment, role, superclass, region and ``extra``."""
     columns = ["x", "y", "z", "compartment", "role", "superclass", "region", *extra]

@@ -1,19 +1,36 @@
-"""Sinks with fixed formats, read-back, checkpoints and small reports."""
+"""Sinks with fixed formats, read-back, tables in the cluster's shared folder and small reports."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` with its lineage cut, in the cluster's checkpoint folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, which only a single machine may use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshwork-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame, name: str = "table") -> DataFrame:
+    """``frame`` as a Parquet table in the shared folder, read back: its lineage is cut, and a lost executor costs a re-read."""
     spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshwork-"))
-    return frame.checkpoint()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which the cluster sizes to its input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def formatted(frame: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -52,10 +69,32 @@ def markdown(frame: DataFrame) -> DataFrame:
     return frame.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def document(**parts: DataFrame) -> DataFrame:
-    """One row of JSON text that holds result tables (small ones) as arrays."""
+def document(limit: int = 10_000, **parts: DataFrame) -> DataFrame:
+    """One row of JSON text that holds result tables as arrays; a table of more than ``limit`` rows is an error."""
     out = None
     for name, frame in parts.items():
-        one = frame.agg(F.to_json(F.collect_list(F.struct(*frame.columns))).alias(name))
+        if (n := frame.limit(limit + 1).count()) > limit:
+            raise ValueError(f"{name} has more than {limit} rows ({n}); write it as a table")
+        one = frame.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*frame.columns)))).alias(name))
         out = one if out is None else out.join(one)
     return out
+
+
+def picked(frame: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns; one that ``frame`` lacks is null."""
+    return frame.select(*[F.col(f"`{c}`") if c in frame.columns else F.lit(None).cast("string").alias(c) for c in names])
+
+
+def leaves(document: DataFrame, column: str) -> DataFrame:
+    """(path, value) of the members of a JSON object: two levels, deeper ones as JSON text."""
+    top = document.select(F.explode(F.from_json(column, "map<string,string>")).alias("a", "v"))
+    inner = F.from_json(F.when(F.col("v").startswith("{"), F.col("v")), "map<string,string>")
+    return top.select("a", "v", F.explode_outer(inner).alias("b", "w")).select(F.concat_ws(".", "a", "b").alias("path"), F.coalesce("w", "v").alias("value"))
+
+
+def differences(one: DataFrame, two: DataFrame, relative: float = 1e-6, absolute: float = 1e-9) -> DataFrame:
+    """Paths whose values differ between two (path, value) tables: missing on a side, or not close as numbers or equal as text."""
+    both = one.select("path", F.col("value").alias("here")).join(two.select("path", F.col("value").alias("there")), "path", "full_outer")
+    x, y = F.expr("try_cast(here as double)"), F.expr("try_cast(there as double)")
+    near = F.abs(x - y) <= F.greatest(relative * F.greatest(F.abs(x), F.abs(y)), F.lit(absolute))
+    return both.where(F.col("here").isNull() | F.col("there").isNull() | ~F.coalesce(near, F.col("here") == F.col("there")))

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meshwork.plans import analysis_queries, graph_queries
+from meshwork.plans import analysis_queries, graph_queries, report_queries
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = ["aggregate_edges", "input_threshold", "node_compartments", "cost_shares", "nearest_region", "region_atlas", "route_counts", "rich_club_coefficient", "lorenz_curve", "length_deciles", "cut_counts", "sign_flip_null", "mann_whitney_crossing", "clustering", "headline"]
@@ -37,7 +37,7 @@ def test_sql_twin(spark, name):
 def test_names_are_complete():
     queries = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
-    assert len(graph_queries.QUERIES) + len(analysis_queries.QUERIES) >= 85
+    assert len(graph_queries.QUERIES) + len(analysis_queries.QUERIES) + len(report_queries.QUERIES) >= 130
 
 
 def test_flagship(spark):

@@ -100,7 +100,7 @@ def test_concentration(spark, lengths):
     assert got == {0.01: 9 / 180, 0.05: 45 / 180, 0.1: 0.5, 0.25: 105 / 180, 0.5: 130 / 180}
     equal = edge_table(spark, [(f"a{i}", "b", 2.0, 1) for i in range(20)])
     assert A.gini(equal).first()["gini"] == pytest.approx(1 / 400)
-    upto = A.running(A.with_micro(lengths), "micro", F.col("micro"), F.col("src"), parts=7).orderBy("nth").collect()
+    upto = A.running(A.with_micro(lengths), "micro", F.col("micro"), F.col("src")).orderBy("nth").collect()
     assert [r["nth"] for r in upto] == list(range(1, 101)) and [r["upto"] for r in upto] == [k * (k + 1) // 2 * 10**6 for k in range(1, 101)]
 
 
