@@ -5,34 +5,12 @@ A staged table cuts lineage: a lost executor costs a re-read, not a recomputatio
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwork.sources.sinks import checkpointed as staged
+from meshwork.sources.sinks import partitions, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (single-machine tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="meshwork-"))
-    return context.getCheckpointDir()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which the cluster sizes to its input."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["partitions", "shared_folder", "staged", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
