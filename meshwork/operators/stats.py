@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,26 +98,56 @@ def power_law(lengths: DataFrame, value: str, least: float) -> DataFrame:
     )
 
 
-def power_law_scan(lengths: DataFrame, value: str, candidates: int = 40) -> DataFrame:
-    """The cutoff whose power-law tail has the least KS distance, over quantile candidates of rounded data, with its exponent."""
-    rounded = lengths.select(F.round(value).alias("v")).where("v > 0").groupBy("v").agg(F.count("*").alias("m"))
-    cuts = lengths.select(F.round(value).alias("v")).where("v > 0").agg(F.array_distinct(F.percentile_approx("v", [k / candidates for k in range(candidates)], 10000)).alias("c")).select(F.explode("c").alias("cut"))
-    tail = rounded.join(F.broadcast(cuts), F.col("v") >= F.col("cut"))
-    fit = tail.groupBy("cut").agg((1 + F.sum("m") / F.sum(F.col("m") * F.ln(F.col("v") / F.col("cut")))).alias("alpha"), F.sum("m").alias("tail"))
-    from pyspark.sql import Window
-
-    upto = F.sum("m").over(Window.partitionBy("cut").orderBy("v"))  # a row per distinct rounded value
-    off = tail.withColumn("upto", upto).join(fit, "cut").withColumn("off", F.abs(F.col("upto") / F.col("tail") - (1 - F.pow(F.col("v") / F.col("cut"), 1 - F.col("alpha")))))
-    per = off.groupBy("cut", "alpha", "tail").agg(F.max("off").alias("ks"))
-    return per.where(F.col("tail") >= 50).orderBy("ks", "cut").limit(1)
-
-
-def exponential_fit(curve: DataFrame, x: str, y: str) -> DataFrame:
-    """a exp(-x / lambda) by least squares on logarithms weighted by y squared; positives only. One row from one aggregate."""
-    w, ly = F.col(y) * F.col(y), F.ln(y)
-    s = curve.where(F.col(y) > 0).agg(F.sum(w).alias("w"), F.sum(w * F.col(x)).alias("wx"), F.sum(w * ly).alias("wy"), F.sum(w * F.col(x) * F.col(x)).alias("wxx"), F.sum(w * F.col(x) * ly).alias("wxy"))
-    slope = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / (F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
-    return s.select(F.exp((F.col("wy") - slope * F.col("wx")) / F.col("w")).alias("a"), (-1 / slope).alias("lambda"))
+def power_law_scan(lengths: DataFrame, value: str, least_tail: int = 50, most: int = 20_000) -> DataFrame:
+    """The cutoff whose power-law tail has the least KS distance, of all distinct values of rounded data, with its exponent.
+
+    Rounded lengths have few distinct values, whatever the number of rows: their counts (``most`` at most, or it is an
+    error) are scanned in the driver.
+    """
+    counts = lengths.select(F.round(value).alias("v")).where("v > 0").groupBy("v").agg(F.count("*").alias("m"))
+    rows = _bounded(counts, most).sort_values("v")
+    v, m = rows["v"].to_numpy(float), rows["m"].to_numpy(float)
+    found = []
+    for i in range(len(v)):
+        x, n = v[i:] / v[i], m[i:]
+        tail, logs = n.sum(), (n * np.log(x)).sum()
+        if tail >= least_tail and logs > 0:
+            alpha = 1 + tail / logs
+            found.append((float(np.abs(np.cumsum(n) / tail - (1 - x ** (1 - alpha))).max()), float(v[i]), float(alpha), int(tail)))
+    best = [(cut, alpha, tail, ks) for ks, cut, alpha, tail in sorted(found)[:1]]
+    return lengths.sparkSession.createDataFrame(best, "cut double, alpha double, tail long, ks double")
+
+
+def _bounded(frame: DataFrame, most: int) -> pd.DataFrame:
+    rows = frame.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct values")
+    return rows
+
+
+def exponential_fit(curve: DataFrame, x: str, y: str, most: int = 20_000) -> DataFrame:
+    """a exp(-x / lambda) by least squares from (greatest y, 100), positives only: damped Gauss-Newton steps in the driver
+    over the bins of a curve (``most`` at most, or it is an error)."""
+    rows = _bounded(curve.where(F.col(y) > 0).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), most)
+    at, value = rows["x"].to_numpy(), rows["y"].to_numpy()
+    if len(rows) < 2:
+        return curve.sparkSession.createDataFrame([], "a double, lambda double")
+    a, scale, damping = value.max(), 100.0, 1e-3
+    off = lambda a, scale: value - a * np.exp(-at / scale)
+    for _ in range(200):
+        e = np.exp(-at / scale)
+        j = np.stack([e, a * e * at / scale**2], axis=1)
+        normal = j.T @ j
+        step = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal)), j.T @ off(a, scale), rcond=None)[0]
+        if scale + step[1] > 0 and (off(a + step[0], scale + step[1]) ** 2).sum() <= (off(a, scale) ** 2).sum():
+            a, scale, damping = a + step[0], scale + step[1], damping / 10
+            if np.abs(step / np.array([a, scale])).max() < 1e-12:
+                break
+        else:
+            damping *= 10
+            if damping > 1e12:
+                break
+    return curve.sparkSession.createDataFrame([(float(a), float(scale))], "a double, lambda double")
 
 
 def partition_agreement(frame: DataFrame, one: str, two: str) -> DataFrame:
