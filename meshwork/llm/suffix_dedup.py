@@ -2,14 +2,15 @@
 
 Only suffixes at anchors are sorted globally: an anchor is a place whose GRAM bytes have the least hash in some string
 of SPAN bytes, so equal strings of SPAN bytes have anchors at equal places in them, and one suffix in about 35 is one.
-Splitters sampled from the anchors' leading eight bytes range-partition the suffixes; splitters are leading tokens, so
-no group of equal beginnings crosses a boundary.
-
-Equal surroundings of anchors are matches in full, except the first; they are sorted by digest, in each block of texts
-before anything is sent, so a very common passage goes to its bucket once a block, and again in the bucket. What remains is an anchor whose GRAM bytes have several surroundings; for the first of each, the bytes are
-fetched, every suffix from which the anchor can be reached is sorted by its leading eight bytes, then by the digest of
-its first SPAN bytes, then by place, and neighbours are compared. Strings are compared by 64-bit digest beyond the
-leading bytes.
+Splitters sampled from the anchors' leading LEAD bytes (three tokens of eight) range-partition the suffixes, so a very
+common first token is cut by the next ones. Equal strings have equal leading tokens, so none lies across a boundary
+and buckets needn't be compared with their neighbours.
+
+Equal surroundings of anchors are matches in full, except the first; they are found by digest, in each block of texts
+before anything is sent, so a very common passage goes to its bucket once a block, and again in the bucket. What
+remains is an anchor whose GRAM bytes have several surroundings: for the first of each, the bytes are fetched, and the
+suffixes from which the anchor can be reached are sorted in their bucket by multikey quicksort: by their first token,
+then those that are still tied by the next, to SPAN bytes. Tied to the end are equal strings, all but the first repeats.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ REACH = SPAN - GRAM
 PIECE, BLOCK_ANCHORS, SAMPLED, BITS = 1 << 20, 1 << 19, 256, 1 << 26
 VALUES = LINE_BYTES.copy()
 AROUND = REACH + SPAN
+#: Bytes of a token, bytes of splitters.
+TOKEN, LEAD = 8, 24
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -56,7 +59,7 @@ class Pieces:
         self.size += len(data) + SPAN
 
     def anchors(self) -> dict[str, np.ndarray]:
-        """row, pos, left, right, gram, around (digests), lead, and at, the place in ``buffer``."""
+        """row, pos, left, right, gram, around (digests), lead (bytes), and at, the place in ``buffer``."""
         lengths = np.array([len(p[5]) for p in self.parts])
         begins = np.concatenate([[0], np.cumsum(lengths + SPAN)])
         self.buffer = data = np.zeros(begins[-1], np.uint8)
@@ -91,9 +94,7 @@ class Pieces:
         left, right = np.minimum(REACH, pos), np.minimum(SPAN, whole[own] - pos)
         with np.errstate(over="ignore"):
             around = mix((sums[at + right] - sums[at - left]) * down[at - left] + left.astype(U64) * PLACE[1] + right.astype(U64) * PLACE[2])
-        lead = np.zeros(len(at), U64)
-        for k in range(8):
-            lead = (lead << U64(8)) | data[at + k].astype(U64)
+        lead = np.ascontiguousarray(data[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
         return {"row": row[own], "pos": pos, "left": left, "right": right, "gram": grams[at], "around": around, "lead": lead, "at": at}
 
 
@@ -155,6 +156,40 @@ def firsts(around: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[index]
 
 
+def multikey_quicksort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of tokens, and which rows of it differ from the one before: rows are sorted by their first token,
+    then those that are tied by the next one, until none is tied or the tokens end."""
+    order = np.argsort(tokens[:, 0])
+    key = tokens[order, 0]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    for depth in range(1, tokens.shape[1]):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group, rows = np.cumsum(new)[at], order[at]
+        inside = np.lexsort((tokens[rows, depth], group))
+        order[at] = rows[inside]
+        key = tokens[order[at], depth]
+        new[at[1:]] |= key[1:] != key[:-1]  # the first of a group is new already
+    return order, new
+
+
+def repeats(strings: np.ndarray) -> np.ndarray:
+    """Rows of a matrix of bytes that equal an earlier row."""
+    n, width = strings.shape
+    if not n:
+        return np.empty(0, np.int64)
+    padded = np.zeros((n, -(-width // TOKEN) * TOKEN), np.uint8)
+    padded[:, :width] = strings
+    order, new = multikey_quicksort(padded.view(">u8").astype(U64))
+    first = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(order, first), np.diff(first, append=n))
+    return order[order != least]
+
+
 def slots(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (mix(mix(ids.astype(U64) ^ (tags.astype(U64) << U64(48))) + pos.astype(U64) * PLACE[5]) >> U64(20)).astype(np.int64) % BITS
@@ -251,12 +286,12 @@ def _spans(docs: DataFrame) -> DataFrame:
         for _, _, own, _ in anchor_blocks(batches):
             if own:
                 rest = np.argsort(mix(own["around"]))[:SAMPLED]
-                yield pa.RecordBatch.from_arrays([pa.array((own["lead"][rest] >> U64(1)).astype(np.int64))], names=["lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(own["lead"][rest].tolist(), pa.binary())], names=["lead"])
 
     # Splitters balance the buckets and don't change the result: they come from a hash sample of the documents.
-    of_all = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0)
-    quantiles = of_all.mapInArrow(sample, "lead long").agg(F.percentile_approx("lead", F.lit([k / parts for k in range(1, parts)]), 10_000)).first()[0]
-    splitters = spark.sparkContext.broadcast(np.unique(np.array(quantiles or [], np.int64).astype(U64) << U64(1)))
+    of_all = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0).mapInArrow(sample, "lead binary")
+    some = np.sort(np.array([bytes(r[0]) for r in of_all.orderBy(F.xxhash64("lead")).limit(64 * parts).collect()], f"S{LEAD}"))
+    splitters = spark.sparkContext.broadcast(np.unique(some[[len(some) * k // parts for k in range(1, parts)]]) if len(some) else some)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, own, _ in anchor_blocks(batches):
@@ -323,7 +358,6 @@ def _spans(docs: DataFrame) -> DataFrame:
                 yield _sent_batch([_sent(p, own, at, near[at].tobytes())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = powers(AROUND + 1)
         for own, blobs in _received(batches):
             near = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, AROUND) for b in blobs])
             order = places(own["id"], own["tag"], own["pos"])
@@ -332,24 +366,13 @@ def _spans(docs: DataFrame) -> DataFrame:
             again[1:] = (own["id"][1:] == own["id"][:-1]) & (own["tag"][1:] == own["tag"][:-1]) & (own["pos"][1:] == own["pos"][:-1])
             own, near = {k: v[~again] for k, v in own.items()}, near[~again]
             n = len(near)
-            with np.errstate(over="ignore"):
-                sums = np.zeros((n, AROUND + 1), U64)
-                for begin in range(0, n, 1 << 14):
-                    rows = slice(begin, begin + (1 << 14))
-                    np.cumsum(VALUES[near[rows]] * up[:-1], axis=1, out=sums[rows, 1:])
-                begin, end = np.full(n, 1 << 62), np.full(n, -1)
-                for j in range(REACH + 1):  # the suffixes that start j bytes before the anchors
-                    has = np.flatnonzero((own["left"] >= j) & (own["right"] >= SPAN - j))
-                    digest = mix((sums[has, AROUND - j] - sums[has, REACH - j]) * down[REACH - j])
-                    lead = np.ascontiguousarray(near[has, REACH - j : REACH - j + 8]).view(">u8").ravel().astype(U64)
-                    rank = np.lexsort((has, digest, lead))
-                    equal = np.zeros(len(has), bool)
-                    equal[1:] = (digest[rank][1:] == digest[rank][:-1]) & (lead[rank][1:] == lead[rank][:-1])
-                    hit = has[rank[equal]]
-                    start = own["pos"][hit] - j
-                    begin[hit], end[hit] = np.minimum(begin[hit], start), np.maximum(end[hit], start + SPAN)
+            begin, end = np.full(n, 1 << 62), np.full(n, -1)
+            for j in range(REACH + 1):  # the suffixes that start j bytes before the anchors
+                has = np.flatnonzero((own["left"] >= j) & (own["right"] >= SPAN - j))
+                hit = has[repeats(near[has, REACH - j : REACH - j + SPAN])]
+                start = own["pos"][hit] - j
+                begin[hit], end[hit] = np.minimum(begin[hit], start), np.maximum(end[hit], start + SPAN)
             hit = end > 0
-            m = int(hit.sum())
             yield pa.RecordBatch.from_arrays([pa.array(own["id"][hit]), pa.array(own["tag"][hit].astype(np.int32)), pa.array(begin[hit]), pa.array(end[hit])], names=OUT[:4])
 
     fetched = docs.mapInArrow(fetch, SENT_SCHEMA).repartition(parts, "part").sortWithinPartitions("part")

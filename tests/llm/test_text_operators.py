@@ -550,3 +550,16 @@ def test_katz_hot_words_and_small_blocks(spark, monkeypatch):
     katz_agrees(first, rows)
     monkeypatch.undo()
     assert sorted(first) == sorted(katz_model.scored(frame.coalesce(1)).collect())
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 5, 300):
+        x = r.integers(0, 2, (n, 100)).astype(np.uint8)
+        x[:, :97] = 7
+        rows = [row.tobytes() for row in x]
+        assert set(suffix_dedup.repeats(x).tolist()) == {i for i, row in enumerate(rows) if row in rows[:i]}
+    tokens = r.integers(0, 3, (500, 4)).astype(np.uint64)
+    order, new = suffix_dedup.multikey_quicksort(tokens)
+    ranked = [tuple(tokens[i]) for i in order]
+    assert ranked == sorted(map(tuple, tokens.tolist())) and new.tolist() == [i == 0 or ranked[i] != ranked[i - 1] for i in range(500)]
