@@ -26,10 +26,10 @@ def built_once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """
 
     @wraps(view)
-    def found(spark: SparkSession, folder: str, *args) -> DataFrame:
-        key = (spark.sparkContext.applicationId, view.__name__, folder, *args)
+    def found(spark: SparkSession, folder: str, *args, **options) -> DataFrame:
+        key = (spark.sparkContext.applicationId, view.__name__, folder, *args, *sorted(options.items()))
         if key not in _built:
-            _built[key] = checkpointed(view(spark, folder, *args), view.__name__)
+            _built[key] = checkpointed(view(spark, folder, *args, **options), view.__name__)
         return spark.read.schema(_built[key].schema).parquet(*_paths(_built[key]))
 
     return found
