@@ -347,6 +347,7 @@ LEVELS = """lv as (select node root, node, 0 level from (select distinct node fr
  best as (select root, node, min(level) level from lv group by 1, 2)"""
 
 
+@V.built_once
 def _coarse_nodes(spark, folder):
     return build.summarize_nodes(V.coarse_bodies(spark, folder).withColumn("weight", 1 + F.col("key") % 7))
 

@@ -331,9 +331,9 @@ def graph_properties(spark, folder):
 
 @query()
 def model_comparison(spark, folder):
-    """Properties of the coarse graph against graphs drawn from two fitted models, three draws each."""
+    """Properties of the coarse graph against graphs drawn from two fitted models, two draws each."""
     e, n = V.coarse_edges(spark, folder).select("src", "dst", "weight"), _coarse_nodes(spark, folder)
-    return rounded(M.compared(e, n, ["distance", "degree"], 3, S.SEED))
+    return rounded(M.compared(e, n, ["distance", "degree"], 2, S.SEED))
 
 
 @query("select fraction, edges, round(wire, 4) wire, routes from (select f fraction, count(*) edges, sum(micro) / 1000000 wire from (select m.micro, f from mm m, (values (0.01::double), (0.02::double), (0.05::double)) v(f) where input_fraction >= f) group by 1) join (select f2, sum(i * o)::bigint routes from (select f2, hub, count(*) filter (layer in ('brain-descending', 'vnc-ascending')) i, count(*) filter (layer in ('descending-vnc', 'ascending-brain')) o from (select l.layer, case when l.layer in ('brain-descending', 'vnc-ascending') then dst else src end hub, f2 from lay0 l, (values (0.01::double), (0.02::double), (0.05::double)) w(f2) where l.layer is not null and input_fraction >= f2) group by 1, 2) group by 1) on f2 = fraction")
