@@ -151,10 +151,11 @@ def without_repeated_lines(
     with ``drop_emptied``. Repeated rows fare alike; an empty table has no rows; all columns stay, whatever their names.
     """
     gone = _repeated(_documents(docs, id_col, text_col), num, den).groupBy("doc", "tag").agg(F.collect_set("line_no").alias("gone"))  # at most the document's lines
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
-    lines = F.split("text", "\n")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.hash(text_col).alias("tag"))
+    given = F.col("row")[text_col]
+    lines = F.split(given, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    text = F.when(F.col("gone").isNull(), given).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
     out = rows.join(gone, ["doc", "tag"], "left").select("row", F.col("gone").isNotNull().alias("changed"), text.alias("text"))
     if drop_emptied:
         out = out.where(~F.col("changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
