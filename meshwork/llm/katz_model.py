@@ -37,8 +37,9 @@ SAMPLE = 32
 #: Pairs from which a context's share of a partition is sent as sums, pairs of a partition that are solved in blocks.
 SUMMED, HOT_SHARE = 8, 8
 END, START = U64(0x1D5F7A1E5E2C9B37), U64(0x2545F4914F6CDD1D)
-#: Sums by text travel as whole numbers of this unit, so that they don't depend on their order.
+#: Sums by text travel as a whole number and a whole number of parts of 1, so that they don't depend on their order.
 UNIT = float(1 << 40)
+TOTALS = ("score", "score_parts", "base", "base_parts", "known")
 PAIRS, WORD_COUNTS, PAIR_COUNTS, SPREAD, HOT, CONTEXTS, TEXTS, POSTINGS, ASKED, SUMS = range(10)
 
 
@@ -360,15 +361,17 @@ def _goes(block: int, parts: int) -> int:
     return ((block >> 32) + (block & 0xFFFFFFFF)) % parts
 
 
-def _whole(x: np.ndarray) -> np.ndarray:
-    return np.rint(x * UNIT).astype(np.int64)
+def _whole(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as whole ones and parts of 1; sums of either stay far from the range of a long in a text of any length."""
+    one = np.floor(x)
+    return one.astype(np.int64), np.rint((x - one) * UNIT).astype(np.int64)
 
 
 def _sums(text: np.ndarray, n: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The texts that occur and their sums; each token's numbers count n times."""
+    """The texts that occur and their TOTALS; each token's numbers count n times."""
     size = int(text.max()) + 1 if len(text) else 0
     found = np.flatnonzero(np.bincount(text, minlength=size))
-    return found, *(_whole(np.bincount(text, n * x, minlength=size)[found]) for x in (score, base)), np.bincount(text, n * known, minlength=size)[found].astype(np.int64)
+    return found, *(y for x in (score, base) for y in _whole(np.bincount(text, n * x, minlength=size)[found])), np.bincount(text, n * known, minlength=size)[found].astype(np.int64)
 
 
 def _postings(docs: DataFrame, model, parts: int) -> DataFrame:
@@ -384,8 +387,8 @@ def _postings(docs: DataFrame, model, parts: int) -> DataFrame:
         for k, block in enumerate(blocks(batches, own.coding)):
             name = (TaskContext.get().partitionId() << 32) | k
             word, context, code, text, n = block.pairs(True)
-            score, base, known = np.zeros((3, len(block.ids)), np.int64)
-            score -= _whole(np.log10(max(start, 1)))  # the first context
+            totals = np.zeros((len(TOTALS), len(block.ids)), np.int64)
+            totals[:2] += np.reshape(_whole(-np.log10(np.array([max(start, 1.0)]))), (2, 1))  # the first context
             if len(own.hot[0]):
                 key = _pair(word, context)
                 at = np.minimum(np.searchsorted(own.hot[0], key), len(own.hot[0]) - 1)
@@ -393,11 +396,11 @@ def _postings(docs: DataFrame, model, parts: int) -> DataFrame:
                 at = at[hot]
                 ahead, plain = own.own(word[hot], own.hot[2][at])
                 of, *values = _sums(text[hot], n[hot], own.seen(own.hot[1][at]) + ahead, plain, np.ones(len(at)))
-                for total, x in zip((score, base, known), values, strict=True):
+                for total, x in zip(totals, values, strict=True):
                     total[of] += x
                 word, context, code, text, n = (x[~hot] for x in (word, context, code, text, n))
             count = np.bincount(block.text, minlength=len(block.ids))
-            table = pa.table({"id": pa.array(block.ids, to_arrow_type(kind)), "held": block.held, "n": count, "score": score, "base": base, "known": known})
+            table = pa.table({"id": pa.array(block.ids, to_arrow_type(kind)), "held": block.held, "n": count} | dict(zip(TOTALS, totals, strict=True)))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
@@ -449,7 +452,7 @@ def _looked_up(found: DataFrame, model, parts: int) -> DataFrame:
             ahead, plain = own.own(heads, count)
             ahead, plain, alone, known = (np.repeat(x, sizes) for x in (ahead, plain, np.log10(own.chance(count)), count > 0))
             of, *values = _sums(text, n, np.where(r > 0, own.seen(r), alone) + ahead, plain, known)
-            yield _batch([(_goes(block, parts), SUMS, block, packed(small(of), *values[:2], small(values[2])))], SENT)
+            yield _batch([(_goes(block, parts), SUMS, block, packed(small(of), *values[:-1], small(values[-1])))], SENT)
             new = np.flatnonzero(r == 0)
             if len(new):
                 asked.append((context[new], np.full(len(new), block), text[new], n[new]))
@@ -482,8 +485,8 @@ def _answered(found: DataFrame, parts: int) -> DataFrame:
             names, at = np.unique(block, return_inverse=True)
             out = []
             for k, rest in split(at, len(names)):
-                of, score, base, known = _sums(text[rest], np.ones(len(rest), np.int64), weight[rest], np.zeros(len(rest)), np.zeros(len(rest)))
-                out.append((_goes(int(names[k]), parts), SUMS, int(names[k]), packed(small(of), score, base, small(known))))
+                of, *values = _sums(text[rest], np.ones(len(rest), np.int64), weight[rest], np.zeros(len(rest)), np.zeros(len(rest)))
+                out.append((_goes(int(names[k]), parts), SUMS, int(names[k]), packed(small(of), *values[:-1], small(values[-1]))))
             return _batch(out, SENT)
 
         for p, kind, _, data in rows(batches):
@@ -517,17 +520,18 @@ def _summed(found: DataFrame, kind: str, parts: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             ids, held = (table[c].combine_chunks() for c in ("id", "held"))
             ids, held = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, held))
-            return pa.RecordBatch.from_arrays([ids, held, table["n"].combine_chunks(), pa.array(known), pa.array(base / UNIT), pa.array(score / UNIT)], names=["id", "held", "n", "known", "base", "score"])
+            score, base = (totals[i] + totals[i + 1] / UNIT for i in (0, 2))
+            return pa.RecordBatch.from_arrays([ids, held, table["n"].combine_chunks(), pa.array(totals[4]), pa.array(base), pa.array(score)], names=["id", "held", "n", "known", "base", "score"])
 
         for _, kind, block, data in rows(batches):
             if kind == TEXTS:  # a block's texts come first
                 if name is not None:
                     yield done()
                 name, table = block, pa.ipc.open_stream(data.as_buffer()).read_all()
-                score, base, known = (table[x].to_numpy().copy() for x in ("score", "base", "known"))
+                totals = [table[x].to_numpy().copy() for x in TOTALS]
                 continue
             of, *values = unpacked(data)
-            for total, x in zip((score, base, known), values, strict=True):
+            for total, x in zip(totals, values, strict=True):
                 total[of] += x.astype(np.int64)
         if name is not None:
             yield done()
@@ -540,7 +544,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Returns id, held_out, n_tokens, n_known (tokens that training has), train_tokens, base_score (add-0.1 unigram) and
     score (log10 probability under the model). Null and empty texts, or texts without a word, are one end token. A
-    null id counts as the empty string (held out). Repeated rows are each scored and counted. Empty table: no rows;
+    null id counts as the empty string (held out). Repeated rows are each scored and counted. Whole texts count, of any length: a text is one task's work. Empty table: no rows;
     without training texts every token is new. Words and pairs are told apart by 64-bit hash. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -552,6 +553,26 @@ def test_katz_hot_words_and_small_blocks(spark, monkeypatch):
     assert sorted(first) == sorted(katz_model.scored(frame.coalesce(1)).collect())
 
 
+def test_katz_scores_of_very_long_texts(spark):
+    """Sums of millions of tokens, known and new, against the formula of the base score and the words' own chance."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 != 0]
+    n = 3_000_000
+    long = spark.createDataFrame([(held[0], "new"), (held[1], "known")], "doc_id long, kind string")
+    words = F.when(F.col("kind") == "new", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("u"), F.hex(i))), " ")).otherwise(F.repeat(F.lit("x "), n))
+    rows = long.select("doc_id", words.alias("text")).unionByName(spark.createDataFrame([(taught[0], "x " * 1_000_001), (taught[1], "x y")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in katz_model.scored(rows).collect()}
+    total, distinct = 1_000_001 + 1 + 2 + 1, 3
+    base = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    new, known = got[held[0]], got[held[1]]
+    assert (new["n_tokens"], new["n_known"], known["n_known"], new["train_tokens"]) == (n + 1, 1, n + 1, total)
+    assert new["base_score"] == pytest.approx(n * base(0) + base(2), abs=1e-6 * n) and known["base_score"] == pytest.approx(n * base(1_000_002) + base(2), abs=1e-6 * n)
+    assert new["score"] < -5 * n and -n < known["score"] < 0
+    one = {r["doc_id"]: r["score"] for r in katz_model.scored(rows.where(F.col("doc_id") != held[0]).unionByName(spark.createDataFrame([(held[0], "ua ub uc")], "doc_id long, text string"))).collect()}[held[0]]
+    few = {r["doc_id"]: r["score"] for r in katz_model.scored(rows.where(F.col("doc_id") != held[0]).unionByName(spark.createDataFrame([(held[0], "ua ub")], "doc_id long, text string"))).collect()}[held[0]]
+    assert new["score"] == pytest.approx(one + (n - 3) * (one - few), rel=1e-9)  # each new word after a new word adds the same
+
+
 def test_multikey_quicksort():
     r = np.random.default_rng(0)
     for n in (0, 1, 5, 300):
