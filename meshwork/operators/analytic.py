@@ -31,6 +31,61 @@ def running(frame: DataFrame, value: str, *order: Column) -> DataFrame:
     return placed.drop("_range", "_i", "_u", "_n0", "_s0", *keys)
 
 
+def _ranged(frame: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Counts m of the distinct values of each group in ranges of the whole order, and (*by, _range, _before, n): how many
+    rows of the group are in the ranges before, and in all. Null values are left out."""
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
+    ranged = checkpointed(counts.repartitionByRange(partitions(frame.sparkSession), *by, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("m").alias("_s"))
+    group = Window.partitionBy(*by)  # a row per range and group in it
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged, totals.select(*by, "_range", before.alias("_before"), F.col("_s"), F.sum("_s").over(group).alias("n"))
+
+
+def _met(ranged: DataFrame, starts: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """(*by, value, m, upto, n) of the ranges in ``starts``; ``upto`` counts the rows of the group up to the value."""
+    there = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_there"), "_before", "n")
+    on = [F.col("_range") == F.col("_there"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(there, on).select(*by, value, "m", (F.col("_before") + F.sum("m").over(inside)).alias("upto"), "n")
+
+
+def cumulative(frame: DataFrame, value: str, *by: str) -> DataFrame:
+    """(*by, value, m, upto, n): for each distinct value of a group its rows, the group's rows up to it, and all of them.
+
+    A group may hold any part of the rows: its values are dealt to ranges, and equal values are one row before that.
+    """
+    ranged, starts = _ranged(frame, value, by)
+    return _met(ranged, starts, value, by)
+
+
+def quantiles(frame: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
+    """(*by, one column a fraction): exact quantiles by linear interpolation, null values left out.
+
+    Wanted places are looked up in the counts by range, and only the ranges that hold one are sorted. Without ``by``
+    there is one row, of nulls where there is no value.
+    """
+    ranged, starts = _ranged(frame, value, by)
+    places = {name: q * (F.col("n") - 1) for name, q in fractions.items()}
+    wanted = F.array(*[f(at).cast("long") for at in places.values() for f in (F.floor, F.ceil)])
+    holds = F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_s")))
+    met = _met(ranged, checkpointed(starts.where(holds), "wanted"), value, by)
+    at = lambda r: F.max(F.when((r >= F.col("upto") - F.col("m")) & (r < F.col("upto")), F.col(value)))
+    ends = [c for i, p in enumerate(places.values()) for c in (at(F.floor(p)).alias(f"_low{i}"), at(F.ceil(p)).alias(f"_high{i}"), F.max(p - F.floor(p)).alias(f"_part{i}"))]
+    found = met.groupBy(*by).agg(*ends)  # two rows a fraction and group
+    between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+    return found.select(*by, *[between(i).cast("double").alias(name) for i, name in enumerate(fractions)])
+
+
+def with_quantiles(sums: DataFrame, frame: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
+    """``sums``, which has a row per group ``by``, beside the quantiles of ``value`` in ``frame``."""
+    q = quantiles(frame, value, fractions, *by)
+    if not by:
+        return sums.join(q)
+    q = q.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    return sums.join(q, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], "left").drop(*[f"_by_{c}" for c in by])
+
+
 def with_micro(edges: DataFrame) -> DataFrame:
     """Lengths in whole millionths as ``micro``."""
     return edges.withColumn("micro", F.round(F.col("length") * 1_000_000).cast("long"))
@@ -63,15 +118,16 @@ def top_shares(edges: DataFrame, shares: list[float]) -> DataFrame:
 
 def quantile_bins(frame: DataFrame, value: str, bins: int) -> DataFrame:
     """``frame`` with ``bin``: e_b <= value < e_b+1 for the linear quantile edges e, the last closed; equal values share a bin."""
-    edges = frame.agg(F.percentile(value, [k / bins for k in range(bins + 1)]).alias("_edges"))
-    at = F.size(F.filter(F.slice("_edges", 2, bins - 1), lambda e: e <= F.col(value)))
-    return frame.join(F.broadcast(edges)).withColumn("bin", at).drop("_edges")
+    edges = quantiles(frame, value, {f"_e{k}": k / bins for k in range(1, bins)})
+    at = sum((F.when(F.col(f"_e{k}") <= F.col(value), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
+    return frame.join(F.broadcast(edges)).withColumn("bin", at).drop(*[f"_e{k}" for k in range(1, bins)])  # one row
 
 
 def decile_table(edges: DataFrame, bins: int = 10) -> DataFrame:
     """Per length decile: edges, range, wire, weight, weight per wire, and that relative to the whole."""
-    binned = with_micro(quantile_bins(edges, "length", bins))
-    per = binned.groupBy("bin").agg(F.count("*").alias("edges"), F.min("length").alias("shortest"), F.max("length").alias("longest"), (F.sum("micro") / 1_000_000).alias("wire"), F.sum("weight").alias("weight"), F.percentile("weight", 0.5).alias("median_weight"))
+    binned = checkpointed(with_micro(quantile_bins(edges, "length", bins)).select("bin", "length", "micro", "weight"), "binned")
+    per = binned.groupBy("bin").agg(F.count("*").alias("edges"), F.min("length").alias("shortest"), F.max("length").alias("longest"), (F.sum("micro") / 1_000_000).alias("wire"), F.sum("weight").alias("weight"))
+    per = with_quantiles(per, binned, "weight", {"median_weight": 0.5}, "bin")
     whole = per.agg((F.sum("weight") / F.sum("wire")).alias("expected"))
     density = F.col("weight") / F.col("wire")
     return per.join(F.broadcast(whole)).select("bin", "edges", "shortest", "longest", "wire", "weight", "median_weight", density.alias("density"), (density / F.col("expected")).alias("ratio"))
@@ -79,7 +135,9 @@ def decile_table(edges: DataFrame, bins: int = 10) -> DataFrame:
 
 def binned_medians(frame: DataFrame, value: str, other: str, bins: int = 10) -> DataFrame:
     kept = frame.where(F.col(value).isNotNull() & F.col(other).isNotNull())
-    return quantile_bins(kept, value, bins).groupBy("bin").agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median_value"), F.percentile(other, 0.5).alias("median_other"))
+    binned = checkpointed(quantile_bins(kept, value, bins).select("bin", F.col(value).alias("value"), F.col(other).alias("other")), "binned")
+    per = with_quantiles(binned.groupBy("bin").agg(F.count("*").alias("n")), binned, "value", {"median_value": 0.5}, "bin")
+    return with_quantiles(per, binned, "other", {"median_other": 0.5}, "bin")
 
 
 def take_until(ran: DataFrame, target: str) -> DataFrame:
@@ -119,9 +177,12 @@ def pooled(curves: DataFrame) -> DataFrame:
 
 
 def rank_among(frame: DataFrame, value: str, *by: str) -> DataFrame:
-    """Rank (number greater, plus 1) and share of peers that are less."""
-    w = Window.partitionBy(*by)
-    return frame.withColumns({"rank": F.rank().over(w.orderBy(F.desc(value))), "share_below": F.percent_rank().over(w.orderBy(value))})
+    """Rank (number greater, plus 1) and share of peers that are less, from the counts of distinct values; rows with a null
+    value have none."""
+    ran = cumulative(frame, value, *by).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_value"), "m", "upto", "n")
+    on = [F.col(value) == F.col("_value"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    share = F.coalesce((F.col("upto") - F.col("m")) / F.nullif(F.col("n") - 1, F.lit(0)), F.when(F.col("n") == 1, 0.0))
+    return frame.join(ran, on, "left").withColumns({"rank": F.col("n") - F.col("upto") + 1, "share_below": share}).drop("_value", "m", "upto", "n", *[f"_by_{c}" for c in by])
 
 
 def average_ranks(frame: DataFrame, *values: str) -> DataFrame:

@@ -21,8 +21,9 @@ def combine_edges(*partials: DataFrame) -> DataFrame:
 
 def build_graph(edges: DataFrame, fraction: float) -> DataFrame:
     """Edges that carry at least ``fraction`` of their target's input. Loops and weak edges count in the input, then go."""
-    total = F.sum("weight").over(Window.partitionBy("dst"))
-    return edges.withColumn("input_fraction", F.col("weight") / total).where((F.col("src") != F.col("dst")) & (F.col("input_fraction") >= fraction))
+    total = edges.groupBy("dst").agg(F.sum("weight").alias("_input"))
+    shared = edges.join(total, "dst").withColumn("input_fraction", F.col("weight") / F.col("_input")).drop("_input")
+    return shared.where((F.col("src") != F.col("dst")) & (F.col("input_fraction") >= fraction)).select(*edges.columns, "input_fraction")
 
 
 def threshold_sweep(edges: DataFrame, fractions: list[float]) -> DataFrame:
@@ -48,8 +49,8 @@ def node_positions(bodies: DataFrame, least_share: float = 0.5) -> DataFrame:
     """Position of each node: the mean of its bodies' positions if at least ``least_share`` have one, else the
     weighted mean of their second positions (column weight); with the mean distance to the mean as spread."""
     has = F.col("x").isNotNull()
-    mean = Window.partitionBy("node")
-    away = bodies.withColumns({f"m{k}": F.avg(k).over(mean) for k in "xyz"})
+    mean = bodies.groupBy(F.col("node").alias("_node")).agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])
+    away = bodies.join(mean, F.col("node") == F.col("_node"))
     away = away.withColumn("off", F.sqrt(sum(((F.col(k) - F.col(f"m{k}")) * (F.col(k) - F.col(f"m{k}")) for k in "xyz"), F.lit(0.0))))
     sums = away.groupBy("node").agg(
         F.count("*").alias("n_bodies"), F.count_if(has).alias("n_placed"), F.avg("off").alias("spread"), *[F.avg(k).alias(k) for k in "xyz"],

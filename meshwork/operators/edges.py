@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance
-from meshwork.operators.analytic import running
-
+from meshwork.operators.analytic import quantiles, running, with_quantiles
+from meshwork.sources.sinks import checkpointed
 
 
 def edge_groups(edges: DataFrame) -> DataFrame:
@@ -67,10 +67,10 @@ def wire(length: str = "length") -> Column:
 
 
 def length_summary(edges: DataFrame, *by: str) -> DataFrame:
-    return edges.groupBy(*by).agg(
-        F.count("*").alias("edges"), wire().alias("total"), (wire() / F.count("*")).alias("mean"), F.percentile("length", 0.5).alias("median"),
-        F.percentile("length", 0.9).alias("p90"), F.percentile("length", 0.99).alias("p99"), F.max("length").alias("longest"),
-    )
+    """Edges, total, mean, median, 90th and 99th percentile and greatest of the lengths, by group."""
+    kept = checkpointed(edges.select(*by, "length"), "lengths")
+    sums = kept.groupBy(*by).agg(F.count("*").alias("edges"), wire().alias("total"), (wire() / F.count("*")).alias("mean"), F.max("length").alias("longest"))
+    return with_quantiles(sums, kept, "length", {"median": 0.5, "p90": 0.9, "p99": 0.99}, *by).select(*by, "edges", "total", "mean", "median", "p90", "p99", "longest")
 
 
 def cost(edges: DataFrame) -> DataFrame:
@@ -110,14 +110,21 @@ def partner_richness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def quantile_threshold(members: DataFrame, value: str, top: float) -> DataFrame:
     """Least value of the top fraction (linear quantile)."""
-    return members.agg(F.percentile(value, 1 - top).alias("threshold"))
+    return quantiles(members, value, {"threshold": 1 - top})
+
+
+def rich_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, side, richness of the nodes without a role whose compartment is brain or vnc (their ``side``)."""
+    members = nodes.where((F.col("role") == "none") & F.col("compartment").isin("brain", "vnc")).select("node", F.col("compartment").alias("side"))
+    return partner_richness(edges, nodes).join(members, "node").select("node", "side", "richness")
 
 
 def rich_mask(edges: DataFrame, nodes: DataFrame, top: float) -> DataFrame:
-    """node, rich: at least the quantile of richness among members (no role, known compartment)."""
-    rich = partner_richness(edges, nodes).join(nodes.select("node", ((F.col("role") == "none") & F.col("compartment").isNotNull()).alias("member")), "node")
-    least = quantile_threshold(rich.where("member"), "richness", top)
-    return rich.join(F.broadcast(least)).select("node", (F.col("member") & (F.col("richness") >= F.col("threshold"))).alias("rich"))
+    """node, rich: at least the quantile of richness among the members of the node's own compartment; others aren't rich."""
+    members = checkpointed(rich_members(edges, nodes), "members")
+    least = quantiles(members, "richness", {"threshold": 1 - top}, "side")
+    rich = members.join(least, "side").where("richness >= threshold").select("node", F.lit(True).alias("rich"))
+    return nodes.select("node").join(rich, "node", "left").select("node", F.coalesce("rich", F.lit(False)).alias("rich"))
 
 
 def layered(edges: DataFrame, rich: DataFrame) -> DataFrame:
@@ -141,14 +148,30 @@ def route_counts(edges: DataFrame, rich: DataFrame) -> DataFrame:
     return per.groupBy("role").agg(F.count("*").alias("hubs"), F.sum(F.col("ins") * F.col("outs")).alias("routes"))
 
 
+def rich_at(edges: DataFrame, nodes: DataFrame, tops: list[float]) -> DataFrame:
+    """(node, rich): the places in ``tops`` of the fractions at which a node is rich in its compartment; others have no row."""
+    rich = checkpointed(rich_members(edges, nodes), "members")
+    cuts = quantiles(rich, "richness", {f"t{i}": 1 - t for i, t in enumerate(tops)}, "side").select("side", F.posexplode(F.array(*[f"t{i}" for i in range(len(tops))])).alias("i", "cut"))
+    return rich.join(cuts, "side").where("richness >= cut").groupBy("node").agg(F.collect_list("i").alias("rich"))  # an entry a fraction
+
+
+def routes_by(layered_edges: DataFrame, rich: DataFrame, by: str) -> DataFrame:
+    """(by, i, role, routes): two-step routes between rich nodes through each role, in each graph of the column ``by`` and at
+    each fraction of ``rich_at``; role ``total`` is both. ``layered_edges`` has by, layer, src, dst. Paths aren't listed."""
+    into = F.col("layer").isin("brain-descending", "vnc-ascending")
+    kept = layered_edges.select(by, "layer", F.when(into, F.col("dst")).otherwise(F.col("src")).alias("hub"), F.when(into, F.col("src")).otherwise(F.col("dst")).alias("node"), into.cast("int").alias("into"))
+    flagged = kept.join(rich, "node").withColumn("i", F.explode("rich"))
+    role = F.when(F.col("layer").contains("descending"), "descending").otherwise("ascending")
+    per = flagged.groupBy(by, "i", "hub", role.alias("role")).agg((F.sum("into") * F.sum(1 - F.col("into"))).alias("routes"))
+    each = per.groupBy(by, "i", "role").agg(F.sum("routes").alias("routes"))
+    return each.unionByName(each.groupBy(by, "i").agg(F.sum("routes").alias("routes")).select(by, "i", F.lit("total").alias("role"), "routes"))
+
+
 def route_threshold_curve(edges: DataFrame, nodes: DataFrame, tops: list[float]) -> DataFrame:
-    """Routes at several rich fractions, one pass over the edges: thresholds are a small table."""
-    rich = partner_richness(edges, nodes).join(nodes.select("node", ((F.col("role") == "none") & F.col("compartment").isNotNull()).alias("member")), "node").where("member")
-    cuts = rich.agg(F.percentile("richness", [1 - t for t in tops]).alias("cut")).select(F.posexplode("cut").alias("i", "cut"))
+    """Routes at several rich fractions, one pass over the edges; fractions are taken inside each compartment."""
+    typed = edges.withColumn("layer", layer()).where("layer is not null").select(F.lit(0).alias("graph"), "layer", "src", "dst")
     at = F.array(*[F.lit(t) for t in tops])
-    flagged = layered(edges, rich.select("node", F.col("richness").alias("rich"))).join(F.broadcast(cuts), F.col("rich") >= F.col("cut"))
-    per = flagged.groupBy("i", "hub").agg(F.count_if(F.col("layer").isin("brain-descending", "vnc-ascending")).alias("ins"), F.count_if(F.col("layer").isin("descending-vnc", "ascending-brain")).alias("outs"))
-    return per.groupBy("i").agg(F.sum(F.col("ins") * F.col("outs")).alias("routes")).select(at[F.col("i")].alias("top_fraction"), "routes")
+    return routes_by(typed, rich_at(edges, nodes, tops), "graph").where("role = 'total'").select(at[F.col("i")].alias("top_fraction"), "routes")
 
 
 def rich_club(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,6 +192,21 @@ def rich_club(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.withColumn("phi", F.when(n >= 2, F.col("edges_above") / (n * (n - 1))))
 
 
+def rich_club_curves(edges: DataFrame, by: str) -> DataFrame:
+    """(by, k, nodes_above, phi) of each graph of the column ``by``: as ``rich_club``, for 0 and the degrees that occur in it.
+    Windows are over the degrees of a graph."""
+    both = edges.select(by, F.explode(F.array("src", "dst")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("degree"))
+    both = checkpointed(both, "degrees")
+    of_nodes = both.groupBy(by, F.col("degree").alias("k")).agg(F.count("*").alias("n"))
+    ends = edges.select(by, "src", "dst").join(both.select(by, F.col("node").alias("src"), F.col("degree").alias("a")), [by, "src"]).join(both.select(by, F.col("node").alias("dst"), F.col("degree").alias("b")), [by, "dst"])
+    of_edges = ends.groupBy(by, F.least("a", "b").alias("k")).agg(F.count("*").alias("e"))
+    down = Window.partitionBy(by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = of_nodes.join(of_edges, [by, "k"], "left").select(by, "k", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("n"), F.coalesce(F.sum("e").over(down), F.lit(0)).alias("e"))
+    least = both.select(by).distinct().join(edges.groupBy(by).agg(F.count("*").alias("e")), by).join(both.groupBy(by).agg(F.count("*").alias("n")), by).select(by, F.lit(0).cast("long").alias("k"), "n", "e")
+    phi = F.when(F.col("n") >= 2, F.col("e") / (F.col("n") * (F.col("n") - 1)))
+    return sums.unionByName(least).select(by, "k", F.col("n").alias("nodes_above"), phi.alias("phi"))
+
+
 def long_range(edges: DataFrame, least: float) -> DataFrame:
     """Long edges inside one compartment: count, share to the other side, share within a type."""
     kept = edges.where((F.col("length") >= least) & (F.col("src_compartment") == F.col("dst_compartment")))
@@ -177,8 +215,9 @@ def long_range(edges: DataFrame, least: float) -> DataFrame:
 
 def ownership(edges: DataFrame) -> DataFrame:
     """By superclass: edges that touch it (once each), their wire and its share, mean and median length. Shares overlap."""
-    touched = edges.select("length", F.explode(F.array_distinct(F.array("src_superclass", "dst_superclass"))).alias("superclass"))
-    sums = touched.groupBy("superclass").agg(F.count("*").alias("edges"), wire().alias("wire"), F.percentile("length", 0.5).alias("median"))
+    touched = checkpointed(edges.select("length", F.explode(F.array_distinct(F.array("src_superclass", "dst_superclass"))).alias("superclass")), "touched")
+    sums = touched.groupBy("superclass").agg(F.count("*").alias("edges"), wire().alias("wire"))
+    sums = with_quantiles(sums, touched, "length", {"median": 0.5}, "superclass")
     whole = edges.agg(wire().alias("all_wire"))
     return sums.join(F.broadcast(whole)).select("superclass", "edges", "wire", (F.col("wire") / F.col("all_wire")).alias("wire_share"), (F.col("wire") / F.col("edges")).alias("mean"), "median")
 
@@ -202,8 +241,14 @@ def partner_distance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def distance_to_centroid(nodes: DataFrame, *scope: str) -> DataFrame:
-    w = Window.partitionBy(*scope)
-    placed = nodes.withColumns({f"c_{k}": F.avg(k).over(w) for k in "xyz"}).withColumns({f"n_{k}": F.col(k) for k in "xyz"})
+    """Distance of each node to the mean position of its scope; means are added up before they are sent, a row a scope."""
+    means = nodes.groupBy(*scope).agg(*[F.avg(k).alias(f"c_{k}") for k in "xyz"])
+    own = nodes.select("node", *scope, *[F.col(k).alias(f"n_{k}") for k in "xyz"])
+    if scope:
+        means = means.withColumnsRenamed({c: f"_of_{c}" for c in scope})
+        placed = own.join(means, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in scope])
+    else:
+        placed = own.join(means)
     return placed.select("node", *scope, distance("n_", "c_").alias("to_centroid"))
 
 

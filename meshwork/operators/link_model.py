@@ -64,7 +64,9 @@ def fit(design: DataFrame, columns: list[str], strength: float = 1.0):
     """L2-regularised logistic regression, intercept free. ``design`` is encoded; returns the model and scored rows."""
     ready = VectorAssembler(inputCols=columns, outputCol="features").transform(design)
     n = ready.count()
-    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=30, tol=1e-6).fit(ready)
+    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-6).fit(ready)
+    if model.summary.totalIterations >= 2000:
+        raise RuntimeError("the fit has not converged")
     return model, model.transform(ready).withColumn("p", vector_to_array("probability")[1]).drop("features", "probability", "rawPrediction", "prediction")
 
 
@@ -85,13 +87,14 @@ def auc(scored: DataFrame) -> DataFrame:
 
 
 def folds(frame: DataFrame, k: int, seed: int) -> DataFrame:
-    """Fold 0..k-1 of each row by the draw of its pair."""
-    return frame.withColumn("fold", F.floor(draw(seed, F.col("src"), F.col("dst")) * k).cast("int"))
+    """Fold 0..k-1 of each row; the rows of a label, in a random order, go to the folds in turn, so each fold has its share."""
+    order = running(frame.withColumn("_one", F.lit(1)), "_one", F.col("label"), draw(seed, F.col("src"), F.col("dst")), F.col("src"), F.col("dst"))
+    return order.withColumn("fold", (F.col("nth") % k).cast("int")).select(*frame.columns, "fold")
 
 
 def cross_validated(design: DataFrame, columns: list[str], k: int, seed: int) -> DataFrame:
     """Mean held-out AUC over k folds."""
-    parts = folds(design, k, seed).cache()
+    parts = checkpointed(folds(design, k, seed), "folds")
     out = None
     for f in range(k):
         model, _ = fit(parts.where(F.col("fold") != f), columns)

@@ -99,11 +99,11 @@ def region_centroids(points: DataFrame) -> DataFrame:
 
 
 def atlas(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """By region: members, majority compartment, incident edges, wire (half an edge to each end) and its share, edges inside."""
+    """By region: members, majority compartment, ends of edges, wire (half an edge to each end) and its share, edges inside."""
     members = nodes.groupBy("region").agg(F.count("*").alias("members"), F.when(F.avg((F.coalesce("compartment", F.lit("?")) == "vnc").cast("int")) >= 0.5, "vnc").otherwise("brain").alias("compartment"))
     inside = (F.col("src_region") == F.col("dst_region")).cast("int")
     per = edges.withColumn("inside", inside).select(F.explode(F.array("src_region", "dst_region")).alias("region"), "length", "inside")
-    sums = per.groupBy("region").agg((F.count("*") - F.sum("inside") / 2).cast("long").alias("edges_incident"), (wire() / 2).alias("wire"), (F.sum("inside") / 2).cast("long").alias("edges_internal"))
+    sums = per.groupBy("region").agg(F.count("*").alias("edges_incident"), (wire() / 2).alias("wire"), (F.sum("inside") / 2).cast("long").alias("edges_internal"))
     whole = edges.agg(wire().alias("all_wire"))
     return members.join(sums, "region", "left").join(F.broadcast(whole)).select("region", "members", "compartment", "edges_incident", "edges_internal", "wire", (F.col("wire") / F.col("all_wire")).alias("wire_share"))
 
@@ -164,9 +164,22 @@ def rotated(points: DataFrame, matrix: list[list[float]]) -> DataFrame:
     return points.select("node", turn(matrix[0]).alias("u"), (-turn(matrix[1])).alias("v"))
 
 
-def region_graph(edges: DataFrame) -> DataFrame:
-    """Undirected region graph: one edge per pair with a connection, weight its wire."""
-    return region_pairs(edges).where("one != two").select("one", "two", "wire")
+def region_graph(edges: DataFrame, dense: bool = True) -> DataFrame:
+    """Undirected region graph: one edge per pair with a connection, weight its wire. Unless ``dense``, only pairs with at least
+    as many connections as the totals of their regions would give by chance."""
+    pairs = region_pairs(edges).where("one != two")
+    if not dense:
+        both = pairs.select(F.explode(F.array("one", "two")).alias("region"), "edges").groupBy("region").agg(F.sum("edges").alias("all"))
+        whole = pairs.agg((2 * F.sum("edges")).alias("whole"))  # one row
+        totals = lambda end: both.select(F.col("region").alias(end), F.col("all").alias(f"all_{end}"))
+        pairs = pairs.join(totals("one"), "one").join(totals("two"), "two").join(F.broadcast(whole)).where("edges * cast(whole as double) >= all_one * all_two")
+    return pairs.select("one", "two", "wire")
+
+
+def areas(edges: DataFrame) -> DataFrame:
+    """``edges`` whose regions are parted by compartment."""
+    area = lambda end: F.concat_ws("-", F.col(f"{end}_region"), F.coalesce(f"{end}_compartment", F.lit("none")))
+    return edges.withColumns({"src_region": area("src"), "dst_region": area("dst")})
 
 
 def sibling_pairs(regions: DataFrame, stem: str = "stem", side: str = "side") -> DataFrame:
@@ -177,6 +190,15 @@ def sibling_pairs(regions: DataFrame, stem: str = "stem", side: str = "side") ->
 
 
 
+def budgets(regions: DataFrame) -> DataFrame:
+    """(kind, regions, wire, wire_share) of regions (name, stem, side, value): ``paired`` with both sides, ``midline`` without a
+    side, ``unpaired`` with one."""
+    both = regions.where("stem is not null").groupBy("stem").agg(F.countDistinct("side").alias("sides"))
+    placed = regions.join(both, "stem", "left").withColumn("kind", F.when(F.col("stem").isNull(), "midline").when(F.col("sides") == 2, "paired").otherwise("unpaired"))
+    sums = placed.groupBy("kind").agg(F.count("*").alias("regions"), F.sum("value").alias("wire"))
+    return sums.join(F.broadcast(sums.agg(F.sum("wire").alias("all")))).select("kind", "regions", "wire", (F.col("wire") / F.col("all")).alias("wire_share"))  # three rows
+
+
 def group_table(rows: DataFrame, group: str, value: str, member: str) -> DataFrame:
     """By group: rows, those in each compartment, mean and sum of a value, and the sorted distinct members (names of classes
     or regions: a small vocabulary)."""

@@ -146,6 +146,52 @@ def repairing_null(rows: DataFrame, left: str, right: str, key: str, draws: int,
     return one.join(two, "nth").groupBy("draw_id").agg(F.avg(F.abs(F.ln(F.col(left) / F.col(right)))).alias("asymmetry"))
 
 
+def partner_test(edges: DataFrame, nodes: DataFrame, scopes: dict[str, str], draws: int = 1000, batch: int = 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(scopes, nodes): each node's distance to the mean place of its partners against partners drawn anew, as many, any nodes
+    but itself, with replacement.
+
+    The first table has a row per scope (a condition on ``nodes``): scope, nodes, real (mean distance), draws, null_mean,
+    null_sd, ratio, z, p_lower. The second has node, partner_distance, null_mean, null_sd, z for each node with a partner; z is
+    null without spread. Draws come ``batch`` at a time: of a batch only moments of each node and sums of each draw and
+    scope stay, so rows don't grow with the draws. Nodes without a place don't take part.
+    """
+    from functools import reduce
+
+    from meshwork.operators.edges import ends
+
+    placed = nodes.where("x is not null and y is not null and z is not null").withColumns({f"in_{s}": F.coalesce(F.expr(c), F.lit(False)) for s, c in scopes.items()})
+    numbered = running(placed.withColumn("one", F.lit(1)), "one", draw(seed, F.col("node")), F.col("node"))
+    masks = [f"in_{s}" for s in scopes]
+    numbered = checkpointed(numbered.select("node", "x", "y", "z", *masks, (F.col("nth") - 1).cast("long").alias("i"), "rows"), "numbered")
+    own = numbered.select("node", *masks, F.col("i").alias("self"), "rows", *[F.col(k).alias(f"own_{k}") for k in "xyz"])
+    partners = numbered.select("i", *[F.col(k).alias(f"p_{k}") for k in "xyz"])
+    kept = ends(edges).join(numbered.select(F.col("node").alias("other"), *[F.col(k).alias(f"p_{k}") for k in "xyz"]), "other").join(own.select("node"), "node", "left_semi")
+    mean = [F.avg(f"p_{k}").alias(f"m_{k}") for k in "xyz"]
+    real = kept.groupBy("node").agg(F.count("*").alias("degree"), *mean).join(own, "node").select("node", "degree", *masks, "self", "rows", *[f"own_{k}" for k in "xyz"], distance("own_", "m_").alias("partner_distance"))
+    real = checkpointed(real, "partners")
+    sums = [F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q")]
+    moments, scoped = [], []
+    for begin in range(0, draws, batch):
+        numbers = F.sequence(F.lit(begin + 1), F.lit(min(begin + batch, draws)))
+        many = real.where("rows > 1").withColumn("draw_id", F.explode(numbers)).withColumn("stub", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))))
+        pick = F.floor(draw(seed, F.col("draw_id"), F.col("node"), F.col("stub")) * (F.col("rows") - 1)).cast("long")
+        many = many.select("draw_id", "node", (pick + (pick >= F.col("self")).cast("long")).alias("i"))
+        drawn = many.join(partners, "i").groupBy("draw_id", "node").agg(*mean).join(real.select("node", *masks, *[f"own_{k}" for k in "xyz"]), "node")
+        drawn = checkpointed(drawn.select("draw_id", "node", *masks, distance("own_", "m_").alias("d")), "drawn")
+        moments.append(checkpointed(drawn.groupBy("node").agg(F.count("*").alias("n"), *sums), "moments"))
+        named = F.explode(F.array_compact(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in scopes])))
+        scoped.append(checkpointed(drawn.select("draw_id", "d", named.alias("scope")).groupBy("scope", "draw_id").agg(F.avg("d").alias("null")), "scopes"))
+    per = reduce(DataFrame.unionByName, moments).groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)) * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)))
+    per = real.join(per, "node", "left").select("node", "partner_distance", (F.col("s") / F.col("n")).alias("null_mean"), spread.alias("null_sd"))
+    per = per.withColumn("z", F.when(F.col("null_sd") > 1e-9 * F.col("null_mean"), (F.col("partner_distance") - F.col("null_mean")) / F.col("null_sd")))
+    named = F.explode(F.array_compact(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in scopes])))
+    whole = real.select(named.alias("scope"), "partner_distance").groupBy("scope").agg(F.count("*").alias("nodes"), F.avg("partner_distance").alias("real"))
+    null = reduce(DataFrame.unionByName, scoped).join(whole, "scope").groupBy("scope", "nodes", "real").agg(F.count("*").alias("draws"), F.avg("null").alias("null_mean"), F.stddev_samp("null").alias("null_sd"), F.count_if(F.col("null") <= F.col("real")).alias("below"))
+    z = F.when(F.col("null_sd") > 0, (F.col("real") - F.col("null_mean")) / F.col("null_sd"))
+    return null.select("scope", "nodes", "real", "draws", "null_mean", "null_sd", (F.col("real") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("ratio"), z.alias("z"), ((1 + F.col("below")) / (1 + F.col("draws"))).alias("p_lower")), per
+
+
 def random_partner_null(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = SEED) -> DataFrame:
     """Mean distance to the mean of random partners, degrees kept, partners other than the node: (draw_id, mean)."""
     from meshwork.operators.edges import ends

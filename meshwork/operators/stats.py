@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from meshwork.functions import tails
+from meshwork.functions import likelihoods, tails
 from meshwork.operators.analytic import average_ranks, running
 from meshwork.sources.sinks import checkpointed
 
@@ -125,6 +127,44 @@ def _bounded(frame: DataFrame, most: int) -> pd.DataFrame:
     return rows
 
 
+def tail_comparison(lengths: DataFrame, value: str, least: float | None = None) -> DataFrame:
+    """(alternative, cut, tail, ratio, p) of the power-law tail of rounded data against three others: log-likelihood ratio
+    over its deviation (above 0: the power law fits better) and its two-sided p. The truncated power law has the power law
+    in it, so its p is that of twice the ratio under chi-squared of one degree.
+
+    ``least`` is the cutoff; without it, that of ``power_law_scan``. All four likelihoods are linear in ln x, (ln x)^2 and x,
+    so one aggregate of their moments has all that fits, ratios and deviations need. No tail of two rows: no rows.
+    """
+    if least is None:
+        cut = power_law_scan(lengths, value).first()
+        if cut is None:
+            return lengths.sparkSession.createDataFrame([], TAIL_SCHEMA)
+        least = cut["cut"]
+    x = F.round(value) / F.lit(float(least))
+    tail = lengths.select(x.alias("x"), F.ln(x).alias("y")).where("x >= 1")
+    terms = {f"y{i}x{j}": F.pow("y", F.lit(i)) * F.pow("x", F.lit(j)) for i in range(5) for j in range(3) if i + 2 * j <= 4}
+    m = tail.agg(F.count("*").alias("n"), *[F.avg(t).alias(name) for name, t in terms.items()]).first().asDict()
+    n = m.pop("n")
+    if n < 2 or m["y1x0"] <= 0:
+        return lengths.sparkSession.createDataFrame([], TAIL_SCHEMA)
+    alpha = 1 + 1 / m["y1x0"]
+    power = np.array([math.log(alpha - 1), -alpha, 0.0, 0.0])
+    rows = []
+    for name, other in (("lognormal", likelihoods.lognormal(m["y1x0"], m["y2x0"])), ("exponential", likelihoods.exponential(m["y0x1"])), ("truncated_power_law", likelihoods.truncated_power_law(m["y1x0"], m["y0x1"], alpha))):
+        d = power - other  # in 1, y, y^2 and x
+        of = [(0, 0), (1, 0), (2, 0), (0, 1)]
+        mean = sum(c * m[f"y{i}x{j}"] for c, (i, j) in zip(d, of, strict=True))
+        square = sum(a * b * m[f"y{i + k}x{j + l}"] for a, (i, j) in zip(d, of, strict=True) for b, (k, l) in zip(d, of, strict=True))
+        spread = math.sqrt(max(square - mean * mean, 0.0) * n)
+        ratio = n * mean / spread if spread > 0 else 0.0
+        p = math.erfc(math.sqrt(abs(n * mean))) if name == "truncated_power_law" else math.erfc(abs(ratio) / math.sqrt(2))
+        rows.append((name, float(least), n, float(ratio), float(p)))
+    return lengths.sparkSession.createDataFrame(rows, TAIL_SCHEMA)
+
+
+TAIL_SCHEMA = "alternative string, cut double, tail long, ratio double, p double"
+
+
 def exponential_fit(curve: DataFrame, x: str, y: str, most: int = 20_000) -> DataFrame:
     """a exp(-x / lambda) by least squares from (greatest y, 100), positives only: damped Gauss-Newton steps in the driver
     over the bins of a curve (``most`` at most, or it is an error)."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.functions import expressions as X
 from meshwork.operators import analytic as A
 from meshwork.operators import build
+from meshwork.operators import communities as C
 from meshwork.operators import edges as E
 from meshwork.operators import graph as G
 from meshwork.operators import link_model as M
@@ -75,7 +76,7 @@ def length_deciles(spark, folder):
 def degree_bins(spark, folder):
     """A25, C4."""
     n = V.fine_nodes(spark, folder)
-    both = E.degrees(V.fine_edges(spark, folder), n).join(E.distance_to_centroid(n.withColumn("scope", F.lit(1)), "scope"), "node")
+    both = E.degrees(V.fine_edges(spark, folder), n).join(E.distance_to_centroid(n), "node")
     return rounded(A.binned_medians(both.select("node", F.col("degree").cast("double").alias("degree"), "to_centroid"), "degree", "to_centroid"))
 
 
@@ -299,7 +300,7 @@ def hub_membership(spark, folder):
 def _hubs(spark, folder):
     n = V.fine_nodes(spark, folder)
     d = E.degrees(V.fine_edges(spark, folder), n).join(n.select("node", "role"), "node")
-    cut = d.agg(F.percentile("degree", 0.9).alias("cut"))
+    cut = A.quantiles(d, "degree", {"cut": 0.9})  # one row
     return d.join(F.broadcast(cut)).select((F.col("degree") >= F.col("cut")).alias("hub"), (F.col("role") != "none").alias("connective"), "degree", "role")
 
 
@@ -328,6 +329,26 @@ def power_law_cutoff(spark, folder):
     return T.power_law_scan(V.measured_edges(spark, folder), "length")
 
 
+@query()
+def tail_comparison(spark, folder):
+    """The power-law tail of the rounded lengths against lognormal, exponential and truncated power-law tails, by the
+    normalised ratio of their likelihoods."""
+    return rounded(T.tail_comparison(V.measured_edges(spark, folder), "length"), 5)
+
+
+@query()
+def correlation_tests(spark, folder):
+    """P-values of the rank correlations and of the rank-sum test of crossing edges, longer than others."""
+    e = checkpointed(A.with_micro(V.measured_edges(spark, folder)).select("micro", "weight", "n_connections", E.crossing().alias("crossing")), "tests")
+    plain, partial, ranks = T.spearman(e, "micro", "weight"), T.partial_spearman(e, "micro", "weight", "n_connections"), T.mann_whitney(e, "micro", "crossing")
+    p = T.t_p_value("rho", "n")
+    one = lambda p: F.when(F.col("rho") > 0, p / 2).otherwise(1 - p / 2)
+    rows = plain.select(F.lit("spearman two-sided").alias("test"), "n", F.col("rho").alias("statistic"), p.alias("p"))
+    rows = rows.unionByName(plain.select(F.lit("spearman above 0").alias("test"), "n", F.col("rho").alias("statistic"), one(p).alias("p")))
+    rows = rows.unionByName(partial.select(F.lit("partial spearman above 0").alias("test"), "n", F.col("rho").alias("statistic"), one(T.t_p_value("rho", F.col("n") - 1)).alias("p")))
+    return rows.unionByName(ranks.select(F.lit("crossing edges longer").alias("test"), (F.col("n1") + F.col("n2")).cast("long").alias("n"), F.col("z").alias("statistic"), T.normal_tail("z").alias("p")))
+
+
 @query()
 def exponential_decay(spark, folder):
     """N20."""
@@ -369,11 +390,11 @@ def reachable_pairs(spark, folder):
     return rounded(G.reachable_pairs(V.coarse_edges(spark, folder), _roots(spark, folder), targets))
 
 
-@query(f""", r as (select 'S1|' || 'R' node union select e.dst from r join cedges e on e.src = r.node) select node from (select distinct node from cb) where node not in (select node from r)""")
+@query(""", r as (select 'P11|L' node union select e.dst from r join cedges e on e.src = r.node where e.weight % 7 = 0) select node from (select distinct node from cb) where node not in (select node from r)""")
 def unreachable_nodes(spark, folder):
-    """G4."""
-    start = spark.createDataFrame([("S1|R",)], "node string")
-    return G.unreachable_from(V.coarse_edges(spark, folder), V.coarse_bodies(spark, folder).select("node").distinct(), start)
+    """G4, in the graph of edges whose weight is a multiple of seven."""
+    start = spark.createDataFrame([("P11|L",)], "node string")
+    return G.unreachable_from(V.coarse_edges(spark, folder).where("weight % 7 = 0"), V.coarse_bodies(spark, folder).select("node").distinct(), start)
 
 
 @query(f", {LEVELS} select (select count(distinct node) from cb where kind = 'S') roots, round(sum(case when level > 0 then 1.0 / level else 0 end) / ((select count(distinct node) from cb where kind = 'S') * ((select count(distinct node) from cb) - 1)), 6) efficiency from best")
@@ -412,35 +433,82 @@ def edge_betweenness(spark, folder):
 @query()
 def rewired_graph(spark, folder):
     """G15, G16."""
-    return G.rewired(V.coarse_edges(spark, folder).select("src", "dst", "weight"), 6, SEED)
+    return G.rewired(V.coarse_edges(spark, folder).select("src", "dst", "weight"), SEED)
+
+
+def _regions(spark, folder):
+    """Edges between areas, and the graph of the pairs of areas with more of them than by chance."""
+    edges = checkpointed(R.areas(V.measured_edges(spark, folder)).select("src_region", "dst_region", "length"), "areas")
+    return edges, checkpointed(R.region_graph(edges, dense=False), "area-graph")
+
+
+@query()
+def stable_communities(spark, folder):
+    """How many of a hundred seeds agree on the commonest partition of the area graph, and its modularity."""
+    return rounded(C.stable_partition(_regions(spark, folder)[1], 100, SEED)[1])
 
 
 @query()
 def region_communities(spark, folder):
-    """G11, G13, A45."""
-    graph = R.region_graph(V.measured_edges(spark, folder))
-    parts = G.communities(graph)
-    return parts.join(R.region_strength(V.measured_edges(spark, folder)).select(F.col("region").alias("node"), "strength"), "node").groupBy("community").agg(F.count("*").alias("regions"), F.sum("strength").alias("strength"), F.sort_array(F.collect_list("node")).alias("members"))
+    """The partition that most of a hundred seeds agree on."""
+    edges, graph = _regions(spark, folder)
+    parts, _ = C.stable_partition(graph, 100, SEED)
+    return parts.join(R.region_strength(edges).select(F.col("region").alias("node"), "strength"), "node").groupBy("community").agg(F.count("*").alias("regions"), F.sum("strength").alias("strength"), F.sort_array(F.collect_list("node")).alias("members"))
 
 
-SHARES = [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 0.95]
+#: Shares of the wire that schedules remove; the curves are compared at REFERENCE.
+SHARES, REFERENCE, REPEATS = [k / 40 for k in range(16)] + [0.5, 0.6], 0.25, 5
 
 
-@query()
-def removal_curve(spark, folder):
-    """Coarse edges removed longest first, shortest first and in random order, at eighteen shares of the wire."""
+def _removals(spark, folder):
+    """(curve points of the three schedules, edges with micro): longest and shortest first at SHARES of the wire; random orders
+    at the counts of edges that longest first removes, as means over REPEATS orders."""
     nodes = _coarse_nodes(spark, folder)
     e = V.with_ends(V.coarse_edges(spark, folder), nodes, ["x", "y", "z"]).withColumn("length", F.coalesce(X.distance("src_", "dst_"), F.lit(0.0)))
     e = checkpointed(A.with_micro(e).select("src", "dst", "micro"), "lengths")
     key = (F.col("src"), F.col("dst"))
-    orders = {"longest": (-F.col("micro"), *key), "shortest": (F.col("micro"), *key), **{f"random {i}": (X.draw(S.SEED, i, *key), *key) for i in range(5)}}
-    ran = cuts = None
-    for name, order in orders.items():
-        one = checkpointed(A.running(e, "micro", *order), "schedule")
-        c = A.cut_counts(one, SHARES).select(F.lit(name).alias("schedule"), "share", "cut")
-        one = one.select(F.lit(name).alias("schedule"), "nth", "src", "dst")
+    longest = checkpointed(A.running(e, "micro", -F.col("micro"), *key), "schedule")
+    shortest = longest.withColumns({"nth": F.col("rows") + 1 - F.col("nth"), "upto": F.col("total") - F.col("upto") + F.col("micro")})  # the same order backwards
+    orders = {"longest": longest, "shortest": shortest, **{f"random {i}": checkpointed(A.running(e, "micro", X.draw(S.SEED, i, *key), *key), "schedule") for i in range(REPEATS)}}
+    ran = cuts = counts = None
+    for name, one in orders.items():
+        if not name.startswith("random"):
+            c = checkpointed(A.cut_counts(one, SHARES), "cuts")
+            counts = c if name == "longest" else counts
+        c = (counts if name.startswith("random") else c).select(F.lit(name).alias("schedule"), "share", "cut")
+        one = one.select(F.lit(name).alias("schedule"), "nth", "src", "dst", "micro", "upto", "total", "rows")
         ran, cuts = (one, c) if ran is None else (ran.unionByName(one), cuts.unionByName(c))
-    return rounded(G.removal_curve(ran, nodes.select("node"), checkpointed(cuts, "cuts"), _roots(spark, folder)))
+    cuts = checkpointed(cuts, "cuts")
+    points = G.removal_curve(ran, nodes.select("node"), cuts, _roots(spark, folder))
+    gone = cuts.join(ran.select("schedule", "nth", "upto"), ["schedule"]).where("nth = cut").select("schedule", "share", F.col("upto").alias("gone"))
+    whole = e.agg(F.sum("micro").alias("wire"), F.count("*").alias("edges"))  # one row
+    points = points.join(gone, ["schedule", "share"], "left").join(F.broadcast(whole)).join(F.broadcast(nodes.agg(F.count("*").alias("nodes"))))
+    first = points.where("cut = 0").groupBy("schedule").agg(F.max("efficiency").alias("base"))
+    points = points.join(first, "schedule")
+    named = F.when(F.col("schedule").startswith("random"), "random").otherwise(F.col("schedule"))
+    wire = F.coalesce("gone", F.lit(0)) / 1_000_000
+    values = {"wire_removed": wire, "wire_share": F.coalesce("gone", F.lit(0)) / F.col("wire"), "largest": F.col("largest"), "largest_share": F.col("largest") / F.col("nodes"), "efficiency": F.col("efficiency"), "efficiency_share": F.col("efficiency") / F.nullif(F.col("base"), F.lit(0.0))}
+    pooled = points.select(named.alias("schedule"), "share", "cut", (F.col("cut") / F.col("edges")).alias("edge_share"), *[v.cast("double").alias(k) for k, v in values.items()])
+    return checkpointed(pooled.groupBy("schedule", "share", "cut", "edge_share").agg(F.count("*").alias("repeats"), *[f for k in values for f in (F.avg(k).alias(k), F.stddev_samp(k).alias(f"{k}_sd"))]), "points")
+
+
+@query()
+def removal_curve(spark, folder):
+    """What is left of the coarse graph when its edges go longest first, shortest first, and, as many of them,
+    in random order: largest component and efficiency, their shares of the whole and deviations over the random orders."""
+    return rounded(_removals(spark, folder))
+
+
+@query()
+def removal_comparison(spark, folder):
+    """Each schedule at the reference share, the share of the wire at which it has halved the efficiency, and the
+    efficiency that it loses for a million units of wire; the halving shares of longest and shortest first as a ratio."""
+    points = _removals(spark, folder)
+    half = A.level_crossing(points.select(F.col("schedule").alias("name"), F.col("wire_share").alias("wire_removed"), F.col("efficiency_share").alias("value")), 0.5).withColumnRenamed("name", "schedule")
+    at = points.where(F.abs(F.col("share") - REFERENCE) < 1e-9).select("schedule", "wire_removed", "largest_share", "efficiency_share")
+    found = at.join(half, "schedule", "left").withColumn("lost_per_million", (1 - F.col("efficiency_share")) / F.nullif(F.col("wire_removed") / 1e6, F.lit(0.0)))
+    pick = lambda s: F.max(F.when(F.col("schedule") == s, F.col("wire_at_level")))
+    return rounded(found.join(F.broadcast(half.agg((pick("longest") / pick("shortest")).alias("halving_ratio")))))
 
 
 FEATURES = f"""f as (select n.node, x, y, z, coalesce(compartment, 'none') c, superclass s, ln(1 + out_degree) lo, ln(1 + in_degree) li from nodes n join deg on deg.node = n.node),

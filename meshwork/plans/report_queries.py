@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.functions import expressions as X
 from meshwork.operators import analytic as A
 from meshwork.operators import build
+from meshwork.operators import communities as C
 from meshwork.operators import edges as E
 from meshwork.operators import flow
 from meshwork.operators import graph as G
@@ -17,7 +18,8 @@ from meshwork.operators import link_model as M
 from meshwork.operators import regions as R
 from meshwork.operators import sampling as S
 from meshwork.operators import stats as T
-from meshwork.plans.analysis_queries import _coarse_nodes
+from meshwork.operators import swaps as W
+from meshwork.plans.analysis_queries import _coarse_nodes, _regions
 from meshwork.plans.graph_queries import rounded
 from meshwork.plans.oracle_views import BASE
 from meshwork.sources import graph_views as V
@@ -150,9 +152,36 @@ def cable_by_class(spark, folder):
     from meshwork.plans.graph_queries import cable_length
 
     c = cable_length(spark, folder).withColumn("class", F.when(F.col("segments") > 3, "long").otherwise("short"))
-    return rounded(
-        c.groupBy("class").agg(F.count("*").alias("n"), F.median("cable").alias("median_cable"), F.median("segments").cast("double").alias("median_segments"), F.median(F.col("cable") / F.col("segments")).alias("median_ratio")), 5
-    )
+    c = sinks.checkpointed(c.select("class", "cable", "segments", (F.col("cable") / F.col("segments")).alias("ratio")), "cables")
+    found = c.groupBy("class").agg(F.count("*").alias("n"))
+    for value in ("cable", "segments", "ratio"):
+        found = A.with_quantiles(found, c, value, {f"median_{value}": 0.5}, "class")
+    return rounded(found, 5)
+
+
+@query()
+def partner_test(spark, folder):
+    """Distance of nodes to the mean of their partners against that to partners drawn anew, forty draws, in each scope."""
+    e, n = V.fine_edges(spark, folder), V.fine_nodes(spark, folder)
+    return rounded(S.partner_test(e, n, SCOPES, 40)[0])
+
+
+@query()
+def most_extreme_partners(spark, folder):
+    """The twelve nodes whose distance to their partners is furthest from their own draws, in deviations."""
+    e, n = V.fine_edges(spark, folder), V.fine_nodes(spark, folder)
+    return rounded(S.partner_test(e, n, SCOPES, 40)[1].where("z is not null").orderBy(F.abs("z").desc(), "node").limit(12).select("node", "partner_distance", "null_mean", "null_sd", "z"))
+
+
+@query()
+def greedy_swaps(spark, folder):
+    """The cost of the graph while nodes of a compartment exchange places wherever that shortens it, round by round."""
+    e, n = V.fine_edges(spark, folder), V.fine_nodes(spark, folder).withColumn("movable", F.col("kind") != "P")
+    return W.greedy_swaps(e, n.withColumn("group", F.coalesce("compartment", F.lit("unclassified"))), "group", 12, S.SEED)[1]
+
+
+#: Scopes of the partner test, as conditions on nodes.
+SCOPES = {"all": "true", "brain": "compartment = 'brain'", "vnc": "compartment = 'vnc'", "connective": "role != 'none'"}
 
 
 @query("select superclass, node, round((degree - mean) / sd, 6) z from (select n.superclass, n.node, degree, avg(degree) over (partition by n.superclass) mean, stddev_samp(degree) over (partition by n.superclass) sd from nodes n join deg on deg.node = n.node) where sd > 0 order by abs((degree - mean) / sd) desc, node limit 12")
@@ -176,7 +205,7 @@ def community_table(spark, folder):
     """Communities of the region graph with the mean and sum of strength, compartments and members."""
     e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
     atlas = R.atlas(e, n).select("region", "compartment").join(R.region_strength(e).select("region", "strength"), "region")
-    parts = G.communities(R.region_graph(e)).withColumnRenamed("node", "region")
+    parts = C.communities(R.region_graph(e)).withColumnRenamed("node", "region")
     return R.group_table(atlas.join(parts, "region"), "community", "strength", "region")
 
 
@@ -185,9 +214,8 @@ def betweenness_by_length(spark, folder):
     """Median betweenness of edges by quartile of length, on the coarse graph."""
     e = V.with_ends(V.coarse_edges(spark, folder), _coarse_nodes(spark, folder), ["x", "y", "z"]).withColumn("length", X.distance("src_", "dst_"))
     found = G.edge_betweenness(e, _coarse_nodes(spark, folder).select("node")).join(e.select("src", "dst", "length"), ["src", "dst"]).where("length is not null")
-    cuts = found.agg(F.percentile("length", [0.25, 0.5, 0.75]).alias("cuts"))
-    quartile = F.size(F.filter("cuts", lambda c: c <= F.col("length"))) + 1
-    return found.join(F.broadcast(cuts)).groupBy(quartile.alias("quartile")).agg(F.count("*").alias("edges"), F.median("betweenness").alias("median"))
+    binned = sinks.checkpointed(A.quantile_bins(sinks.checkpointed(found, "betweenness"), "length", 4).select((F.col("bin") + 1).alias("quartile"), "betweenness"), "quartiles")
+    return A.with_quantiles(binned.groupBy("quartile").agg(F.count("*").alias("edges")), binned, "betweenness", {"median": 0.5}, "quartile")
 
 
 # Flow
@@ -211,30 +239,30 @@ def _connective(spark, folder):
 def flow_values(spark, folder):
     """Maximum flow between sensory and motor sets, of the whole graph, without crossing and without incident edges."""
     e, ends = _connective(spark, folder)
-    cases = F.array(F.lit("intact"), F.when(~F.col("crossing"), F.lit("without crossing")), F.when(~F.col("incident"), F.lit("without incident")))
-    return flow.values(e.select("src", "dst", F.explode(F.array_compact(cases)).alias("scenario")), ends, ("scenario",))
+    gone = F.array(F.when(F.col("crossing"), F.lit("without crossing")), F.when(F.col("incident"), F.lit("without incident")))
+    return flow.values_after(e, ends, e.select("src", "dst", F.explode(F.array_compact(gone)).alias("scenario")))
 
 
 @query()
 def connective_value(spark, folder):
-    """Flow that is lost with the crossing edges against equally many, and equally long, random other edges."""
+    """Flow that is lost with the crossing edges against that with equally many, and equally long, random
+    other edges, fifty draws each, and with the longest other edges of the same length."""
     e, ends = _connective(spark, folder)
     real = e.where("crossing").agg(F.count("*").alias("n"), F.sum("micro").alias("micro")).first()
     others = e.where("not incident").select("src", "dst", "micro")
     removed = None
     for family, cut, value in (("count", real["n"], None), ("cost", real["micro"] or 0, "micro")):
-        one = S.removal_draws(others, 10, F.lit(cut), value, seed=S.SEED + len(family)).withColumn("scenario", F.concat(F.lit(family + "-"), "draw_id")).drop("draw_id")
+        one = S.removal_draws(others, 50, F.lit(cut), value, seed=S.SEED + len(family)).withColumn("scenario", F.concat(F.lit(family + "-"), "draw_id")).drop("draw_id")
         removed = one if removed is None else removed.unionByName(one)
-    removed = sinks.checkpointed(removed.unionByName(e.where("crossing").select("src", "dst", F.lit("real").alias("scenario"))), "removed")
-    scenarios = removed.select("scenario").distinct().unionByName(spark.createDataFrame([("intact",)], "scenario string"))
-    left = e.select("src", "dst").join(F.broadcast(scenarios)).join(removed, ["scenario", "src", "dst"], "left_anti")  # a row for each scenario and edge
-    flows = sinks.checkpointed(flow.values(left, ends, ("scenario",)), "flows")
+    longest = A.take_until(A.running(others, "micro", -F.col("micro"), F.col("src"), F.col("dst")), f"{real['micro'] or 0}L").select("src", "dst", F.lit("longest").alias("scenario"))
+    removed = removed.unionByName(e.where("crossing").select("src", "dst", F.lit("real").alias("scenario"))).unionByName(longest)
+    flows = sinks.checkpointed(flow.values_after(e, ends, sinks.checkpointed(removed, "removed")), "flows")
     intact = flows.where("scenario = 'intact'").select("metric", F.col("flow").alias("intact"))
     lost = flows.join(F.broadcast(intact), "metric").select("metric", "scenario", (F.col("intact") - F.col("flow")).alias("lost"))
     null = lost.where("scenario like '%-%'").withColumn("family", F.substring_index("scenario", "-", 1))
-    real = lost.where("scenario = 'real'").select("metric", F.col("lost").alias("real"))
-    found = null.join(real, "metric").groupBy("family", "metric", "real").agg(F.count("*").alias("draws"), F.avg("lost").alias("null_mean"), F.stddev_samp("lost").alias("null_sd"), F.count_if(F.col("lost") >= F.col("real")).alias("above"))
-    return rounded(found.select("family", "metric", "real", "draws", "null_mean", "null_sd", (F.col("real") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("ratio"), ((1 + F.col("above")) / (1 + F.col("draws"))).alias("p")))
+    real = lost.where("scenario in ('real', 'longest')").groupBy("metric").agg(F.max(F.when(F.col("scenario") == "real", F.col("lost"))).alias("real"), F.max(F.when(F.col("scenario") == "longest", F.col("lost"))).alias("lost_with_longest"))
+    found = null.join(real, "metric").groupBy("family", "metric", "real", "lost_with_longest").agg(F.count("*").alias("draws"), F.avg("lost").alias("null_mean"), F.stddev_samp("lost").alias("null_sd"), F.count_if(F.col("lost") >= F.col("real")).alias("above"))
+    return rounded(found.select("family", "metric", "real", "lost_with_longest", "draws", "null_mean", "null_sd", (F.col("real") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("ratio"), ((1 + F.col("above")) / (1 + F.col("draws"))).alias("p")))
 
 
 @query()
@@ -243,9 +271,7 @@ def connective_price(spark, folder):
     e, ends = _connective(spark, folder)
     own = e.where("crossing").withColumn("scenario", F.when(F.col("src_role") != "none", F.col("src")).otherwise(F.col("dst")))
     removed = sinks.checkpointed(own.select("scenario", "src", "dst"), "removed")
-    scenarios = removed.select("scenario").distinct().unionByName(spark.createDataFrame([("intact",)], "scenario string"))
-    left = e.select("src", "dst").join(F.broadcast(scenarios)).join(removed, ["scenario", "src", "dst"], "left_anti")
-    flows = sinks.checkpointed(flow.values(left, ends, ("scenario",)), "flows")
+    flows = sinks.checkpointed(flow.values_after(e, ends, removed), "flows")
     intact = flows.where("scenario = 'intact'").select("metric", F.col("flow").alias("intact"))
     lost = flows.where("scenario != 'intact'").join(F.broadcast(intact), "metric").groupBy("scenario").pivot("metric", ["flow", "flow_brain_to_vnc", "flow_vnc_to_brain"]).agg(F.first(F.col("intact") - F.col("flow")))
     names = {c: f"lost_{c}" for c in ("flow", "flow_brain_to_vnc", "flow_vnc_to_brain")}
@@ -280,47 +306,43 @@ def enrichment(spark, folder):
 
 @query()
 def rich_club_regime(spark, folder):
-    """Rich-club densities of the coarse graph over their means in rewired graphs, and whether they are above all of them."""
-    e, n = V.coarse_edges(spark, folder).select("src", "dst", "weight"), _coarse_nodes(spark, folder).select("node")
-    real = E.rich_club(e, n).select("k", F.col("phi").alias("real"))
-    null = None
-    for draw in range(3):
-        one = E.rich_club(G.rewired(e, 6, S.SEED + draw), n).select("k", "phi", F.lit(draw).alias("draw"))
-        null = one if null is None else null.unionByName(one)
-    per = null.groupBy("k").agg(F.avg("phi").alias("null_mean"), F.max("phi").alias("null_max"), F.count("phi").alias("draws"))
-    found = real.join(per, "k").where("real is not null and draws = 3")
-    return rounded(found.select("k", "real", "null_mean", (F.col("real") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("normalised"), (F.col("real") > F.col("null_max")).alias("regime")))
+    """Rich-club densities of the coarse graph over their means in a hundred rewired graphs, whether they are
+    above all of them (the regime), and the least degree k* from which one is."""
+    e = V.coarse_edges(spark, folder).select("src", "dst", "weight")
+    many = sinks.checkpointed(e.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(100)))), "many")
+    real = E.rich_club_curves(e.withColumn("draw", F.lit(0)), "draw").select("k", "nodes_above", F.col("phi").alias("real"))
+    null = E.rich_club_curves(G.rewired(many, S.SEED, ("draw",)), "draw")  # rewiring keeps degrees, so the same ones occur
+    per = null.groupBy("k").agg(F.avg("phi").alias("null_mean"), F.min("phi").alias("null_min"), F.max("phi").alias("null_max"), F.count("phi").alias("draws"))
+    found = sinks.checkpointed(real.join(per, "k").where("real is not null").withColumn("regime", F.col("real") > F.col("null_max")), "regime")
+    star = found.agg(F.min(F.when(F.col("regime"), F.col("k"))).alias("k_star"))  # one row
+    over = lambda c: F.col(c) / F.nullif(F.col("null_mean"), F.lit(0.0))
+    return rounded(found.join(F.broadcast(star)).select("k", "nodes_above", "real", "null_mean", "draws", over("real").alias("normalised"), over("null_min").alias("null_low"), over("null_max").alias("null_high"), "regime", "k_star"))
 
 
 @query()
 def layer_route_null(spark, folder):
-    """Routes through connective nodes against graphs whose four layers are rewired one by one."""
+    """Routes through connective nodes by role and rich fraction against those in fifty graphs whose four
+    layers are rewired one by one; seven fractions, all draws in one set of rounds."""
     e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
-    layers = sinks.checkpointed(e.withColumn("layer", E.layer()).where("layer is not null").select("src", "dst", "weight", "layer", "src_role", "src_compartment", "dst_role", "dst_compartment"), "layers")
-    rich = sinks.checkpointed(E.rich_mask(e, n, 0.1), "rich")
-    attributes = [(c, n.select(F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("role", "compartment")])) for c in ("src", "dst")]
-    total = lambda frame: E.route_counts(frame, rich).agg(F.coalesce(F.sum("routes"), F.lit(0)).alias("routes"))
-    out = total(layers).select(F.lit("real").alias("graph"), "routes")
-    for draw in range(2):
-        made = G.rewired(layers.select("src", "dst", "weight", "layer"), 4, S.SEED + draw, ("layer",))
-        for c, frame in attributes:
-            made = made.join(frame, c)
-        out = out.unionByName(total(made).select(F.lit(f"rewired {draw}").alias("graph"), "routes"))
-    return out
+    tops = [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.5]
+    layers = sinks.checkpointed(e.withColumn("layer", E.layer()).where("layer is not null").select("src", "dst", F.lit(1).alias("weight"), "layer"), "layers")
+    rich = sinks.checkpointed(E.rich_at(e, n, tops), "rich")
+    many = sinks.checkpointed(layers.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(50)))), "many")
+    made = G.rewired(many, S.SEED, ("draw", "layer")).select("draw", "layer", "src", "dst").unionByName(layers.select(F.lit(0).alias("draw"), "layer", "src", "dst"))
+    routes = sinks.checkpointed(E.routes_by(made, rich, "draw"), "routes")
+    real = routes.where("draw = 0").select("i", "role", F.col("routes").alias("real"))
+    null = real.join(spark.range(1, 51).select(F.col("id").cast("int").alias("draw"))).join(routes, ["draw", "i", "role"], "left").withColumn("routes", F.coalesce("routes", F.lit(0)))  # a row a draw, fraction and role
+    sums = null.groupBy("i", "role", "real").agg(F.count("*").alias("draws"), F.avg("routes").alias("null_mean"), F.stddev_samp("routes").alias("null_sd"), F.count_if(F.col("routes") >= F.col("real")).alias("above"))
+    at = F.array(*[F.lit(t) for t in tops])
+    z = F.when(F.col("null_sd") > 0, (F.col("real") - F.col("null_mean")) / F.col("null_sd"))
+    return rounded(sums.select(at[F.col("i")].alias("top_fraction"), "role", "real", "draws", "null_mean", "null_sd", (F.col("real") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("ratio"), z.alias("z"), ((1 + F.col("above")) / (1 + F.col("draws"))).alias("p")))
 
 
 @query()
 def small_world(spark, folder):
-    """Clustering and mean path length, plain and by wire, of the region graph and of rewired and reweighted ones."""
-    graph = sinks.checkpointed(R.region_graph(V.measured_edges(spark, folder)), "regions")
-    out = G.network_metrics(graph).withColumn("graph", F.lit("real"))
-    for draw in range(2):
-        directed = graph.select(F.col("one").alias("src"), F.col("two").alias("dst"), F.col("wire").alias("weight"))
-        made = G.rewired(directed, 4, S.SEED + draw).select(F.least("src", "dst").alias("one"), F.greatest("src", "dst").alias("two"), F.col("weight").alias("wire"))
-        made = made.groupBy("one", "two").agg(F.max("wire").alias("wire"))
-        out = out.unionByName(G.network_metrics(made).withColumn("graph", F.lit(f"rewired {draw}")))
-        out = out.unionByName(G.network_metrics(G.redealt(graph, S.SEED + draw)).withColumn("graph", F.lit(f"reweighted {draw}")))
-    return rounded(out)
+    """Clustering and mean path length, plain and by wire, of the area graph against forty rewired and forty
+    reweighted ones, with the ratios of ratios."""
+    return rounded(G.small_world(_regions(spark, folder)[1], 40, S.SEED))
 
 
 @query()

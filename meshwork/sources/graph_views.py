@@ -17,17 +17,17 @@ from meshwork.operators.build import aggregate_edges, build_graph
 from meshwork.sources.sinks import checkpointed
 
 _built: dict[tuple, DataFrame] = {}
+#: Tables that the views read.
+TABLES = ("nation", "supplier", "customer", "part", "orders", "lineitem", "embeddings")
 
 
 def built_once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A view that is written as a table at its first use in an application and read from then on.
-
-    The graph of a folder of tables is built once and analysed many times; ``forget`` after the tables change.
-    """
+    """A view that is written as a table at its first use in an application and read from then on, as long as the files of
+    the tables are the same by name, time and size."""
 
     @wraps(view)
     def found(spark: SparkSession, folder: str, *args, **options) -> DataFrame:
-        key = (spark.sparkContext.applicationId, view.__name__, folder, *args, *sorted(options.items()))
+        key = (spark.sparkContext.applicationId, view.__name__, _state(spark, folder), *args, *sorted(options.items()))
         if key not in _built:
             _built[key] = checkpointed(view(spark, folder, *args, **options), view.__name__)
         return spark.read.schema(_built[key].schema).parquet(*_paths(_built[key]))
@@ -35,6 +35,15 @@ def built_once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return found
 
 
+def _state(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """The folder, and a hash of the names, times and sizes of the files of its tables."""
+    files = None
+    for name in TABLES:
+        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{name}.parquet").select("path", "modificationTime", "length")
+        files = one if files is None else files.unionByName(one)
+    return folder, files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0]
+
+
 def _paths(frame: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in frame.inputFiles()})
 
@@ -54,11 +63,12 @@ def bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("S").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nk"), F.concat(F.lit("S"), "s_nationkey").alias("cell_type"), F.lit("sensory").alias("superclass"), F.lit("none").alias("role")
     )
     c = read(spark, folder, "customer").select(
-        F.lit("C").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nk"), F.concat(F.lit("C"), "c_nationkey").alias("cell_type"), F.lit("motor").alias("superclass"), F.lit("none").alias("role")
+        F.lit("C").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nk"), F.concat(F.lit("C"), "c_nationkey").alias("cell_type"), F.lit("motor").alias("superclass"), F.when(F.col("c_nationkey") % 5 == 1, "descending").when(F.col("c_nationkey") % 5 == 3, "ascending").otherwise("none").alias("role")
     )
-    role = F.when(F.col("p_type") == "PROMO", "descending").when(F.col("p_type") == "ECONOMY", "ascending").otherwise("none")
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1)
+    role = F.when(brand.cast("int") % 10 == 1, "descending").when(brand.cast("int") % 10 == 3, "ascending").otherwise("none")
     p = read(spark, folder, "part").select(
-        F.lit("P").alias("kind"), F.col("p_partkey").alias("key"), F.lit(None).cast("int").alias("nk"), F.concat(F.lit("P"), F.regexp_extract("p_brand", r"(\d+)", 1)).alias("cell_type"), F.col("p_type").alias("superclass"), role.alias("role")
+        F.lit("P").alias("kind"), F.col("p_partkey").alias("key"), F.lit(None).cast("int").alias("nk"), F.concat(F.lit("P"), brand).alias("cell_type"), F.col("p_type").alias("superclass"), role.alias("role")
     )
     side = F.when(F.col("key") % 2 == 0, "L").otherwise("R")
     every = s.unionByName(p).unionByName(c).join(F.broadcast(nation), "nk", "left").drop("nk")
@@ -74,12 +84,13 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def connections(spark: SparkSession, folder: str) -> DataFrame:
-    """pre, post, weight: supplier to part and part to customer for each line; customer and part to supplier for returns."""
+    """pre, post, weight: supplier to part and part to customer for each line; customer to supplier and part, and part to
+    supplier, for returns. Parts and customers have roles, so partners on both sides of a role are of every kind."""
     lines = read(spark, folder, "lineitem").join(read(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     s, p, c = (F.concat(F.lit(k), F.col(v).cast("string")) for k, v in (("S", "l_suppkey"), ("P", "l_partkey"), ("C", "o_custkey")))
     back = F.col("l_returnflag") == "R"
     pair = lambda a, b: F.struct(a.alias("pre"), b.alias("post"))
-    ends = F.array_compact(F.array(pair(s, p), pair(p, c), F.when(back, pair(c, s)), F.when(back, pair(p, s)), F.when(F.col("l_returnflag") == "N", pair(s, s))))
+    ends = F.array_compact(F.array(pair(s, p), pair(p, c), F.when(back, pair(c, s)), F.when(back, pair(c, p)), F.when(back, pair(p, s)), F.when(F.col("l_returnflag") == "N", pair(s, s))))
     return lines.select(F.col("l_quantity").cast("long").alias("weight"), F.explode(ends).alias("e")).select("e.pre", "e.post", "weight")
 
 

@@ -10,10 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import build, flow
+from meshwork.operators import communities as C
+from meshwork.operators import edges as E
 from meshwork.operators import graph as G
 from meshwork.operators import link_model as M
 from meshwork.operators import regions as R
 from meshwork.operators import sampling as S
+from meshwork.operators import swaps as W
 from meshwork.sources import sinks
 
 
@@ -43,21 +46,161 @@ def brute_flow(edges, sources, targets):
 
 
 def test_max_flow(spark):
-    toy = [("s1", "a"), ("s2", "a"), ("a", "m1"), ("a", "b"), ("b", "m2"), ("s2", "b"), ("c", "m1"), ("m1", "s1")]
     r = random.Random(3)
-    cases = {"toy": (toy, ["s1", "s2"], ["m1", "m2"]), "no hub": ([e for e in toy if "a" not in e], ["s1", "s2"], ["m1", "m2"]), "routes": ([("s", k) for k in "xyz"] + [(k, "t") for k in "xyz"], ["s"], ["t"]), "none": ([("a", "b")], ["s"], ["t"])}
-    for i in range(4):
-        edges = [(f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(26)]
-        cases[f"random {i}"] = (edges, ["n0", "n1"], ["n7", "n8"])
+    cases = {"none": ([("p", "q"), ("q", "p")], ["u"], ["v"]), "straight": ([("u", "v")] * 4 + [("u", "u")], ["u"], ["v"])}
+    for i in range(6):
+        edges = [(f"n{r.randrange(8 + i)}", f"n{r.randrange(8 + i)}") for _ in range(20 + 4 * i)]
+        cases[f"random {i}"] = (edges, ["n0", "n1"][: 1 + i % 2], ["n6", "n7"])
     table = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     e = table([(k, a, b) for k, (edges, *_) in cases.items() for a, b in edges], ("case", "src", "dst"))
     s, t = (table([(k, n) for k, c in cases.items() for n in c[i]], ("case", "node")) for i in (1, 2))
     got = {r["case"]: r["flow"] for r in flow.max_flow(e, s, t, ("case",)).collect()}
-    assert got == {k: brute_flow(*c) for k, c in cases.items()} and (got["toy"], got["no hub"], got["routes"]) == (2, 1, 3)
+    assert got == {k: brute_flow(*c) for k, c in cases.items()} and max(got.values()) > 3
     with pytest.raises(ValueError, match="share a node"):
         flow.max_flow(e, s, s, ("case",))
 
 
+def test_flow_after_removals(spark):
+    """Each scenario against augmenting paths on its own graph; two pairs of sets, arcs removed once and more than once."""
+    r = random.Random(8)
+    edges = [(f"n{a}", f"n{b}") for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(70))]
+    edges += [("n0", "n12")] * 2 + [("n3", "n4"), ("n4", "n3"), ("n3", "n4")]
+    sets = {"one": (["n0", "n1"], ["n12", "n13"]), "two": (["n5"], ["n0", "n9"])}
+    removed = {"nothing there": [("n0", "zz")], "loop": [("n2", "n2")], "all": edges, "twice": [("n0", "n12")] * 2, "thrice": [("n0", "n12")] * 3}
+    for i in range(14):
+        removed[f"draw {i}"] = r.sample(edges, 2 + 3 * i)
+    removed["a target's"] = [e for e in edges if e[1] == "n13"]
+    removed["a source's"] = [e for e in edges if e[0] == "n1"]
+    table = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    e = table([(k, *x) for k in sets for x in edges], ("metric", "src", "dst"))
+    s, t = (table([(k, n) for k, c in sets.items() for n in c[i]], ("metric", "node")) for i in (0, 1))
+    gone = table([(k, *x) for k, xs in removed.items() for x in xs], ("scenario", "src", "dst"))
+    got = {(x["scenario"], x["metric"]): x["flow"] for x in flow.after_removals(flow.preflow(e, s, t, ("metric",)), gone).collect()}
+    want = {}
+    for name, xs in removed.items():
+        left = list(edges)
+        for x in xs:
+            if x in left:
+                left.remove(x)
+        want |= {(name, k): brute_flow(left, *c) for k, c in sets.items()}
+    assert got == want and len(set(want.values())) > 3
+    alone = flow.after_removals(flow.preflow(e.where("metric = 'one'").drop("metric"), s.where("metric = 'one'"), t.where("metric = 'one'")), gone)
+    assert {x["scenario"]: x["flow"] for x in alone.collect()} == {k: v for (k, m), v in want.items() if m == "one"}
+
+
+def test_greedy_swaps(spark):
+    r = random.Random(12)
+    nodes = [(f"n{i:02}", *(r.uniform(0, 100) for _ in range(3)), "abc"[i % 3] if i else None, i % 5 != 4) for i in range(60)] + [("lost", None, 1.0, 1.0, "a", True)]
+    edges = [(f"n{r.randrange(60):02}", f"n{r.randrange(60):02}") for _ in range(180)] + [("n01", "lost"), ("n01", "n04"), ("n04", "n01")]
+    cost = lambda at: sum(round(math.dist(at[a], at[b]) * 1e6) for a, b in edges if a != b and "lost" not in (a, b)) / 1e6
+    frame = spark.createDataFrame(nodes, "node string, x double, y double, z double, side string, movable boolean").repartition(3)
+    places, steps = W.greedy_swaps(spark.createDataFrame(edges, "src string, dst string"), frame, "side", 6, 3)
+    steps = steps.orderBy("round").collect()
+    after = {p["node"]: (p["x"], p["y"], p["z"]) for p in places.collect()}
+    before = {n[0]: n[1:4] for n in nodes}
+    assert steps[0]["cost"] == pytest.approx(cost(before), abs=1e-3) and steps[-1]["cost"] == pytest.approx(cost(after), abs=1e-3)  # changes add up exactly
+    assert all(b["cost"] < a["cost"] or b["accepted"] == 0 for a, b in zip(steps, steps[1:])) and steps[-1]["reduction"] > 0.05
+    assert all(x["accepted"] <= x["improving"] <= x["proposed"] for x in steps)
+    for g in ("a", "b", "c"):
+        of = [n[0] for n in nodes if n[4] == g and n[5] and n[0] != "lost"]
+        assert sorted(after[n] for n in of) == sorted(before[n] for n in of)
+    assert all(after[n[0]] == n[1:4] for n in nodes if not n[5] or n[4] is None or n[0] == "lost")
+    assert W.greedy_swaps(spark.createDataFrame([], "src string, dst string"), frame, "side", 1, 3)[1].count() == 2
+
+
+def test_stable_partition(spark):
+    """Planted blocks are found by most seeds; modularity is that of plain sums and no node's own move raises it."""
+    r = random.Random(7)
+    blocks = {f"v{i:02}": i % 4 for i in range(32)}
+    pairs = [(a, b, 5.0 if blocks[a] == blocks[b] else 0.4) for a, b in itertools.combinations(blocks, 2) if r.random() < (0.8 if blocks[a] == blocks[b] else 0.3)]
+    graph = spark.createDataFrame(pairs, "one string, two string, wire double")
+    parts, tally = C.stable_partition(graph, 12, 1)
+    found = {x["node"]: x["community"] for x in parts.collect()}
+    assert all((found[a] == found[b]) == (blocks[a] == blocks[b]) for a, b in itertools.combinations(blocks, 2)) and all(found[v] == f"v{k:02}" for v, k in blocks.items())
+    t = tally.first()
+    assert t["seeds"] == 12 and t["seeds_agreeing"] >= 6 and t["distinct_partitions"] <= 7 and t["communities"] == 4
+    m2 = 2 * sum(w for *_, w in pairs)
+
+    def q(of):
+        all_, inside = {}, 0
+        for a, b, w in pairs:
+            all_[of[a]] = all_.get(of[a], 0) + w
+            all_[of[b]] = all_.get(of[b], 0) + w
+            inside += 2 * w * (of[a] == of[b])
+        return inside / m2 - sum((x / m2) ** 2 for x in all_.values())
+
+    assert t["modularity"] == pytest.approx(q(found)) and tuple(C.modularity(graph, parts).first()) == (4, pytest.approx(q(found)))
+    ring = [(f"r{i:02}", f"r{(i + 1) % 24:02}", 1.0) for i in range(24)]  # many levels, several best partitions
+    each, score = C.partitions_by_seed(spark.createDataFrame(ring, "one string, two string, wire double"), 5, 2)
+    assert each.count() == 5 * 24 and all(x["modularity"] > 0.55 for x in score.collect())
+    assert C.stable_partition(graph.limit(0), 3, 1)[0].count() == 0 and C.stable_partition(graph.limit(0), 3, 1)[1].count() == 0
+
+
+def test_partner_test(spark):
+    r = random.Random(2)
+    at = {f"n{i}": tuple(r.uniform(0, 10) + 100 * (i % 2) for _ in range(3)) for i in range(24)}
+    nodes = spark.createDataFrame([(k, *v, "even" if int(k[1:]) % 2 == 0 else "odd") for k, v in at.items()] + [("lone", 0.0, 0.0, 0.0, "odd"), ("nowhere", None, None, None, "odd")], "node string, x double, y double, z double, kind string")
+    edges = [(a, b) for a in at for b in at if a != b and (int(a[1:]) - int(b[1:])) % 2 == 0 and r.random() < 0.3] + [("n0", "nowhere")]
+    scopes, per = S.partner_test(spark.createDataFrame(edges, "src string, dst string"), nodes, {"all": "true", "odd": "kind = 'odd'"}, 60, batch=25)
+    got = {x["node"]: x for x in per.collect()}
+    near = {k: [b for a, b in edges if a == k and b in at] + [a for a, b in edges if b == k] for k in at}
+    for k, others in near.items():
+        if others:
+            mean = [sum(at[o][d] for o in others) / len(others) for d in range(3)]
+            assert got[k]["partner_distance"] == pytest.approx(math.dist(at[k], mean))
+    assert "lone" not in got and "nowhere" not in got
+    close = [x["z"] for x in got.values() if x["z"] is not None]
+    assert sum(z < 0 for z in close) > 0.9 * len(close)  # partners are on the own side, drawn ones on both
+    rows = {x["scope"]: x for x in scopes.collect()}
+    assert set(rows) == {"all", "odd"} and all(x["draws"] == 60 and x["ratio"] < 0.5 and x["p_lower"] == pytest.approx(1 / 61) for x in rows.values())
+    assert rows["all"]["real"] == pytest.approx(sum(x["partner_distance"] for x in got.values()) / len(got))
+    assert rows["all"]["null_mean"] == pytest.approx(sum(x["null_mean"] for x in got.values()) / len(got))
+
+
+def test_small_world(spark):
+    r = random.Random(4)
+    pairs = {(min(i, j), max(i, j)) for i in range(20) for j in ((i + 1) % 20, (i + 2) % 20)} | {(1, 11), (4, 15)}
+    graph = spark.createDataFrame([(f"a{a:02}", f"a{b:02}", float(r.randint(1, 9))) for a, b in pairs], "one string, two string, wire double")
+    rows = {(x["null"], x["metric"]): x for x in G.small_world(graph, 8, 3).collect()}
+    assert len(rows) == 12
+    assert rows["rewired", "clustering"]["ratio"] > 1.5 and rows["rewired", "sigma"]["ratio"] == pytest.approx(rows["rewired", "clustering"]["ratio"] / rows["rewired", "path"]["ratio"])
+    same = rows["weights shuffled", "clustering"]
+    assert same["null_sd"] == pytest.approx(0, abs=1e-12) and same["ratio"] == pytest.approx(1) and same["p"] == 1.0
+    assert rows["weights shuffled", "weighted_path"]["null_sd"] > 0 and rows["rewired", "path"]["low"] <= rows["rewired", "path"]["null_mean"] <= rows["rewired", "path"]["high"]
+    real = G.network_metrics(graph).first()
+    assert real["path"] == pytest.approx(rows["rewired", "path"]["real"])
+    turned = G.rewired(graph.select("one", "two", F.lit(1).alias("k")).withColumnsRenamed({"one": "src", "two": "dst"}), 5, ("k",), undirected=True).collect()
+    count = lambda es: sorted((sum(n in e for e in es)) for n in {x for e in es for x in e})
+    new = [(x["src"], x["dst"]) for x in turned]
+    assert all(a < b for a, b in new) and len(set(new)) == len(pairs) and count(new) == count([(f"a{a:02}", f"a{b:02}") for a, b in pairs])
+
+
+def test_routes_of_several_graphs(spark):
+    """Rich nodes by compartment, of different richness, and routes of each graph, by counting."""
+    r = random.Random(6)
+    rank = {f"b{i}": ("none", "brain") for i in range(12)} | {f"v{i}": ("none", "vnc") for i in range(12)} | {f"d{i}": ("descending", None) for i in range(4)} | {f"a{i}": ("ascending", "brain") for i in range(4)}
+    names = list(rank)
+    edges = {(a, b) for a in names for b in names if a != b and r.random() < (0.5 if a[0] == b[0] == "b" else 0.25)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in rank.items()], "node string, role string, compartment string")
+    from meshwork.sources.graph_views import with_ends
+
+    measured = with_ends(spark.createDataFrame(sorted(edges), "src string, dst string"), nodes, ["role", "compartment"])
+    richness = {k: sum(k in e and all(rank[x][0] == "none" for x in e) for e in edges) for k in names}
+    import numpy as np
+
+    for top in (0.1, 0.3):
+        cut = {s: np.quantile([richness[k] for k in names if rank[k] == ("none", s)], 1 - top) for s in ("brain", "vnc")}
+        assert cut["brain"] != cut["vnc"]
+        rich = {k for k in names if rank[k][0] == "none" and richness[k] >= cut[rank[k][1]]}
+        assert {x["node"] for x in E.rich_mask(measured, nodes, top).where("rich").collect()} == rich
+        want = {}
+        for role, (one, two) in {"descending": ("brain", "vnc"), "ascending": ("vnc", "brain")}.items():
+            hubs = [k for k in names if rank[k][0] == role]
+            want[role] = sum(sum((p, h) in edges for p in rich if rank[p][1] == one) * sum((h, p) in edges for p in rich if rank[p][1] == two) for h in hubs)
+        got = {x["role"]: x["routes"] for x in E.routes_by(measured.withColumn("layer", E.layer()).where("layer is not null").select(F.lit(0).alias("graph"), "layer", "src", "dst"), E.rich_at(measured, nodes, [top]), "graph").collect()}
+        assert {k: got.get(k, 0) for k in want} == want and got["total"] == sum(want.values()) > 0
+
+
 def test_paths_and_metrics(spark):
     r = random.Random(5)
     pairs = [(a, b, float(r.randint(1, 9))) for a, b in itertools.combinations("abcdef", 2) if r.random() < 0.6]
@@ -92,7 +235,7 @@ def test_rewiring_inside_layers(spark):
     r = random.Random(2)
     rows = sorted({(f"{k}{r.randrange(12)}", f"{k}t{r.randrange(12)}", k) for k in "pq" for _ in range(60)})
     e = spark.createDataFrame([(*x, 1) for x in rows], "src string, dst string, layer string, weight long")
-    new = [tuple(x) for x in G.rewired(e, 3, 1, ("layer",)).select("src", "dst", "layer").collect()]
+    new = [tuple(x) for x in G.rewired(e, 1, ("layer",), rounds=3).select("src", "dst", "layer").collect()]
     assert all(a[0] == b[0] == k for a, b, k in new) and len(set(new)) == len(rows) and set(new) != set(rows)
     for i in (0, 1):
         assert sorted(x[i] for x in new) == sorted(x[i] for x in rows)

@@ -12,6 +12,7 @@ from meshwork.functions import expressions as X
 from meshwork.functions import tails
 from meshwork.operators import analytic as A
 from meshwork.operators import build
+from meshwork.operators import communities as C
 from meshwork.operators import edges as E
 from meshwork.operators import graph as G
 from meshwork.operators import regions as R
@@ -30,9 +31,10 @@ def lengths(spark):
 
 
 def test_sides_and_labels(spark):
-    rows = [("L", None), ("R", None), ("M", None), (None, "R"), (None, "unknown"), ("L", "R")]
-    got = [r[0] for r in spark.createDataFrame(rows, "soma string, root string").select(X.side("soma", "root")).collect()]
-    assert got == ["L", "R", "M", "R", "unknown", "L"]
+    values = ["L", "R", "M", "left", "", None]
+    rows = [(s, r) for s in values for r in values]
+    got = [r[0] for r in spark.createDataFrame(rows, "soma string, root string").coalesce(1).select(X.side("soma", "root")).collect()]
+    assert got == [s if s in ("L", "R", "M") else r if r in ("L", "R") else "unknown" for s, r in rows]
     p = spark.createDataFrame([([1000.0, 2000.0, 125000.0],), (None,)], "loc array<double>").select(*X.point("loc")).collect()
     assert [round(v, 9) for v in p[0]] == [8, 16, 1000] and tuple(p[1]) == (None, None, None)
     names = spark.createDataFrame([("LP(L)",), ("CB",), ("T2(R)",)], "name string").select(*X.split_side(F.col("name")), X.segment(F.col("name"))).collect()
@@ -73,14 +75,16 @@ def test_positions_and_compartments(spark):
 
 
 def test_lengths_and_summary(spark, lengths):
-    points = {"a": (0, 0, 0), "b": (3, 4, 0), "c": (3, 4, 12)}
-    rows = [("a", "b", 2), ("b", "c", 1), ("c", "a", 10)]
+    r = random.Random(21)
+    points = {k: tuple(r.randint(-50, 50) for _ in range(3)) for k in "abcde"}
+    rows = [(a, b, r.randint(1, 9)) for a in points for b in points if a < b]
     n = spark.createDataFrame([(k, *map(float, v)) for k, v in points.items()], "node string, x double, y double, z double")
     from meshwork.sources.graph_views import with_ends
 
     e = with_ends(spark.createDataFrame(rows, "src string, dst string, weight long"), n, ["x", "y", "z"]).withColumn("length", X.distance("src_", "dst_"))
-    assert sorted(r["length"] for r in e.collect()) == [5, 12, 13]
-    assert tuple(E.cost(e).first()) == (30, 152)
+    lengths_of = [math.dist(points[a], points[b]) for a, b, _ in rows]
+    assert sorted(x["length"] for x in e.collect()) == pytest.approx(sorted(lengths_of))
+    assert tuple(E.cost(e).first()) == pytest.approx((sum(lengths_of), sum(d * w for d, (*_, w) in zip(lengths_of, rows))), abs=1e-4)
     s = E.length_summary(lengths.withColumn("g", F.lit(1)), "g").first()
     assert (s["mean"], s["median"], s["p90"], s["p99"], s["longest"]) == (50.5, 50.5, pytest.approx(90.1), pytest.approx(99.01), 100)
 
@@ -114,19 +118,31 @@ def test_quantile_bins_and_deciles(spark, lengths):
     assert [r["density"] for r in table] == [5.0, 0.5]
 
 
-@pytest.mark.parametrize(("target", "edges"), [(10, 3), (8.4, 2), (100, 4), (1, 0)])
-def test_take_until(spark, target, edges):
-    ran = A.running(A.with_micro(edge_table(spark, [(str(i), "b", float(v), 1) for i, v in enumerate([4, 3, 5, 10])])), "micro", F.col("src").cast("long"), F.col("dst"))
-    assert A.take_until(ran, f"{int(target * 10**6)}L").count() == edges
+def test_take_until(spark):
+    r = random.Random(17)
+    values = [r.randint(1, 30) for _ in range(25)]
+    ran = checkpointed(A.running(A.with_micro(edge_table(spark, [(str(i), "b", float(v), 1) for i, v in enumerate(values)])), "micro", F.col("src").cast("long"), F.col("dst")))
+    sums = [sum(values[:k]) for k in range(26)]
+    for target in [0, sums[1] - 0.5, sums[7], sums[7] + 0.25, sums[12] + values[12] * 0.5, sums[12] + values[12] * 0.75, sums[25] + 4]:
+        within = max(k for k in range(26) if sums[k] <= target)
+        more = within < 25 and sums[within + 1] - target < target - sums[within]
+        assert A.take_until(ran, f"{round(target * 10**6)}L").count() == within + more
 
 
 def test_cuts_and_levels(spark):
-    ran = A.longest_first(edge_table(spark, [(str(i), "b", float(i), 1) for i in (1, 2, 3, 4)]))
-    assert {r["share"]: r["cut"] for r in A.cut_counts(ran, [0.0, 0.4, 0.41, 0.7, 0.9, 1.0]).collect()} == {0.0: 0, 0.4: 1, 0.41: 2, 0.7: 2, 0.9: 3, 1.0: 4}
-    curve = spark.createDataFrame([("c", 0.0, 1.0), ("c", 0.2, 0.8), ("c", 0.4, 0.4)], "name string, wire_removed double, value double")
-    assert A.level_crossing(curve, 0.5).first()["wire_at_level"] == pytest.approx(0.35)
-    assert A.level_crossing(curve, 0.3).count() == 0
-    assert [r["share"] for r in A.baseline_share(curve).orderBy("wire_removed").collect()] == [1.0, 0.8, 0.4]
+    r = random.Random(18)
+    values = sorted((r.randint(1, 40) for _ in range(23)), reverse=True)
+    ran = A.longest_first(edge_table(spark, [(str(i), "b", float(v), 1) for i, v in enumerate(values)]))
+    shares = [0.0, 0.013, 0.2, 0.55, 0.77, 0.999, 1.0]
+    want = {s: next(k for k in range(24) if sum(values[:k]) >= s * sum(values)) for s in shares}
+    assert {x["share"]: x["cut"] for x in A.cut_counts(ran, shares).collect()} == want
+    at, curve = [0.0, 0.11, 0.3, 0.62, 0.8], [2.5, 2.0, 2.0, 0.9, 0.1]
+    frame = spark.createDataFrame([("one", x, y) for x, y in zip(at, curve)], "name string, wire_removed double, value double")
+    for level in (2.2, 1.3, 0.4):
+        i = next(i for i in range(4) if curve[i] >= level >= curve[i + 1])
+        assert A.level_crossing(frame, level).first()["wire_at_level"] == pytest.approx(at[i] + (curve[i] - level) / (curve[i] - curve[i + 1]) * (at[i + 1] - at[i]))
+    assert A.level_crossing(frame, 0.05).count() == 0
+    assert [x["share"] for x in A.baseline_share(frame).orderBy("wire_removed").collect()] == pytest.approx([y / 2.5 for y in curve])
 
 
 def test_routes_and_rich_club(spark):
@@ -215,9 +231,9 @@ def test_clustering_and_communities(spark, ring):
     c = G.clustering(e).first()
     assert c["triangles"] == 2 and c["mean_clustering"] == pytest.approx((1 + 1 + 1 / 3 + 1 / 3 + 1 + 1) / 6) and c["transitivity"] == pytest.approx(6 / 10)
     graph = G.undirected(e).select(F.col("a").alias("one"), F.col("b").alias("two"), F.lit(1.0).alias("wire"))
-    parts = {r["node"]: r["community"] for r in G.communities(graph).collect()}
+    parts = {r["node"]: r["community"] for r in C.communities(graph).collect()}
     assert parts == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "d"}
-    m = G.modularity(graph, spark.createDataFrame(list(parts.items()), "node string, community string")).first()
+    m = C.modularity(graph, spark.createDataFrame(list(parts.items()), "node string, community string")).first()
     assert tuple(m) == (2, pytest.approx(2 * (6 / 14 - 0.25)))
 
 
@@ -251,7 +267,7 @@ def test_rewiring_keeps_degrees(spark):
     pairs = {(r.randrange(30), r.randrange(30)) for _ in range(200)}
     rows = [(str(a), str(b), a + b + 1) for a, b in pairs if a != b]
     e = spark.createDataFrame(rows, "src string, dst string, weight long")
-    new = [tuple(x) for x in G.rewired(e, 4, 7).collect()]
+    new = [tuple(x) for x in G.rewired(e, 7).collect()]
     assert len({x[:2] for x in new}) == len(new) == len(rows) and all(a != b for a, b, _ in new)
     for i in (0, 1):
         assert sorted(x[i] for x in new) == sorted(x[i] for x in rows)
