@@ -169,7 +169,9 @@ def certified(wrong: dict[int, int], n: int, strata: int, risk: float, error: fl
 
 def _cutoffs(features: DataFrame, good: DataFrame, risk: float, error: float) -> DataFrame:
     """(stratum, n_good, step, cut_<rule>): the certified step and the rung of each rule (0: none) of each stratum."""
+    # The test needs independent draws: a text counts once, however many copies of it there are.
     holdout = features.where(~F.col("base_failed")).join(good, features["id"] == good["good_id"], "left_semi")
+    holdout = holdout.select("stratum", "copy", *[f"rungs_{r}" for r in RULES]).dropDuplicates(["stratum", "copy"])
     # At most one row per stratum, rule and rung; their sums over strata are a few dozen rows.
     stack = f"stack({len(RULES)}, " + ", ".join(f"'{r}', rungs_{r}" for r in RULES) + ") as (rule, rungs)"
     by_rule = staged(holdout.select("stratum", F.expr(stack)).groupBy("stratum", "rule", "rungs").agg(F.count("*").alias("n")), "quality-holdout")
@@ -194,16 +196,16 @@ def _cutoffs(features: DataFrame, good: DataFrame, risk: float, error: float) ->
 
 
 def _features(docs: DataFrame, labels: DataFrame, stratum_col: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row, id, stratum, COUNTS, base_failed, rungs), and the ids of good documents."""
+    """(row, id, stratum, copy, COUNTS, base_failed, rungs), and the ids of good documents; ``copy`` is the text's digest."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000null")).alias("stratum"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000null")).alias("stratum"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     features = counted(rows, "text").withColumn("base_failed", base_failed()).withColumns({f"rungs_{r}": rungs_passed(r) for r in RULES})
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("good_id")).agg(F.min("quality").alias("good")).where("good = 1")
     return staged(features, "quality-counts"), good
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """What ``judged`` applies: stratum (null: \\0null), n_good (its holdout), step and, for each rule, the cutoff above
+    """What ``judged`` applies: stratum (null: \\0null), n_good (different texts in its holdout), step and, for each rule, the cutoff above
     which a ratio rejects (null: the rule rejects nothing). Strata without good documents have no row."""
     found = _cutoffs(*_features(docs, labels, stratum_col, id_col, text_col), risk, error)
     rungs = [F.get(F.array(*map(F.lit, ladder)), F.col(f"cut_{r}") - 1).alias(r) for r, (_, ladder) in RULES.items()]
@@ -217,7 +219,7 @@ def judged(
 
     ``labels`` has the id and ``quality`` (0/1): a document is good if all its labels that aren't null are 1; null
     ids and unlabelled documents aren't in the holdout. A null stratum is a stratum of its own. A text that is null,
-    empty or has no word fails the base. Repeated rows are judged alike, and count each in the holdout. Empty tables
+    empty or has no word fails the base. Repeated rows are judged alike; rows of a stratum with equal texts are one in the holdout. Whole texts count, of any length. Empty tables
     give no rows; without labels only the base rules reject. Columns of ``docs`` with the names of results (in any case)
     are replaced.
     """

@@ -174,6 +174,51 @@ def test_risk_control(spark):
     assert all(kept[d[0]] for d in few)  # a stratum without enough labels rejects nothing
 
 
+def test_verdicts_against_plain_counting(spark):
+    """The whole verdict again from ratios of whole texts: paths tuned on other strata, one test a step, copies counted once."""
+    from fractions import Fraction
+
+    r = random.Random(30)
+    plain = lambda: " ".join(f"w{r.randrange(4000)}" + r.choice(["", "", "", ".", "!", "#"][: r.choice([1, 4, 6])]) for _ in range(r.randint(20, 60)))
+    rows = [(i, plain(), r.choice(["en", "fr", None])) for i in range(1500)]
+    rows += [(2000 + i, rows[i % 7][1], rows[i % 7][2]) for i in range(400)]  # copies of a few good texts
+    rows += [(3000 + i, " ".join(f"#{r.randrange(99)}%" for _ in range(40)), r.choice(["en", "fr"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    quality = {i: 0 if i >= 3000 or i % 9 == 0 else 1 for i, *_ in rows if i % 8}
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality_rules.judged(docs, labels).collect()}
+    steps, rules = quality_rules.STEPS, quality_rules.RULES
+
+    def rungs(x, rule):
+        ratio, ladder = rules[rule]
+        above, below = (eval(side, {}, x.asDict()) for side in ratio.split(" / "))  # noqa: S307
+        return sum(above / below > c for c in ladder) if below else 0
+
+    good: dict = {}
+    for i, text, lang in rows:
+        if quality.get(i) == 1 and not got[i]["base_failed"]:
+            good.setdefault(lang, {})[text] = {rule: rungs(got[i], rule) for rule in rules}
+    assert sum(map(len, good.values())) < sum(quality.get(i) == 1 and not got[i]["base_failed"] for i, *_ in rows)
+    policy = {}
+    for lang, own in good.items():
+        others = [x for k, texts in good.items() if k != lang for x in texts.values()]
+        ends = {rule: sum(sum(x[rule] > steps - rung for x in others) <= Fraction("0.01") / len(rules) * len(others) for rung in range(1, steps + 1)) for rule in rules}
+        hit = lambda x, step, ends=ends: [rule for rule in rules if (cut := math.ceil(step * ends[rule] / steps)) and x[rule] > steps - cut]
+        step, n = 0, len(own)
+        while step < steps:
+            wrong = sum(bool(hit(x, step + 1)) for x in own.values())
+            chance = sum(Fraction(math.comb(n, k)) * Fraction(1, 50) ** k * Fraction(49, 50) ** (n - k) for k in range(wrong + 1))
+            if chance > Fraction(5, 100) / len(good):
+                break
+            step += 1
+        policy[lang] = hit, step
+    assert any(step for _, step in policy.values())
+    for i, _, lang in rows:
+        hit, step = policy.get(lang, (None, 0))
+        want = ["base"] if got[i]["base_failed"] else hit({rule: rungs(got[i], rule) for rule in rules}, step) if step else []
+        assert sorted(got[i]["rejected_by"]) == sorted(want) and got[i]["kept"] == (not want), (i, want)
+
+
 def test_certified_steps_against_exact_sums():
     """The last step whose chance of so few errors, were the risk exceeded, is small enough; in exact fractions."""
     from fractions import Fraction
@@ -197,9 +242,11 @@ def test_rules_decide_in_every_stratum(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     cuts = {r["stratum"]: r for r in quality_rules.cutoffs(docs, labels).collect()}
     found = quality_rules.judged(docs, labels).join(labels, "doc_id", "left")
+    texts = found.where("not base_failed and quality = 1").select("doc_id", "lang").join(docs.select("doc_id", "text"), "doc_id").groupBy("lang").agg(F.countDistinct("text").alias("n"))
+    texts = {r["lang"]: r["n"] for r in texts.collect()}
     by = found.where("not base_failed").groupBy("lang").agg(F.count_if(~F.col("kept")).alias("rejected"), F.count_if((F.col("quality") == 1) & ~F.col("kept")).alias("wrong"), F.count_if(F.col("quality") == 1).alias("good"))
     for r in by.collect():
-        assert cuts[r["lang"]]["step"] > 0 and cuts[r["lang"]]["n_good"] == r["good"] and r["rejected"] > 0 and r["wrong"] <= 0.02 * r["good"], r
+        assert cuts[r["lang"]]["step"] > 0 and cuts[r["lang"]]["n_good"] == texts[r["lang"]] <= r["good"] and r["rejected"] > 0 and r["wrong"] <= 0.02 * r["good"], r
 
 
 def test_sharding(docs, clashing):

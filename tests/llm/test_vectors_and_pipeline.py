@@ -66,12 +66,28 @@ def test_pivots_of_concentrated_tiny_and_mixed_tables(spark):
 
 
 def test_pivot_recall(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = np.array([r[0] for r in frame.orderBy("vec_id").select("embedding").collect()], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = (x @ x.T >= 0.9).sum(axis=1) - 1
-    got = np.array([r[0] for r in pivot_index.near_vectors(frame).orderBy("vec_id").select("n_links").collect()])
-    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+    """In the given vectors with planted ones, of cosine 0.9 to 0.95 to a given one: alone, in groups of 3 to 60, and a large one."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    x = np.array([r[0] for r in given], np.float64)
+    r = np.random.default_rng(5)
+    planted, group = [], []
+    for k, size in enumerate([1] * 60 + [3] * 30 + [12] * 10 + [60] * 3 + [400]):
+        centre = x[37 * k % len(x)] / np.linalg.norm(x[37 * k % len(x)])
+        for _ in range(size):
+            off = r.normal(size=len(centre))
+            off -= (off @ centre) * centre
+            c = r.uniform(0.9, 0.95)
+            planted.append(c * centre + math.sqrt(1 - c * c) * off / np.linalg.norm(off))
+            group.append(size)
+    every = np.concatenate([x, np.array(planted)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = np.array([row[0] for row in pivot_index.near_vectors(frame).orderBy("vec_id").select("n_links").collect()])
+    assert (got <= want).all() and want.sum() > 400
+    sizes = np.array([0] * len(x) + group)
+    for size in np.unique(group):
+        assert got[sizes == size].sum() >= 0.9 * want[sizes == size].sum() > 0, size
 
 
 def planted(spark):
