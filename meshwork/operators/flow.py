@@ -121,7 +121,7 @@ def values(edges: DataFrame, ends: DataFrame, by: tuple[str, ...] = ()) -> DataF
     metrics = [r["metric"] for r in ends.select("metric").distinct().orderBy("metric").collect()]  # a few pairs of sets
     many = edges.select(*by, "src", "dst", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
     scenarios = edges.select(*by).distinct() if by else None
-    of = lambda side: (ends.where(side).select("metric", "node") if scenarios is None else scenarios.join(F.broadcast(ends.where(side).select("metric", "node"))))
+    of = lambda side: (ends.where(side).select("metric", "node") if scenarios is None else scenarios.join(ends.where(side).select("metric", "node")))
     return max_flow(many, of("is_source"), of("not is_source"), (*by, "metric"))
 
 

@@ -114,11 +114,11 @@ def test_stable_partition(spark):
     blocks = {f"v{i:02}": i % 4 for i in range(32)}
     pairs = [(a, b, 5.0 if blocks[a] == blocks[b] else 0.4) for a, b in itertools.combinations(blocks, 2) if r.random() < (0.8 if blocks[a] == blocks[b] else 0.3)]
     graph = spark.createDataFrame(pairs, "one string, two string, wire double")
-    parts, tally = C.stable_partition(graph, 12, 1)
+    parts, tally = C.stable_partition(graph, 6, 1)
     found = {x["node"]: x["community"] for x in parts.collect()}
     assert all((found[a] == found[b]) == (blocks[a] == blocks[b]) for a, b in itertools.combinations(blocks, 2)) and all(found[v] == f"v{k:02}" for v, k in blocks.items())
     t = tally.first()
-    assert t["seeds"] == 12 and t["seeds_agreeing"] >= 6 and t["distinct_partitions"] <= 7 and t["communities"] == 4
+    assert t["seeds"] == 6 and t["seeds_agreeing"] >= 3 and t["distinct_partitions"] <= 4 and t["communities"] == 4
     m2 = 2 * sum(w for *_, w in pairs)
 
     def q(of):
@@ -133,7 +133,8 @@ def test_stable_partition(spark):
     ring = [(f"r{i:02}", f"r{(i + 1) % 24:02}", 1.0) for i in range(24)]  # many levels, several best partitions
     each, score = C.partitions_by_seed(spark.createDataFrame(ring, "one string, two string, wire double"), 5, 2)
     assert each.count() == 5 * 24 and all(x["modularity"] > 0.55 for x in score.collect())
-    assert C.stable_partition(graph.limit(0), 3, 1)[0].count() == 0 and C.stable_partition(graph.limit(0), 3, 1)[1].count() == 0
+    parts, tally = C.stable_partition(graph.limit(0), 3, 1)
+    assert parts.count() == tally.count() == 0
 
 
 def test_partner_test(spark):
