@@ -426,10 +426,11 @@ def class_ownership(spark, folder):
     return rounded(o.withColumn("wire", F.round("wire", 3)))
 
 
-@query("select case when src_role <> 'none' then src else dst end node, count(*) crossing_edges, round(sum(micro) / 1000000, 6) price, round(sum(micro) / 1000000 / count(*), 6) mean_length from crossed where crossing group by 1")
+@query("select case when src_role <> 'none' then src else dst end node, count(*) crossing_edges, round(sum(micro) / 1000000, 6) price, round(sum(micro) / 1000000 / count(*) + 1e-9, 6) mean_length from crossed where crossing group by 1")
 def crossing_price(spark, folder):
     """A36, A37's price, A38, T6."""
-    return rounded(E.crossing_edges_by_node(V.measured_edges(spark, folder)))
+    found = E.crossing_edges_by_node(V.measured_edges(spark, folder))
+    return rounded(found.withColumn("mean_length", F.col("mean_length") + 1e-9))  # halves of a millionth go up in SQL too
 
 
 @query("""select n.node, round(sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)), 6) partner_distance from nodes n left join
