@@ -155,16 +155,17 @@ def rich_at(edges: DataFrame, nodes: DataFrame, tops: list[float]) -> DataFrame:
     return rich.join(cuts, "side").where("richness >= cut").groupBy("node").agg(F.collect_list("i").alias("rich"))  # an entry a fraction
 
 
-def routes_by(layered_edges: DataFrame, rich: DataFrame, by: str) -> DataFrame:
-    """(by, i, role, routes): two-step routes between rich nodes through each role, in each graph of the column ``by`` and at
-    each fraction of ``rich_at``; role ``total`` is both. ``layered_edges`` has by, layer, src, dst. Paths aren't listed."""
+def routes_by(layered_edges: DataFrame, rich: DataFrame, by: str, *also: str) -> DataFrame:
+    """(by, *also, i, role, routes): two-step routes between rich nodes through each role, in each graph of the column ``by``
+    and at each fraction of ``rich_at``; role ``total`` is both. ``layered_edges`` has by, layer, src, dst and the columns
+    ``also``, which tell graphs apart too, each with its own rows of ``rich``. Paths aren't listed."""
     into = F.col("layer").isin("brain-descending", "vnc-ascending")
-    kept = layered_edges.select(by, "layer", F.when(into, F.col("dst")).otherwise(F.col("src")).alias("hub"), F.when(into, F.col("src")).otherwise(F.col("dst")).alias("node"), into.cast("int").alias("into"))
-    flagged = kept.join(rich, "node").withColumn("i", F.explode("rich"))
+    kept = layered_edges.select(by, *also, "layer", F.when(into, F.col("dst")).otherwise(F.col("src")).alias("hub"), F.when(into, F.col("src")).otherwise(F.col("dst")).alias("node"), into.cast("int").alias("into"))
+    flagged = kept.join(rich, ["node", *also]).withColumn("i", F.explode("rich"))
     role = F.when(F.col("layer").contains("descending"), "descending").otherwise("ascending")
-    per = flagged.groupBy(by, "i", "hub", role.alias("role")).agg((F.sum("into") * F.sum(1 - F.col("into"))).alias("routes"))
-    each = per.groupBy(by, "i", "role").agg(F.sum("routes").alias("routes"))
-    return each.unionByName(each.groupBy(by, "i").agg(F.sum("routes").alias("routes")).select(by, "i", F.lit("total").alias("role"), "routes"))
+    per = flagged.groupBy(by, *also, "i", "hub", role.alias("role")).agg((F.sum("into") * F.sum(1 - F.col("into"))).alias("routes"))
+    each = per.groupBy(by, *also, "i", "role").agg(F.sum("routes").alias("routes"))
+    return each.unionByName(each.groupBy(by, *also, "i").agg(F.sum("routes").alias("routes")).select(by, *also, "i", F.lit("total").alias("role"), "routes"))
 
 
 def route_threshold_curve(edges: DataFrame, nodes: DataFrame, tops: list[float]) -> DataFrame:

@@ -20,8 +20,11 @@ def stratified(frame: DataFrame, stratum: str, key: str, n: int, seed: int = SEE
 
 
 def count_matched(frame: DataFrame, n: int, *key: str, seed: int = SEED) -> DataFrame:
-    """A uniform subset of n rows (all, if there are fewer)."""
-    return frame.orderBy(draw(seed, *[F.col(k) for k in key]), *key).limit(n)
+    """A uniform subset of n rows (all, if there are fewer). Places come from the ranges of the whole order, so a large n is
+    never ordered in one task."""
+    rows = frame.select(F.struct("*").alias("row"), F.lit(1).alias("one"))
+    keys = [F.col("row")[k] for k in key]
+    return running(rows, "one", draw(seed, *keys), *keys).where(F.col("nth") <= n).select("row.*")
 
 
 def cost_matched(edges: DataFrame, target: str, seed: int = SEED) -> DataFrame:
@@ -46,7 +49,8 @@ def non_edges(edges: DataFrame, nodes: DataFrame, count: int, seed: int = SEED)
         named = pairs.join(numbered.select(F.col("i").alias("a"), F.col("node").alias("src")), "a").join(numbered.select(F.col("i").alias("b"), F.col("node").alias("dst")), "b")
         first = checkpointed(named.groupBy("src", "dst").agg(F.min("id").alias("id")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
         if first.count() >= count:
-            return first.orderBy("id").limit(count).select("src", "dst")
+            # As many ids in ascending order as asked: places by ranges of ids, not one ordered list of them.
+            return running(first.withColumn("one", F.lit(1)), "one", F.col("id")).where(F.col("nth") <= count).select("src", "dst")
         tries *= 2
 
 

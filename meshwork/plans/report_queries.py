@@ -16,6 +16,7 @@ from meshwork.operators import flow
 from meshwork.operators import graph as G
 from meshwork.operators import link_model as M
 from meshwork.operators import regions as R
+from meshwork.operators import robustness
 from meshwork.operators import sampling as S
 from meshwork.operators import stats as T
 from meshwork.operators import swaps as W
@@ -369,6 +370,12 @@ def threshold_report(spark, folder):
     return sums.join(per.groupBy("fraction").agg(F.sum("routes").alias("routes")), "fraction").withColumn("wire", F.round("wire", 4))
 
 
+@query()
+def threshold_verdicts(spark, folder):
+    """Whether placement, routes and hubs hold at three input thresholds, forty draws of each null."""
+    return rounded(robustness.threshold_verdicts(V.measured_edges(spark, folder), V.fine_nodes(spark, folder), [0.01, 0.02, 0.05], 40, 40))
+
+
 @query("select 'edges' what, count(*)::double a, round(sum(micro) / 1000000, 4) b from mm union all select 'rich', count(*) filter (rich), 0 from rich")
 def concentration(spark, folder):
     """C3's and C6's first lines in one table: edges with their wire, rich nodes."""

@@ -15,6 +15,7 @@ from meshwork.operators import edges as E
 from meshwork.operators import graph as G
 from meshwork.operators import link_model as M
 from meshwork.operators import regions as R
+from meshwork.operators import robustness
 from meshwork.operators import sampling as S
 from meshwork.operators import swaps as W
 from meshwork.sources import sinks
@@ -202,6 +203,41 @@ def test_routes_of_several_graphs(spark):
         assert {k: got.get(k, 0) for k in want} == want and got["total"] == sum(want.values()) > 0
 
 
+def test_threshold_verdicts(spark):
+    """Each fraction's row equals that fraction's graph done alone, by the single-graph operators and by counting."""
+    from meshwork.sources.graph_views import with_ends
+
+    r = random.Random(16)
+    rank = {f"b{i}": ("none", "brain") for i in range(14)} | {f"v{i}": ("none", "vnc") for i in range(14)} | {f"d{i}": ("descending", None) for i in range(4)} | {f"a{i}": ("ascending", "brain") for i in range(4)} | {"x": ("none", None)}
+    at = {k: tuple(r.random() * 9 + 20 * (k[0] == "v") for _ in "xyz") for k in rank}
+    near = lambda a, b: math.dist(at[a], at[b]) < 14
+    rows = [(a, b, r.choice([0.01, 0.03, 0.2])) for a in rank for b in rank if "x" not in (a, b) and a != b and r.random() < (0.95 if rank[a][0] != rank[b][0] else 0.35 if near(a, b) else 0.05)]
+    nodes = spark.createDataFrame([(k, *v, *at[k]) for k, v in rank.items()], "node string, role string, compartment string, x double, y double, z double")
+    e = spark.createDataFrame(rows, "src string, dst string, input_fraction double")
+    measured = with_ends(e, nodes, ["role", "compartment", "x", "y", "z"]).withColumn("length", F.sqrt(sum((F.col(f"src_{k}") - F.col(f"dst_{k}")) ** 2 for k in "xyz")))
+    got = {(x["fraction"], x["finding"]): x for x in robustness.threshold_verdicts(measured, nodes, [0.1, 0.01, 0.5], 25, 12, 0.3, seed=5).collect()}
+    assert {k[1] for k in got} == {"placement", "hubs", "routes total", "routes descending", "routes ascending"} and len(got) == 15
+    for f in (0.01, 0.1):
+        part = measured.where(F.col("input_fraction") >= f)
+        kept = [x for x in rows if x[2] >= f]
+        one, null = got[f, "placement"], [x["wire"] for x in S.placement_null(part, nodes, 25, seed=5).collect()]
+        assert one["real"] == pytest.approx(sum(math.dist(at[a], at[b]) for a, b, _ in kept), abs=1e-3) and one["null_mean"] == pytest.approx(sum(null) / 25)
+        assert one["p"] == pytest.approx((1 + sum(x <= one["real"] for x in null)) / 26) and one["holds"] == (one["p"] < 0.05 and min(null) > one["real"])
+        want = {x["role"]: x["routes"] for x in E.route_counts(part, E.rich_mask(part, nodes, 0.3)).collect()}
+        assert {k: got[f, f"routes {k}"]["real"] for k in want} == want and got[f, "routes total"]["real"] == sum(want.values()) > 0
+        degree = {k: sum(k in x[:2] for x in kept) for k in rank}
+        cut = sorted(degree.values())
+        place = 0.9 * (len(cut) - 1)
+        cut = cut[int(place)] + (place - int(place)) * (cut[math.ceil(place)] - cut[int(place)])
+        t = [[sum((degree[k] >= cut) == h and (rank[k][0] != "none") == c for k in rank) for c in (True, False)] for h in (True, False)]
+        (a, b), (c, d) = t
+        p = sum(math.comb(a + c, i) * math.comb(b + d, a + b - i) for i in range(a, min(a + c, a + b) + 1)) / math.comb(len(rank), a + b)
+        hubs = got[f, "hubs"]
+        assert hubs["p"] == pytest.approx(p) and hubs["holds"] == (a * d > b * c and p < 0.05) and (hubs["real"] == pytest.approx(a * d / (b * c)) if b * c else hubs["real"] is None)
+    assert got[0.01, "placement"]["holds"] and got[0.01, "hubs"]["holds"]
+    assert not any(got[0.5, k]["holds"] for k in ("placement", "hubs", "routes total", "routes descending")) and got[0.5, "placement"]["real"] == 0 == got[0.5, "routes total"]["real"]
+
+
 def test_paths_and_metrics(spark):
     r = random.Random(5)
     pairs = [(a, b, float(r.randint(1, 9))) for a, b in itertools.combinations("abcdef", 2) if r.random() < 0.6]
@@ -284,6 +320,28 @@ def test_enrichment_has_the_hypergeometric_mean(spark):
     assert sorted(null) == sorted(x["share"] for x in S.enrichment_null(frame.repartition(3), 2000).collect())
 
 
+def test_samples_of_counted_places(spark):
+    """Samples of n rows and of n non-edges are the first by draw, whatever the partitions; too many asked is all or an error."""
+    rows = [(f"s{i % 23}", f"t{i // 23}", i) for i in range(300)]
+    table = spark.createDataFrame(rows, "src string, dst string, nth int")
+    keyed = table.withColumn("u", S.draw(4, F.col("src"), F.col("dst"))).collect()
+    want = {(x["src"], x["dst"]) for x in sorted(keyed, key=lambda x: (x["u"], x["src"], x["dst"]))[:120]}
+    for parts in (1, 7):
+        got = S.count_matched(table.repartition(parts), 120, "src", "dst", seed=4)
+        assert got.columns == table.columns and {(x["src"], x["dst"]) for x in got.collect()} == want
+    assert S.count_matched(table, 1000, "src", "dst").count() == 300 and S.count_matched(table, 0, "src", "dst").count() == 0
+    names = [f"k{i:02}" for i in range(12)]
+    nodes = spark.createDataFrame([(k,) for k in names], "node string")
+    edges = {(a, b) for a in names for b in names if a != b and (ord(a[2]) + ord(b[1])) % 3}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    free = 12 * 11 - len(edges)
+    for n in (5, free):
+        found = [tuple(x) for x in S.non_edges(frame, nodes, n, 8).collect()]
+        assert len(found) == len(set(found)) == n and not edges & set(found) and all(a != b for a, b in found)
+    with pytest.raises(ValueError, match="asked"):
+        S.non_edges(frame, nodes, free + 1, 8)
+
+
 def test_shift_and_nearest(spark):
     r = random.Random(1)
     logits = [r.gauss(-1, 2) for _ in range(500)]
