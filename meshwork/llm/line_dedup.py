@@ -19,6 +19,8 @@ from meshwork.llm.skew import with_groups
 from meshwork.llm.staging import partitions, staged
 
 WORDS, CELLS = 5, 1 << 14
+#: Bits of the bitmap that decides which lines are sent to be compared, 64 in a row of a broadcast table.
+BITS = 1 << 24
 #: White space between words other than the space; the line feed ends lines.
 OTHER_BLANKS = "\t\x0b\f\r"
 
@@ -33,17 +35,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("tag"), plain.alias("text")).where("doc is not null and text is not null")
 
 
-def _lines(docs: DataFrame, *others: str) -> DataFrame:
-    """(doc, tag, no, line, words) of each line with a word; ``line`` is the hash of its words."""
-    lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("no", "line"), *others).where("btrim(line) != ''")
-    words = lines.select("doc", "tag", "no", F.array_remove(F.split("line", " "), "").alias("words"), *others)
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, tag, no, line, words) of each line with a word: its words with one space between, and ``line``, their hash."""
+    lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("no", "given")).where("btrim(given) != ''")
+    apart = F.array_join(F.array_remove(F.split("given", " "), ""), " ")
+    words = lines.select("doc", "tag", "no", F.when(F.contains("given", F.lit("  ")), apart).otherwise(F.btrim("given")).alias("words"))
     return words.withColumn("line", F.xxhash64("words"))
 
 
 def _keys(words: str, rank: Column) -> Column:
-    """The tokens of an array of words as numbers in the common order, sorted: the rank of the first word's cell above, 55
-    bits of the shingle's hash below. ``rank`` is an array of CELLS numbers."""
-    hashes = F.transform(F.col(words), lambda w: F.xxhash64(w))
+    """The tokens of words with one space between as numbers in the common order, sorted: the rank of the first word's cell
+    above, 55 bits of the shingle's hash below. ``rank`` is an array of CELLS numbers."""
+    hashes = F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
         def token(first: Column, i: Column) -> Column:
@@ -116,16 +119,18 @@ def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     fits = lambda a, b: f"{den} * least({size(a)}, {size(b)}) >= {num} * greatest({size(a)}, {size(b)})"
     placed = lambda a, b: f"{den + num} * least({rest(a)}, {rest(b)}) >= {num} * ({size(a)} + {size(b)})"
 
-    sets = staged(_sets(docs, shared.select("line", "first.doc", "first.tag", "first.no").distinct(), rank), "line-sets")
+    of = lambda first: F.xxhash64(*[F.col(first)[c] for c in ("doc", "no", "tag")])
+    ends = [F.col("line").alias("later"), F.col("centre.line").alias("earlier"), of("first").alias("later_at"), of("centre.first").alias("earlier_at")]
     stars = shared.where("line != centre.line").where(fits("at", "centre.at")).where(placed("at", "centre.at"))
-    stars = staged(stars.select(F.col("line").alias("later"), F.col("centre.line").alias("earlier")).distinct(), "line-stars")
-    near = staged(_matches(stars, sets, num, den), "line-near")
+    stars = staged(stars.select(*ends).distinct(), "line-stars")
+    near = staged(_matches(stars, _sets(docs, stars, rank), num, den), "line-near")
 
     waiting = shared.drop("centre").join(near.select(F.col("later").alias("line")), "line", "left_anti").withColumnRenamed("line", "later")
     others = shared.select("key", F.col("line").alias("earlier"), F.col("first").alias("other_first"), F.col("at").alias("other_at"))
     pairs = waiting.join(others, "key").where("other_first < first").where(fits("at", "other_at")).where(placed("at", "other_at"))
-    pairs = pairs.select("later", "earlier").distinct().join(stars, ["later", "earlier"], "left_anti")
-    near = near.unionByName(_matches(pairs, sets, num, den))
+    pairs = pairs.select("later", "earlier", of("first").alias("later_at"), of("other_first").alias("earlier_at")).distinct()
+    pairs = staged(pairs.join(stars, ["later", "earlier"], "left_anti"), "line-pairs")
+    near = near.unionByName(_matches(pairs, _sets(docs, pairs, rank), num, den))
 
     where = firsts.select(F.col("line").alias("l"), "first")
     near = near.join(where.select(F.col("l").alias("earlier"), F.col("first").alias("e")), "earlier")
@@ -134,11 +139,18 @@ def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     return later.select(*result("", "equal", "first", F.lit(1.0))).unionByName(near.select(*result("first.", "near", "m.e", F.col("m.similarity"))))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rank: Column) -> DataFrame:
-    """(line, keys): the whole token sets of the lines at the places (doc, tag, no) in ``wanted``."""
-    per = wanted.groupBy("doc", "tag").agg(F.collect_set("no").alias("wanted"))  # at most the document's lines
-    lines = _lines(docs.join(per, ["doc", "tag"]), "wanted").where(F.array_contains("wanted", F.col("no")))
-    return lines.select("line", _keys("words", rank).alias("keys")).dropDuplicates(["line"])
+def _sets(docs: DataFrame, pairs: DataFrame, rank: Column) -> DataFrame:
+    """(line, keys): the whole token sets of the lines in ``pairs``, whose places are hashed in later_at and earlier_at.
+
+    Texts stay where they are: the wanted places mark a bitmap of a fixed size, lines whose bit is set go on, and of these
+    the ones that are wanted are kept. Other lines' words are never hashed.
+    """
+    wanted = staged(pairs.select(F.explode(F.array("later_at", "earlier_at")).alias("at")).distinct(), "line-wanted")
+    cell = F.shiftright(F.col("at").bitwiseAND(F.lit(BITS - 1)), 6)
+    marked = wanted.select(cell.alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("mask"))
+    lines = _lines(docs).withColumn("at", F.xxhash64("doc", "no", "tag")).withColumn("cell", cell).join(F.broadcast(marked), "cell")
+    lines = lines.where("shiftright(mask, cast(at & 63 as int)) & 1 = 1").select("at", "line", "words").join(wanted, "at", "left_semi")
+    return staged(lines.select("line", "words").dropDuplicates(["line"]).select("line", _keys("words", rank).alias("keys")), "line-sets")
 
 
 def without_repeated_lines(
