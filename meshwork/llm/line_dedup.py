@@ -149,7 +149,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, rank: Column) -> DataFrame:
     cell = F.shiftright(F.col("at").bitwiseAND(F.lit(BITS - 1)), 6)
     marked = wanted.select(cell.alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("mask"))
     lines = _lines(docs).withColumn("at", F.xxhash64("doc", "no", "tag")).withColumn("cell", cell).join(F.broadcast(marked), "cell")
-    lines = lines.where("shiftright(mask, cast(at & 63 as int)) & 1 = 1").select("at", "line", "words").join(wanted, "at", "left_semi")
+    lines = lines.where("shiftright(mask, cast(at & 63 as int)) & 1 = 1").select("at", "line", "words").join(wanted, "at")  # not a semi-join, which would be moved before the bitmap
     return staged(lines.select("line", "words").dropDuplicates(["line"]).select("line", _keys("words", rank).alias("keys")), "line-sets")
 
 
