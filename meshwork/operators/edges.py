@@ -186,9 +186,10 @@ def rich_club(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ran = running(seen, "n", -F.col("k")).select("k", F.col("upto").alias("n_from"), "n", "e")
     ran = running(ran, "e", -F.col("k")).select("k", "n_from", "n", F.col("upto").alias("e_from"), F.lag("k").over(Window.orderBy("k")).alias("below"))  # a row per degree that occurs
     # From the degree below up to k - 1, the nodes and edges above are those from k on; from the greatest on there are none.
-    spans = ran.select(F.explode(F.sequence(F.coalesce("below", F.lit(0)).cast("long"), F.col("k") - 1)).alias("k"), F.col("n_from").alias("nodes_above"), F.col("e_from").alias("edges_above"), F.col("k").alias("top")).where("k < top")
-    last = degree.agg(F.max("degree").cast("long").alias("k")).select("k", F.lit(0).cast("long").alias("nodes_above"), F.lit(0).cast("long").alias("edges_above"))
-    sums = spans.drop("top").unionByName(last)
+    # Isolated nodes are below no degree: their own, 0, opens no span.
+    spans = ran.where("k > 0").select(F.explode(F.sequence(F.coalesce("below", F.lit(0)).cast("long"), F.col("k") - 1)).alias("k"), F.col("n_from").alias("nodes_above"), F.col("e_from").alias("edges_above"))
+    last = degree.agg(F.max("degree").cast("long").alias("k")).select("k", F.lit(0).cast("long").alias("nodes_above"), F.lit(0).cast("long").alias("edges_above")).where("k is not null")
+    sums = spans.unionByName(last)
     n = F.col("nodes_above")
     return sums.withColumn("phi", F.when(n >= 2, F.col("edges_above") / (n * (n - 1))))
 

@@ -164,6 +164,16 @@ def test_routes_and_rich_club(spark):
         assert r["phi"] == (pytest.approx(inside / (len(above) * (len(above) - 1))) if len(above) > 1 else None)
 
 
+def test_rich_club_with_isolated_nodes(spark):
+    """Nodes without an edge are in no span and add no row below 0."""
+    nodes = spark.createDataFrame([(k,) for k in "abcde"], "node string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "src string, dst string")
+    got = sorted((r["k"], r["nodes_above"], r["edges_above"]) for r in E.rich_club(edges, nodes).collect())
+    assert got == [(0, 3, 3), (1, 3, 3), (2, 0, 0)]
+    assert [(r["k"], r["nodes_above"]) for r in E.rich_club(edges.where("false"), nodes).collect()] == [(0, 0)]
+    assert not E.rich_club(edges.where("false"), nodes.where("false")).collect()
+
+
 def test_pair_histogram_counts_every_pair(spark):
     r = random.Random(1)
     n = spark.createDataFrame([(str(i), r.random() * 100, r.random() * 100, 0.0, "brain" if i < 25 else "vnc") for i in range(40)], "node string, x double, y double, z double, compartment string")
