@@ -367,3 +367,15 @@ def test_documents(spark):
     twice = spark.createDataFrame([("k", 1), ("k", 2)], "key string, v int")
     with pytest.raises(Exception, match="not unique"):
         build.joined_once(twice.select("key").distinct(), twice, "key").collect()
+
+
+def test_document_differences_of_large_counts(spark, tmp_path):
+    """One part more is a difference, however many parts there are."""
+    from meshwork.plans.report_queries import document_differences
+
+    few = {"nation": "id n_nationkey, 0L n_regionkey", "supplier": "id s_suppkey, id s_nationkey", "customer": "id c_custkey, id c_nationkey"}
+    for name, columns in few.items():
+        spark.range(3).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(1_300_000).selectExpr("id p_partkey", "'Brand#11' p_brand", "'A' p_type").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(x) for x in document_differences(spark, str(tmp_path)).collect()}
+    assert got == {("kinds.P", "1300000", "1300001"), ("only", None, "x")}
