@@ -181,6 +181,24 @@ def test_pair_histogram_counts_every_pair(spark):
     assert got == {"brain": 600, "vnc": 210, "cross": 750}
 
 
+def test_pair_histogram_of_shared_places(spark):
+    """Nodes of one place, and without one, against all pairs; only points meet, and no side of the join is broadcast."""
+    r = random.Random(5)
+    spots = [tuple(r.random() * 100 for _ in range(3)) for _ in range(12)] + [(None, 1.0, 1.0)]
+    rows = [(str(i), *r.choice(spots), r.choice(["brain", "vnc", None])) for i in range(150)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0]:
+                at = None if a[1] is None or b[1] is None else int(math.dist(a[1:4], b[1:4]) // 20)
+                key = (at, (a[4] or "none") if a[4] == b[4] else "cross")
+                want[key] = want.get(key, 0) + 1
+    n = spark.createDataFrame(rows, "node string, x double, y double, z double, compartment string")
+    assert {(x["bin"], x["category"]): x["pairs"] for x in R.pair_histogram(n, 20.0).collect()} == want
+    plan = R.all_pairs(checkpointed(n, "n"), ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nulls_and_p_values(spark):
     null = spark.createDataFrame([(0.3,), (0.2,), (0.1,), (0.1,)], "v double")
     p = lambda real: S.summarized(null, "v", spark.createDataFrame([(real,)], "real double")).first()["p_lower"]
