@@ -186,7 +186,7 @@ RANDOM = f"row_number() over (order by {draw(str(SEED), 'src', 'dst')}, src, dst
 @query(f"select count(*) edges, sum(micro)::bigint micro from {TAKE.format(order=RANDOM)} where upto <= t or (upto - micro <= t and upto > t and abs(upto - t) < abs(t - (upto - micro)))")
 def cost_matched_sample(spark, folder):
     """R3, W6."""
-    return S.cost_matched(V.measured_edges(spark, folder), "total * 0.05D").agg(F.count("*").alias("edges"), F.sum("micro").alias("micro"))
+    return S.cost_matched(V.measured_edges(spark, folder).select("src", "dst", "length"), "total * 0.05D").agg(F.count("*").alias("edges"), F.sum("micro").alias("micro"))
 
 
 def _at(which: str) -> str:

@@ -310,3 +310,19 @@ def test_reports(spark):
     assert document(one=frame.select("k"), two=frame.select("v")).first()["one"] == '[{"k":"a"}]'
     with pytest.raises(Exception, match="broken"):
         build.checked(frame, F.col("v") > 2, "broken").collect()
+
+
+def test_views_shuffle_connections_once(spark, tmp_path):
+    """Edges of the views against plain ones, and their plans: no edge is sorted to be joined, connections are shuffled once."""
+    from meshwork.sources import graph_views as V
+
+    folder = "/root/testdata/sf0.001"
+    raw = build.aggregate_edges(V.connections(spark, folder).toDF("src", "dst", "weight"))
+    total = raw.groupBy("dst").agg(F.sum("weight").alias("all"))
+    want = raw.join(total, "dst").where("src != dst and weight / all >= 0.01")
+    assert sorted(map(tuple, V.fine_edges(spark, folder).select("src", "dst", "weight", "n_connections").collect())) == sorted(map(tuple, want.select("src", "dst", "weight", "n_connections").collect()))
+    plain = V.with_ends(V.fine_edges(spark, folder), V.fine_nodes(spark, folder), ["x", "role", "region"])
+    columns = ["src", "dst", "input_fraction", "src_x", "dst_x", "src_role", "dst_role", "src_region", "dst_region"]
+    assert sorted(map(tuple, V.measured_edges(spark, folder).select(*columns).collect()), key=repr) == sorted(map(tuple, plain.select(*columns).collect()), key=repr)
+    plan = V.fine_edges.__wrapped__(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "SortMergeJoin" not in plan  # lines, orders, connections
