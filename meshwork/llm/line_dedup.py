@@ -7,11 +7,16 @@ differ by a factor t at most (length filter), and what follows the shared token
 is left is verified on whole sets.
 
 A line needs one earlier match only. Equal lines are found by digest; then each line is compared with the earliest
-line under each of its prefix tokens; only lines without a match so far are compared with all others.
+line under each of its prefix tokens; only lines without a match so far are compared with others, a growing block of
+earlier lines under each token at a time, and leave at their first match. Before two lines become a pair, the bits in
+which their sketches differ must not be more than the tokens in which matches may (bitmap filter): each token turns one bit of a
+sketch over, so bits never differ in more places than sets do, and no match is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,10 @@ from meshwork.llm.staging import partitions, staged
 WORDS, CELLS = 5, 1 << 14
 #: Bits of the bitmap that decides which lines are sent to be compared, 64 in a row of a broadcast table.
 BITS = 1 << 24
+#: Numbers of 64 bits in a sketch.
+SKETCH = 8
+#: Earlier lines under a token that are looked at in the first round; each round has so many times more.
+BLOCK = 16
 #: White space between words other than the space; the line feed ends lines.
 OTHER_BLANKS = "\t\x0b\f\r"
 
@@ -123,14 +132,10 @@ def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     ends = [F.col("line").alias("later"), F.col("centre.line").alias("earlier"), of("first").alias("later_at"), of("centre.first").alias("earlier_at")]
     stars = shared.where("line != centre.line").where(fits("at", "centre.at")).where(placed("at", "centre.at"))
     stars = staged(stars.select(*ends).distinct(), "line-stars")
-    near = staged(_matches(stars, _sets(docs, stars, rank), num, den), "line-near")
+    wanted = stars.select(F.explode(F.array("later_at", "earlier_at")).alias("at"))
+    near = staged(_matches(stars, _sets(docs, wanted, rank), num, den), "line-near")
 
-    waiting = shared.drop("centre").join(near.select(F.col("later").alias("line")), "line", "left_anti").withColumnRenamed("line", "later")
-    others = shared.select("key", F.col("line").alias("earlier"), F.col("first").alias("other_first"), F.col("at").alias("other_at"))
-    pairs = waiting.join(others, "key").where("other_first < first").where(fits("at", "other_at")).where(placed("at", "other_at"))
-    pairs = pairs.select("later", "earlier", of("first").alias("later_at"), of("other_first").alias("earlier_at")).distinct()
-    pairs = staged(pairs.join(stars, ["later", "earlier"], "left_anti"), "line-pairs")
-    near = near.unionByName(_matches(pairs, _sets(docs, pairs, rank), num, den))
+    near = near.unionByName(_others(docs, shared, near, rank, num, den, of("first"), lambda a, b: f"{fits(a, b)} and {placed(a, b)}"))
 
     where = firsts.select(F.col("line").alias("l"), "first")
     near = near.join(where.select(F.col("l").alias("earlier"), F.col("first").alias("e")), "earlier")
@@ -139,13 +144,41 @@ def _repeated(docs: DataFrame, num: int, den: int) -> DataFrame:
     return later.select(*result("", "equal", "first", F.lit(1.0))).unionByName(near.select(*result("first.", "near", "m.e", F.col("m.similarity"))))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, rank: Column) -> DataFrame:
-    """(line, keys): the whole token sets of the lines in ``pairs``, whose places are hashed in later_at and earlier_at.
+def _others(docs: DataFrame, shared: DataFrame, near: DataFrame, rank: Column, num: int, den: int, place: Column, may: Callable[[str, str], str]) -> DataFrame:
+    """Matches (later, earlier, similarity) of lines that aren't in ``near`` with earlier lines other than the centres of their
+    tokens, one at least for each line that has any. ``place`` is the hash of a line's place, ``may`` the filter on two columns ``at``."""
+    under = Window.partitionBy("key")
+    rest = shared.where("line != centre.line").join(near.select("later", F.lit(False).alias("open")).distinct(), F.col("line") == F.col("later"), "left")
+    rest = rest.select("key", "line", "at", "first", F.coalesce("open", F.lit(True)).alias("open"))
+    rest = rest.withColumns({"nth": F.rank().over(under.orderBy("first")), "last": F.max(F.when(F.col("open"), F.col("first"))).over(under)})
+    # A line stays under a token if an open one comes after it there, or if it is open itself and another one comes before it.
+    rest = staged(rest.where("first < last or open and nth > 1").select("key", "line", "at", "nth", "open", place.alias("place")), "line-rest")
+    most = rest.where("open").agg(F.max("nth")).first()[0] or 0
+
+    sets = _sets(docs, rest.select(F.col("place").alias("at")), rank)
+    bits = [F.expr(f"aggregate(filter(keys, k -> shiftright(k, 6) & {SKETCH - 1} = {i}), 0L, (s, k) -> s ^ shiftleft(1L, cast(k & 63 as int)))").alias(f"s{i}") for i in range(SKETCH)]
+    drawn = staged(rest.drop("place").join(sets.select("line", *bits), "line"), "line-drawn")
+    differ = " + ".join(f"bit_count(s{i} ^ o{i})" for i in range(SKETCH))
+    alike = f"{den + num} * ({differ}) <= {den - num} * (shiftright(at, 32) + shiftright(other_at, 32))"
+    others = drawn.select("key", F.col("line").alias("earlier"), F.col("nth").alias("other_nth"), F.col("at").alias("other_at"), *[F.col(f"s{i}").alias(f"o{i}") for i in range(SKETCH)])
+    waiting, found, begin, end = drawn.where("open").drop("open").withColumnRenamed("line", "later"), near.limit(0), 1, BLOCK
+    while begin < most:
+        block = others.where((F.col("other_nth") >= begin) & (F.col("other_nth") < end))
+        pairs = waiting.where(F.col("nth") > begin).join(block, "key").where("other_nth < nth").where(may("at", "other_at")).where(alike)
+        pairs = staged(pairs.select("later", "earlier").distinct(), "line-pairs")
+        matches = staged(_matches(pairs, sets, num, den), "line-matches")
+        found, waiting = found.unionByName(matches), waiting.join(matches.select("later"), "later", "left_anti")
+        begin, end = end, end * BLOCK
+    return found
+
+
+def _sets(docs: DataFrame, places: DataFrame, rank: Column) -> DataFrame:
+    """(line, keys): the whole token sets of the lines whose places are hashed in ``places`` (at).
 
     Texts stay where they are: the wanted places mark a bitmap of a fixed size, lines whose bit is set go on, and of these
     the ones that are wanted are kept. Other lines' words are never hashed.
     """
-    wanted = staged(pairs.select(F.explode(F.array("later_at", "earlier_at")).alias("at")).distinct(), "line-wanted")
+    wanted = staged(places.select("at").distinct(), "line-wanted")
     cell = F.shiftright(F.col("at").bitwiseAND(F.lit(BITS - 1)), 6)
     marked = wanted.select(cell.alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("mask"))
     lines = _lines(docs).withColumn("at", F.xxhash64("doc", "no", "tag")).withColumn("cell", cell).join(F.broadcast(marked), "cell")

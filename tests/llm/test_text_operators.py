@@ -357,6 +357,31 @@ def test_common_lines_stay_in_place(spark):
     assert {(x[0], x[1]): x[2] for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()} == want
 
 
+def test_lines_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    """Hundreds of unlike lines under common tokens are not all paired; matches in far blocks under a token are found."""
+    r = random.Random(5)
+    shared = " ".join(f"p{k}" for k in range(22))
+    own = lambda: " ".join(f"r{r.randrange(8)}" for _ in range(30))
+    lines = [f"{shared} {own()}" for _ in range(400)]
+    for k in (30, 150, 290, 390):  # near copies of lines that are no token's first
+        w = lines[k].split(" ")
+        w[-2] = "changed"
+        lines.append(" ".join(w))
+    counts = []
+
+    def counted(frame, name, staged=line_dedup.staged):
+        out = staged(frame, name)
+        if name == "line-pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    rows = list(enumerate(lines))
+    got = {(x[0], x[1]): x[2] for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) and {(400 + i, 0) for i in range(4)} <= set(got)
+    assert sum(counts) < 4 * len(rows)
+
+
 def test_license_scan(spark, docs, clashing):
     mit = license_scan.KNOWN["MIT"]
     rows = [(1, mit), (2, mit.upper().replace("COPYRIGHT (C) <YEAR> <HOLDER>", "Copyright 2020 Someone\n(c) 2021 Other")), (3, mit.replace("sublicense", "sub-license").replace('"', "'")), (4, mit + " more"), (5, None), (6, ""), (7, "©"), (8, mit)]
