@@ -415,3 +415,49 @@ def test_partner_draws_are_not_shuffled(spark, monkeypatch):
     assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0][: plans[0].index("Generate")]
     # n00 is at 0; of the 29 other nodes 9 are there, 10 at 1 and 10 at 2. n01 has one partner and is at 1: 19 others are 1 away.
     assert per["n00"]["null_mean"] == pytest.approx(30 / 29, abs=0.05) and per["n01"]["null_mean"] == pytest.approx(20 / 29, abs=0.1)
+
+
+def test_traded_graphs(spark):
+    """Trades keep degrees and simple graphs, leave groups apart, cross blocks, and bring up all graphs of the degrees alike."""
+    from collections import Counter
+
+    from meshwork.operators import trades
+
+    # Targets 0 to 2 under three sources, one each in group p (6 graphs), two each in q (6 graphs too).
+    rows = [("p", f"s{i}", i) for i in range(3)] + [("q", f"s{i}", j) for i in range(3) for j in range(3) if i != j]
+    small = trades.traded(spark.createDataFrame(rows, "k string, src string, dst long"), 600, 4, ("k",)).collect()
+    for k, size in (("p", 1), ("q", 2)):
+        lists = sorted((x["src"], x["ends"]) for x in small if x["k"] == k)
+        graphs = [tuple(tuple(sorted(ends[d * size : (d + 1) * size])) for _, ends in lists) for d in range(601)]
+        assert graphs[0] == tuple(tuple(sorted(r[2] for r in rows if r[:2] == (k, s))) for s, _ in lists)
+        times = Counter(graphs[1:])
+        assert len(times) == 6 and all(60 < n < 140 for n in times.values())
+    # Sources outnumber a block.
+    r, was = random.Random(3), trades.BLOCK
+    wide = sorted({(f"s{r.randrange(40):02}", r.randrange(60)) for _ in range(500)})
+    trades.BLOCK = 64
+    try:
+        got = trades.traded(spark.createDataFrame(wide, "src string, dst int"), 4, 1).collect()
+    finally:
+        trades.BLOCK = was
+    for d in range(5):
+        edges = [(x["src"], t) for x in got for t in x["ends"][d * len(x["ends"]) // 5 : (d + 1) * len(x["ends"]) // 5]]
+        assert len(set(edges)) == len(wide) and all(Counter(e[i] for e in edges) == Counter(e[i] for e in wide) for i in (0, 1))
+        assert set(edges) == set(wide) if not d else len(set(edges) & set(wide)) < len(wide) / 2
+    assert not trades.traded(spark.createDataFrame([], "src string, dst int"), 3, 1).collect()
+
+
+def test_route_nulls(spark):
+    """Routes of the given graph are those of ``routes_by``; those of the draws come from graphs of the same degrees."""
+    from meshwork.operators import trades
+
+    r = random.Random(8)
+    rows = [(g, layer, a, b) for g in (1, 2) for layer, one, two in (("brain-descending", "b", "d"), ("descending-vnc", "d", "v"), ("vnc-ascending", "v", "a"), ("ascending-brain", "a", "b")) for a in (f"{one}{i}" for i in range(8)) for b in (f"{two}{i}" for i in range(8)) if r.random() < 0.4]
+    layers = spark.createDataFrame(rows, "g int, layer string, src string, dst string")
+    rich = {(g, f"{k}{i}"): [x for x in (0, 1) if i < (5, 2)[x]] for g in (1, 2) for k in "bv" for i in range(8)}
+    rich = spark.createDataFrame([(g, n, at) for (g, n), at in rich.items() if at], "g int, node string, rich array<int>")
+    got = {(x["g"], x["draw"], x["i"], x["role"]): x["routes"] for x in trades.route_nulls(layers, rich, [0.5, 0.2], 30, 2, ("g",)).collect()}
+    want = {(x["g"], 0, x["i"], x["role"]): x["routes"] for x in E.routes_by(layers.withColumn("draw", F.lit(0)), rich, "draw", "g").collect()}
+    assert len(want) == 12 and {k: v for k, v in got.items() if k[1] == 0} == want
+    assert len(got) == 12 * 31 and all(len({got[g, d, 0, "total"] for d in range(1, 31)}) > 5 for g in (1, 2))
+    assert all(got[g, d, i, "total"] == got[g, d, i, "descending"] + got[g, d, i, "ascending"] for g in (1, 2) for d in range(31) for i in (0, 1))
