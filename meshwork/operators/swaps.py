@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance, draw
-from meshwork.sources.sinks import checkpointed
+from meshwork.sources.sinks import bucketed, checkpointed
 
 #: Nodes of a range in which a round looks for partners.
 PAIRED = 4096
@@ -22,14 +22,14 @@ def _micro(length: Column) -> Column:
 
 
 def _proposals(places: DataFrame, group: str, seed: int, turn: int, ranges: int) -> DataFrame:
-    """(node, swap, to_x, to_y, to_z, partner): disjoint pairs of movable nodes of a group, neighbours in a random order that is
+    """(node, partner, a_x to a_z, to_x to to_z, swap): disjoint pairs of movable nodes of a group, neighbours in a random order that is
     cut into ranges; a swap is named by its smaller node."""
     drawn = places.where("movable").withColumn("u", draw(seed, turn, F.col("node"))).withColumn("bucket", F.floor(F.col("u") * ranges))
     order = Window.partitionBy(group, "bucket").orderBy("u", "node")  # about PAIRED nodes
     numbered = drawn.withColumn("i", F.row_number().over(order) - 1)
     pair = Window.partitionBy(group, "bucket", F.expr("i div 2")).orderBy("i")
     other = lambda c: F.coalesce(F.lead(c).over(pair), F.lag(c).over(pair))
-    both = numbered.select("node", other("node").alias("partner"), *[other(k).alias(f"to_{k}") for k in "xyz"]).where("partner is not null")
+    both = numbered.select("node", other("node").alias("partner"), *[F.col(k).alias(f"a_{k}") for k in "xyz"], *[other(k).alias(f"to_{k}") for k in "xyz"]).where("partner is not null")
     return both.withColumn("swap", F.least("node", "partner"))
 
 
@@ -45,7 +45,13 @@ def greedy_swaps(edges: DataFrame, nodes: DataFrame, group: str, rounds: int, se
     places = checkpointed(nodes.select("node", "x", "y", "z", group, (F.coalesce("movable", F.lit(False)) & F.col(group).isNotNull() & F.col("x").isNotNull()).alias("movable")), "places")
     at = lambda frame, name, prefix: frame.select(F.col("node").alias(name), *[F.col(k).alias(f"{prefix}{k}") for k in "xyz"])
     kept = checkpointed(edges.where("src != dst").join(places.where("x is not null").select(F.col("node").alias("src")), "src", "left_semi").join(places.where("x is not null").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "kept")
-    ends = checkpointed(kept.select("src", "dst").unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).toDF("node", "other"), "incident")
+    # Only movable nodes change lengths. An end that stays has the same place in all rounds, so it is looked up once; both tables
+    # lie in buckets by the end that a round looks up, and rounds shuffle nodes, not edges.
+    both = kept.select("src", "dst").unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).toDF("node", "other")
+    both = both.join(places.where("movable").select("node"), "node", "left_semi").join(places.select(F.col("node").alias("other"), F.col("movable").alias("moves"), *[F.col(k).alias(f"b_{k}") for k in "xyz"]), "other")
+    both = checkpointed(both, "incident")
+    still = bucketed(both.where("not moves").select("node", "b_x", "b_y", "b_z"), "node", "still")
+    loose = bucketed(both.where("moves").select("node", "other"), "other", "loose")
     placed = lambda p: kept.join(at(p, "src", "a_"), "src").join(at(p, "dst", "b_"), "dst").agg(F.coalesce(F.sum(_micro(distance("a_", "b_"))), F.lit(0)).alias("c")).first()["c"]
     cost = start = placed(places)
     ranges = max(1, -(-places.where("movable").count() // PAIRED))
@@ -53,12 +59,13 @@ def greedy_swaps(edges: DataFrame, nodes: DataFrame, group: str, rounds: int, se
     for turn in range(1, rounds + 1):
         moved = checkpointed(_proposals(places, group, seed, turn, ranges), "proposals")
         # Edges of a moved node: its length before and after; an edge between the two partners keeps its length.
-        near = ends.join(moved, "node").where("other != partner").join(at(places, "node", "a_"), "node").join(at(places, "other", "b_"), "other")
+        near = still.join(moved, "node").select("swap", *[f"{p}{k}" for p in ("a_", "to_", "b_") for k in "xyz"])
+        near = near.unionByName(loose.join(at(places, "other", "b_"), "other").join(moved, "node").where("other != partner").select(*near.columns))
         change = near.groupBy("swap").agg(F.sum(_micro(distance("to_", "b_")) - _micro(distance("a_", "b_"))).alias("change"))
         better = checkpointed(change.where("change < 0").withColumn("u", draw(seed, "rank", turn, F.col("swap"))), "better")
         named = moved.join(better, "swap").select("node", "swap", "u")
         # A swap stays if it comes before all those that an edge joins it with.
-        meets = ends.join(named, "node").join(named.select(F.col("node").alias("other"), F.col("swap").alias("swap2"), F.col("u").alias("u2")), "other").where("swap != swap2")
+        meets = loose.join(named.select(F.col("node").alias("other"), F.col("swap").alias("swap2"), F.col("u").alias("u2")), "other").join(named, "node").where("swap != swap2")
         beaten = meets.where(F.struct("u2", "swap2") < F.struct("u", "swap")).select("swap").distinct()
         taken = checkpointed(better.join(beaten, "swap", "left_anti"), "taken")
         to = moved.join(taken.select("swap"), "swap", "left_semi").select("node", "to_x", "to_y", "to_z")

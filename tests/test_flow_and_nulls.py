@@ -461,3 +461,14 @@ def test_route_nulls(spark):
     assert len(want) == 12 and {k: v for k, v in got.items() if k[1] == 0} == want
     assert len(got) == 12 * 31 and all(len({got[g, d, 0, "total"] for d in range(1, 31)}) > 5 for g in (1, 2))
     assert all(got[g, d, i, "total"] == got[g, d, i, "descending"] + got[g, d, i, "ascending"] for g in (1, 2) for d in range(31) for i in (0, 1))
+
+
+def test_bucketed(spark):
+    """A join on the bucket column shuffles the other table alone."""
+    rows = spark.range(40).select((F.col("id") % 7).cast("string").alias("node"), "id")
+    table = sinks.bucketed(rows, "node")
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    joined = table.join(rows.select("node", F.col("id").alias("other")).hint("merge"), "node")
+    assert joined.count() == sum(sum(i % 7 == k for i in range(40)) ** 2 for k in range(7))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
