@@ -19,11 +19,16 @@ def combine_edges(*partials: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sum("n_connections").alias("n_connections"))
 
 
-def build_graph(edges: DataFrame, fraction: float) -> DataFrame:
-    """Edges that carry at least ``fraction`` of their target's input. Loops and weak edges count in the input, then go."""
+def edges_with_totals(edges: DataFrame, fraction: float) -> DataFrame:
+    """Edges that carry at least ``fraction`` of ``total``, their target's input. Loops and weak edges count in it, then go."""
     total = F.sum("weight").over(Window.partitionBy("dst"))  # not a join, which would make the edges twice
-    shared = edges.where("dst is not null").withColumn("input_fraction", F.col("weight") / total)
-    return shared.where((F.col("src") != F.col("dst")) & (F.col("input_fraction") >= fraction)).select(*edges.columns, "input_fraction")
+    shared = edges.where("dst is not null").withColumn("total", total)
+    return shared.where((F.col("src") != F.col("dst")) & (F.col("weight") / F.col("total") >= fraction))
+
+
+def build_graph(edges: DataFrame, fraction: float) -> DataFrame:
+    """``edges_with_totals`` with the share of the target's input in place of the total."""
+    return edges_with_totals(edges, fraction).select(*edges.columns, (F.col("weight") / F.col("total")).alias("input_fraction"))
 
 
 def threshold_sweep(edges: DataFrame, fractions: list[float]) -> DataFrame:

@@ -326,3 +326,23 @@ def test_views_shuffle_connections_once(spark, tmp_path):
     assert sorted(map(tuple, V.measured_edges(spark, folder).select(*columns).collect()), key=repr) == sorted(map(tuple, plain.select(*columns).collect()), key=repr)
     plan = V.fine_edges.__wrapped__(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 3 and "SortMergeJoin" not in plan  # lines, orders, connections
+
+
+def test_measured_edges_travel_as_numbers(spark):
+    """No text and no place of an end is shuffled with the edges; all columns of both ends are those of the nodes."""
+    from meshwork.sources import graph_views as V
+
+    folder, kept = "/root/testdata/sf0.001", ["compartment", "role", "superclass", "x", "y", "z", "region", "side", "cell_type"]
+    found = V.measured_edges.__wrapped__(spark, folder, extra=("side", "cell_type"))
+
+    def exchanges(plan):
+        children = plan.children()
+        below = [plan.inputPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [children.apply(i) for i in range(children.size())]
+        return ([plan] if plan.nodeName() == "Exchange" else []) + [e for child in below for e in exchanges(child)]
+
+    moved = [{e.output().apply(i).name(): e.output().apply(i).dataType().typeName() for i in range(e.output().size())} for e in exchanges(found._jdf.queryExecution().executedPlan())]
+    edges = [m for m in moved if {"src", "dst"} <= set(m)]
+    assert edges and all(set(m.values()) <= {"long", "integer", "byte"} for m in edges)
+    columns = ["src", "dst", "weight", "input_fraction", *[f"{end}_{c}" for end in ("src", "dst") for c in kept]]
+    want = V.with_ends(V.fine_edges(spark, folder), V.fine_nodes(spark, folder), kept).select(*columns)
+    assert sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
