@@ -6,6 +6,8 @@ before them, so no task holds the table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,39 @@ def quantiles(frame: DataFrame, value: str, fractions: dict[str, float], *by: st
     return found.select(*by, *[between(i).cast("double").alias(name) for i, name in enumerate(fractions)])
 
 
-def with_quantiles(sums: DataFrame, frame: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
-    """``sums``, which has a row per group ``by``, beside the quantiles of ``value`` in ``frame``."""
-    q = quantiles(frame, value, fractions, *by)
+def selected_quantiles(frame: DataFrame, value: str, fractions: dict[str, float], *by: str, cells: int = 4096) -> DataFrame:
+    """As ``quantiles``, for rows of a table, few groups and very many different values: ``frame`` is read three times, and only
+    rows in cells that hold a wanted place are shuffled.
+
+    Cells have equal widths from the least to the greatest value of a group; where that is no width (infinite values, NaN), the group
+    is one cell. Tables with a row per group, and per group and wanted place, are broadcast.
+    """
+    some = frame.where(F.col(value).isNotNull())
+    named = lambda t: t.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    spans = checkpointed(some.groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")), "spans")
+    width, v = F.col("_high") - F.col("_low"), F.col(value).cast("double")
+    cell = F.when((width > 0) & (width < F.lit(float("inf"))), F.floor((v - F.col("_low")) / width * cells)).otherwise(0).cast("long")
+    placed = some.join(F.broadcast(named(spans)), same or None).select(*by, value, cell.alias("_cell"))
+    counts = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_m"))
+    group = Window.partitionBy(*by)  # a row per cell
+    before = F.coalesce(F.sum("_m").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_cell", "_m", before.alias("_before"), F.sum("_m").over(group).alias("_n"))
+    places = {name: q * (F.col("_n") - 1) for name, q in fractions.items()}
+    wanted = F.array(*[f(at).cast("long") for at in places.values() for f in (F.floor, F.ceil)])
+    holding = checkpointed(counts.where(F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))), "cells")
+    meet = lambda rows: rows.join(F.broadcast(named(holding).withColumnRenamed("_cell", "_of_cell")), [*same, F.col("_cell") == F.col("_of_cell")])
+    ran = meet(cumulative(meet(placed).select(*by, "_cell", value), value, *by, "_cell"))
+    upto = F.col("_before") + F.col("upto")
+    at = lambda r: F.max(F.when((r >= upto - F.col("m")) & (r < upto), F.col(value)))
+    ends = [c for i, p in enumerate(places.values()) for c in (at(F.floor(p)).alias(f"_low{i}"), at(F.ceil(p)).alias(f"_high{i}"), F.max(p - F.floor(p)).alias(f"_part{i}"))]
+    between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+    return ran.groupBy(*by).agg(*ends).select(*by, *[between(i).cast("double").alias(name) for i, name in enumerate(fractions)])
+
+
+def with_quantiles(sums: DataFrame, frame: DataFrame, value: str, fractions: dict[str, float], *by: str, made: Callable[..., DataFrame] = quantiles) -> DataFrame:
+    """``sums``, which has a row per group ``by``, beside the quantiles of ``value`` in ``frame``, ``made`` by one of the two above."""
+    q = made(frame, value, fractions, *by)
     if not by:
         return sums.join(q)
     q = q.withColumnsRenamed({c: f"_by_{c}" for c in by})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.expressions import distance
-from meshwork.operators.analytic import quantiles, running, with_quantiles
+from meshwork.operators.analytic import quantiles, running, selected_quantiles, with_quantiles
 from meshwork.sources.sinks import checkpointed
 
 
@@ -216,10 +216,11 @@ def long_range(edges: DataFrame, least: float) -> DataFrame:
 
 
 def ownership(edges: DataFrame) -> DataFrame:
-    """By superclass: edges that touch it (once each), their wire and its share, mean and median length. Shares overlap."""
-    touched = checkpointed(edges.select("length", F.explode(F.array_distinct(F.array("src_superclass", "dst_superclass"))).alias("superclass")), "touched")
+    """By superclass: edges that touch it (once each), their wire and its share, mean and median length. Shares overlap. ``edges``
+    is read several times: a table, not what is still to be made."""
+    touched = edges.select("length", F.explode(F.array_distinct(F.array("src_superclass", "dst_superclass"))).alias("superclass"))
     sums = touched.groupBy("superclass").agg(F.count("*").alias("edges"), wire().alias("wire"))
-    sums = with_quantiles(sums, touched, "length", {"median": 0.5}, "superclass")
+    sums = with_quantiles(sums, touched, "length", {"median": 0.5}, "superclass", made=selected_quantiles)
     whole = edges.agg(wire().alias("all_wire"))
     return sums.join(F.broadcast(whole)).select("superclass", "edges", "wire", (F.col("wire") / F.col("all_wire")).alias("wire_share"), (F.col("wire") / F.col("edges")).alias("mean"), "median")
 

@@ -104,6 +104,32 @@ def test_quantiles_and_ranks(spark):
             assert x["rank"] == 1 + sum(v > x["v"] for v in peers) and x["share_below"] == pytest.approx(sum(v < x["v"] for v in peers) / max(len(peers) - 1, 1))
 
 
+def test_selected_quantiles(spark, monkeypatch):
+    """Against numpy, with nulls, groups of one value, infinite values and NaN; only rows near a wanted place are counted."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from meshwork.operators import analytic as A
+
+    r = random.Random(4)
+    rows = [(g, None if r.random() < 0.05 else r.gauss(0, 5)) for g in ("a", None) for _ in range(3000)] + [("one", 4.5), ("none", None)]
+    rows += [("same", 2.0)] * 5 + [("wide", v) for v in (1.0, 2.0, 7.0, float("inf"))] + [("nan", v) for v in (3.0, 1.0, float("nan"))]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    wanted = {"low": 0.0, "third": 1 / 3, "median": 0.5, "high": 0.75}
+    met, plain = [], A.cumulative
+    monkeypatch.setattr(A, "cumulative", lambda f, *a: met.append(f.count()) or plain(f, *a))
+    got = {row["g"]: tuple(row)[1:] for row in A.selected_quantiles(frame, "v", wanted, "g").collect()}
+    assert set(got) == {"a", None, "one", "same", "wide", "nan"} and met[0] < 100
+    for g in ("a", None, "one", "same"):
+        assert got[g] == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], list(wanted.values())))
+    assert got["wide"][:3] == pytest.approx((1.0, 2.0, 4.5)) and got["nan"][2] == 3.0
+    finite = frame.where("g is null or g = 'a'")
+    assert tuple(A.selected_quantiles(finite, "v", wanted).first()) == tuple(A.quantiles(finite, "v", wanted).first())
+    assert A.selected_quantiles(frame.limit(0), "v", wanted).first()["median"] is None
+    sums = A.with_quantiles(frame.groupBy("g").agg(F.count("*").alias("n")), frame, "v", {"median": 0.5}, "g", made=A.selected_quantiles).collect()
+    assert {x["g"]: x["median"] for x in sums if x["g"] in ("none", "one")} == {"none": None, "one": 4.5}
+
+
 def test_one_sided_and_two_sided_p(spark):
     from pyspark.sql import functions as F
 
