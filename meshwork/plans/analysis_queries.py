@@ -44,19 +44,19 @@ LONG = SHORT.replace("order by micro", "order by micro desc")
 @query(f"""select nth, round(nth / n, 6) edge_share, round(upto / total, 6) wire_share from (select {SHORT} from mm) where (nth - 1) % greatest(1, n // 400) = 0 or nth = n""")
 def lorenz_curve(spark, folder):
     """A22, W3, W10."""
-    return rounded(A.lorenz(V.measured_edges(spark, folder)))
+    return rounded(A.lorenz(V.edge_lengths(spark, folder)))
 
 
 @query(f"select max(n) n, round(1 - 2 / max(n) * (sum(upto / total) - (min(upto) / max(total) + 1) / 2), 6) gini from (select {SHORT} from mm)")
 def gini(spark, folder):
     """A22."""
-    return rounded(A.gini(V.measured_edges(spark, folder)))
+    return rounded(A.gini(V.edge_lengths(spark, folder)))
 
 
 @query(f"select share, nth, round(upto / total, 6) wire_share from (select {LONG} from mm), (values (0.01::double), (0.05::double), (0.1::double), (0.25::double), (0.5::double)) v(share) where nth = greatest(1, floor(share * n)::bigint)")
 def top_shares(spark, folder):
     """A22's top shares, T5."""
-    return rounded(A.top_shares(V.measured_edges(spark, folder), [0.01, 0.05, 0.1, 0.25, 0.5]))
+    return rounded(A.top_shares(V.edge_lengths(spark, folder), [0.01, 0.05, 0.1, 0.25, 0.5]))
 
 
 DECILE = "(select *, len(list_filter(q[2:10], lambda e: e <= length)) bin from mm, (select quantile_cont(length, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) q from mm))"
@@ -66,7 +66,7 @@ DECILE = "(select *, len(list_filter(q[2:10], lambda e: e <= length)) bin from m
  round(sum(weight) / (sum(micro) / 1000000), 6) density, round(sum(weight) / (sum(micro) / 1000000) / (select sum(weight) / (sum(micro) / 1000000) from mm), 6) ratio from {DECILE} group by 1""")
 def length_deciles(spark, folder):
     """A23, A24, N22."""
-    t = A.decile_table(V.measured_edges(spark, folder))
+    t = A.decile_table(V.edge_lengths(spark, folder))
     return rounded(t.withColumn("wire", F.round("wire", 5)))
 
 
@@ -86,14 +86,14 @@ TAKE = "(select *, total * 0.05 t from (select src, dst, micro, {order} from mm)
 @query(f"select count(*) edges, sum(micro)::bigint micro from {TAKE.format(order=LONG)} where upto <= t or (upto - micro <= t and upto > t and abs(upto - t) < abs(t - (upto - micro)))")
 def longest_until_cost(spark, folder):
     """Longest edges until 5 % of the wire."""
-    kept = A.take_until(A.longest_first(V.measured_edges(spark, folder)), "total * 0.05D")
+    kept = A.take_until(A.longest_first(V.edge_lengths(spark, folder)), "total * 0.05D")
     return kept.agg(F.count("*").alias("edges"), F.sum("micro").alias("micro"))
 
 
 @query(f"select share, case when share <= 0 then 0 else coalesce(min(nth) filter (upto >= share * total), max(n)) end::bigint cut from (select {LONG} from mm), (values (0.0::double), (0.1::double), (0.25::double), (0.5::double), (0.9::double)) v(share) group by 1")
 def cut_counts(spark, folder):
     """W7."""
-    c = A.cut_counts(A.longest_first(V.measured_edges(spark, folder)), [0.0, 0.1, 0.25, 0.5, 0.9])
+    c = A.cut_counts(A.longest_first(V.edge_lengths(spark, folder)), [0.0, 0.1, 0.25, 0.5, 0.9])
     return c.select("share", F.col("cut").cast("long").alias("cut"))
 
 
@@ -101,7 +101,7 @@ CURVES = "(select src_superclass as name, bin::double wire_removed, count(*) v0,
 
 
 def _curves(spark, folder):
-    e = V.measured_edges(spark, folder).groupBy(F.col("src_superclass").alias("name"), F.floor(F.col("length") / 100).alias("bin")).agg(F.count("*").alias("m"))
+    e = V.edge_lengths(spark, folder).groupBy(F.col("src_superclass").alias("name"), F.floor(F.col("length") / 100).alias("bin")).agg(F.count("*").alias("m"))
     return e.select("name", F.col("bin").cast("double").alias("wire_removed"), (F.lit(1000.0) / (1 + F.col("bin")) + F.col("m") % 7).alias("value"))
 
 
@@ -136,7 +136,7 @@ def rank_among_peers(spark, folder):
 @query("""select node, round(price / 1000000, 6) price from (select case when src_role <> 'none' then src else dst end node, sum(micro) price from crossed where crossing group by 1) order by price desc, node limit 15""")
 def dearest_nodes(spark, folder):
     """T6, T7, T3."""
-    p = E.crossing_edges_by_node(V.measured_edges(spark, folder))
+    p = E.crossing_edges_by_node(V.edge_lengths(spark, folder))
     return rounded(p.select("node", "price").orderBy(F.desc("price"), "node").limit(15))
 
 
@@ -186,7 +186,7 @@ RANDOM = f"row_number() over (order by {draw(str(SEED), 'src', 'dst')}, src, dst
 @query(f"select count(*) edges, sum(micro)::bigint micro from {TAKE.format(order=RANDOM)} where upto <= t or (upto - micro <= t and upto > t and abs(upto - t) < abs(t - (upto - micro)))")
 def cost_matched_sample(spark, folder):
     """R3, W6."""
-    return S.cost_matched(V.measured_edges(spark, folder).select("src", "dst", "length"), "total * 0.05D").agg(F.count("*").alias("edges"), F.sum("micro").alias("micro"))
+    return S.cost_matched(V.edge_lengths(spark, folder).select("src", "dst", "length"), "total * 0.05D").agg(F.count("*").alias("edges"), F.sum("micro").alias("micro"))
 
 
 def _at(which: str) -> str:
@@ -221,7 +221,7 @@ def placement_null(spark, folder):
 def placement_summary(spark, folder):
     """N4 to N7, N12."""
     n = V.fine_nodes(spark, folder).withColumn("compartment", F.coalesce("compartment", F.lit("?")))
-    real = V.measured_edges(spark, folder).agg(E.wire().alias("real"))
+    real = V.edge_lengths(spark, folder).agg(E.wire().alias("real"))
     s = S.summarized(S.placement_null(V.fine_edges(spark, folder), n, 20, "compartment"), "wire", real)
     return s.select(*[F.round(c, 4).alias(c) for c in ("real", "null_mean", "null_sd")], "draws", *[F.round(c, 6).alias(c) for c in ("ratio", "p_lower", "p_upper")])
 
@@ -266,27 +266,27 @@ def rank_sql(v: str) -> str:
 @query(f"select count(*) n, round(corr(a, c), 6) rho from (select {rank_sql('micro')} a, {rank_sql('weight')} c from mm)")
 def spearman_length_weight(spark, folder):
     """W5, N14."""
-    e = A.with_micro(V.measured_edges(spark, folder))
+    e = A.with_micro(V.edge_lengths(spark, folder))
     return rounded(T.spearman(e, "micro", "weight"))
 
 
 @query("select count(*) n, round(corr(log10(length), log10(weight)), 6) r from mm where length > 0 and weight > 0")
 def pearson_length_weight(spark, folder):
     """N15."""
-    return rounded(T.pearson_log10(V.measured_edges(spark, folder), "length", "weight"))
+    return rounded(T.pearson_log10(V.edge_lengths(spark, folder), "length", "weight"))
 
 
 @query(f"""select n, round((ab - ag * bg) / sqrt((1 - ag * ag) * (1 - bg * bg)), 6) rho from (select count(*) n, corr(a, c) ab, corr(a, g) ag, corr(c, g) bg from (select {rank_sql('micro')} a, {rank_sql('weight')} c, {rank_sql('n_connections')} g from mm))""")
 def partial_spearman(spark, folder):
     """N16."""
-    return rounded(T.partial_spearman(A.with_micro(V.measured_edges(spark, folder)), "micro", "weight", "n_connections"))
+    return rounded(T.partial_spearman(A.with_micro(V.edge_lengths(spark, folder)), "micro", "weight", "n_connections"))
 
 
 @query(f"""select n1, n2, rs - n1 * (n1 + 1) / 2 u, round((rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) z from
  (select count(*) filter (crossing)::double n1, count(*) filter (not crossing)::double n2, sum(r) filter (crossing) rs, (select sum(m * m * m - m)::double from (select count(*) m from crossed group by micro)) ties from (select crossing, {rank_sql('micro')} r from crossed))""")
 def mann_whitney_crossing(spark, folder):
     """N17."""
-    e = A.with_micro(V.measured_edges(spark, folder)).withColumn("crossing", E.crossing())
+    e = A.with_micro(V.edge_lengths(spark, folder)).withColumn("crossing", E.crossing())
     return rounded(T.mann_whitney(e, "micro", "crossing"))
 
 
@@ -320,26 +320,26 @@ def ks_degrees(spark, folder):
 @query("select count(*) tail, round(1 + count(*) / sum(ln(length / 300)), 6) alpha from mm where length >= 300")
 def power_law_tail(spark, folder):
     """N21's estimator."""
-    return rounded(T.power_law(V.measured_edges(spark, folder), "length", 300.0).select("tail", "alpha"))
+    return rounded(T.power_law(V.edge_lengths(spark, folder), "length", 300.0).select("tail", "alpha"))
 
 
 @query()
 def power_law_cutoff(spark, folder):
     """N21's scan."""
-    return T.power_law_scan(V.measured_edges(spark, folder), "length")
+    return T.power_law_scan(V.edge_lengths(spark, folder), "length")
 
 
 @query()
 def tail_comparison(spark, folder):
     """The power-law tail of the rounded lengths against lognormal, exponential and truncated power-law tails, by the
     normalised ratio of their likelihoods."""
-    return rounded(T.tail_comparison(V.measured_edges(spark, folder), "length"), 5)
+    return rounded(T.tail_comparison(V.edge_lengths(spark, folder), "length"), 5)
 
 
 @query()
 def correlation_tests(spark, folder):
     """P-values of the rank correlations and of the rank-sum test of crossing edges, longer than others."""
-    e = checkpointed(A.with_micro(V.measured_edges(spark, folder)).select("micro", "weight", "n_connections", E.crossing().alias("crossing")), "tests")
+    e = checkpointed(A.with_micro(V.edge_lengths(spark, folder)).select("micro", "weight", "n_connections", E.crossing().alias("crossing")), "tests")
     plain, partial, ranks = T.spearman(e, "micro", "weight"), T.partial_spearman(e, "micro", "weight", "n_connections"), T.mann_whitney(e, "micro", "crossing")
     p = T.t_p_value("rho", "n")
     one = lambda p: F.when(F.col("rho") > 0, p / 2).otherwise(1 - p / 2)
@@ -352,7 +352,7 @@ def correlation_tests(spark, folder):
 @query()
 def exponential_decay(spark, folder):
     """N20."""
-    n, e = V.fine_nodes(spark, folder), V.measured_edges(spark, folder)
+    n, e = V.fine_nodes(spark, folder), V.edge_lengths(spark, folder)
     return T.exponential_fit(R.connection_probability(R.pair_histogram(n, 20.0), R.edge_histogram(e, 20.0), 20.0, 1000), "bin_start", "probability")
 
 
@@ -438,7 +438,7 @@ def rewired_graph(spark, folder):
 
 def _regions(spark, folder):
     """Edges between areas, and the graph of the pairs of areas with more of them than by chance."""
-    edges = checkpointed(R.areas(V.measured_edges(spark, folder)).select("src_region", "dst_region", "length"), "areas")
+    edges = checkpointed(R.areas(V.edge_lengths(spark, folder)).select("src_region", "dst_region", "length"), "areas")
     return edges, checkpointed(R.region_graph(edges, dense=False), "area-graph")
 
 
@@ -585,7 +585,7 @@ def data_checks(spark, folder):
 @query("select 'wire' kpi, round(sum(micro) / 1000000, 3) value from mm union all select 'crossing share of edges', round(avg(crossing::int), 6) from crossed union all select 'crossing share of wire', round(sum(micro) filter (crossing) / sum(micro), 6) from crossed union all select 'top tenth share', round(max(upto / total), 6) from (select %s from mm) where nth = floor(0.1 * n)::bigint" % LONG)
 def headline(spark, folder):
     """Key figures in one table."""
-    e = V.measured_edges(spark, folder)
+    e = V.edge_lengths(spark, folder)
     m = A.with_micro(e).withColumn("crossing", E.crossing())
     kpi = lambda name, frame: frame.select(F.lit(name).alias("kpi"), F.col("value"))
     share = (F.sum(F.when(F.col("crossing"), F.col("micro")).otherwise(0)) / F.sum("micro")).alias("value")

@@ -137,7 +137,7 @@ def edge_ends(spark, folder):
 @query("select count(*) priced, count(n.node) found, count(*) - count(n.node) missing from (select distinct case when src_role <> 'none' then src else dst end node from crossed where crossing) p left join nodes n on n.node = p.node")
 def indexed_nodes(spark, folder):
     """Table keys looked up among the nodes, and how many are missing."""
-    priced = E.crossing_edges_by_node(V.measured_edges(spark, folder)).select("node")
+    priced = E.crossing_edges_by_node(V.edge_lengths(spark, folder)).select("node")
     known = V.fine_nodes(spark, folder).select("node", F.lit(True).alias("known"))
     return priced.join(known, "node", "left").agg(F.count("*").alias("priced"), F.count("known").alias("found"), F.count_if(F.col("known").isNull()).alias("missing"))
 
@@ -206,7 +206,7 @@ def group_table(spark, folder):
 @query()
 def community_table(spark, folder):
     """Communities of the region graph with the mean and sum of strength, compartments and members."""
-    e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
+    e, n = V.edge_lengths(spark, folder), V.fine_nodes(spark, folder)
     atlas = R.atlas(e, n).select("region", "compartment").join(R.region_strength(e).select("region", "strength"), "region")
     parts = C.communities(R.region_graph(e)).withColumnRenamed("node", "region")
     return R.group_table(atlas.join(parts, "region"), "community", "strength", "region")
@@ -289,13 +289,13 @@ def connective_price(spark, folder):
 @query()
 def inner_placement(spark, folder):
     """Each region's inner wire against placements dealt anew among its members, twenty draws."""
-    return rounded(S.inner_placement_null(V.measured_edges(spark, folder), V.fine_nodes(spark, folder), "region", 20, least_edges=10), 4)
+    return rounded(S.inner_placement_null(V.edge_lengths(spark, folder), V.fine_nodes(spark, folder), "region", 20, least_edges=10), 4)
 
 
 @query()
 def enrichment(spark, folder):
     """Rich partners of connective nodes against partners drawn anew, a thousand draws."""
-    e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
+    e, n = V.edge_lengths(spark, folder), V.fine_nodes(spark, folder)
     rich = sinks.checkpointed(E.rich_mask(e, n, 0.1), "rich")
     layers = sinks.checkpointed(E.layered(e, rich).select("layer", "hub", "rich"), "layers")
     side = F.when(F.col("layer").isin("brain-descending", "ascending-brain"), "brain").otherwise("vnc")
@@ -325,7 +325,7 @@ def rich_club_regime(spark, folder):
 def layer_route_null(spark, folder):
     """Routes through connective nodes by role and rich fraction against those in fifty graphs whose four
     layers are rewired one by one; seven fractions, all draws in one set of rounds."""
-    e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
+    e, n = V.edge_lengths(spark, folder), V.fine_nodes(spark, folder)
     tops = [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.5]
     layers = sinks.checkpointed(e.withColumn("layer", E.layer()).where("layer is not null").select("src", "dst", "layer"), "layers")
     rich = sinks.checkpointed(E.rich_at(e, n, tops), "rich")
@@ -361,7 +361,7 @@ def model_comparison(spark, folder):
 @query("select fraction, edges, round(wire, 4) wire, routes from (select f fraction, count(*) edges, sum(micro) / 1000000 wire from (select m.micro, f from mm m, (values (0.01::double), (0.02::double), (0.05::double)) v(f) where input_fraction >= f) group by 1) join (select f2, sum(i * o)::bigint routes from (select f2, hub, count(*) filter (layer in ('brain-descending', 'vnc-ascending')) i, count(*) filter (layer in ('descending-vnc', 'ascending-brain')) o from (select l.layer, case when l.layer in ('brain-descending', 'vnc-ascending') then dst else src end hub, f2 from lay0 l, (values (0.01::double), (0.02::double), (0.05::double)) w(f2) where l.layer is not null and input_fraction >= f2) group by 1, 2) group by 1) on f2 = fraction")
 def threshold_report(spark, folder):
     """Edges, wire and routes of the graph at stricter input thresholds."""
-    e = V.measured_edges(spark, folder)
+    e = V.edge_lengths(spark, folder)
     many = e.withColumn("fraction", F.explode(F.array(F.lit(0.01), F.lit(0.02), F.lit(0.05)))).where("input_fraction >= fraction")
     sums = many.groupBy("fraction").agg(F.count("*").alias("edges"), E.wire().alias("wire"))
     hubs = many.withColumn("layer", E.layer()).where("layer is not null").withColumn("into", F.col("layer").isin("brain-descending", "vnc-ascending"))
@@ -372,13 +372,13 @@ def threshold_report(spark, folder):
 @query()
 def threshold_verdicts(spark, folder):
     """Whether placement, routes and hubs hold at three input thresholds, forty draws of each null."""
-    return rounded(robustness.threshold_verdicts(V.measured_edges(spark, folder), V.fine_nodes(spark, folder), [0.01, 0.02, 0.05], 40, 40))
+    return rounded(robustness.threshold_verdicts(V.edge_lengths(spark, folder), V.fine_nodes(spark, folder), [0.01, 0.02, 0.05], 40, 40))
 
 
 @query("select 'edges' what, count(*)::double a, round(sum(micro) / 1000000, 4) b from mm union all select 'rich', count(*) filter (rich), 0 from rich")
 def concentration(spark, folder):
     """C3's and C6's first lines in one table: edges with their wire, rich nodes."""
-    e, n = V.measured_edges(spark, folder), V.fine_nodes(spark, folder)
+    e, n = V.edge_lengths(spark, folder), V.fine_nodes(spark, folder)
     one = e.agg(F.lit("edges").alias("what"), F.count("*").cast("double").alias("a"), F.round(E.wire(), 4).alias("b"))
     two = E.rich_mask(e, n, 0.1).agg(F.lit("rich").alias("what"), F.count_if("rich").cast("double").alias("a"), F.lit(0.0).alias("b"))
     return one.unionByName(two)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from meshwork.operators import graph as G
 from meshwork.operators import regions as R
 from meshwork.operators import sampling as S
 from meshwork.operators import stats as T
-from meshwork.sources.sinks import checkpointed, document, formatted, markdown
+from meshwork.sources.sinks import checkpointed, document, formatted, given_back, markdown
 
 
 def edge_table(spark, rows):
@@ -346,3 +347,32 @@ def test_measured_edges_travel_as_numbers(spark):
     columns = ["src", "dst", "weight", "input_fraction", *[f"{end}_{c}" for end in ("src", "dst") for c in kept]]
     want = V.with_ends(V.fine_edges(spark, folder), V.fine_nodes(spark, folder), kept).select(*columns)
     assert sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_edges_are_shuffled_once_by_source(spark):
+    """However large a table the planner would send, places of edges are looked up where the edges are; the table of edges is numbers."""
+    from meshwork.sources import graph_views as V
+
+    folder, name = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = V.measured_edges.__wrapped__(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert plan.count("Exchange hashpartitioning(src#") == 2 and "vec_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert {k for _, k in V._measured(spark, folder, 0.01).dtypes} <= {"bigint", "int", "double"}
+    assert V.edge_lengths(spark, folder).columns == [c for c in V.measured_edges(spark, folder).columns if c[4:] not in ("x", "y", "z")]
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before, name = tracker.shuffleStatuses().size(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    table = checkpointed(spark.range(100).repartition(5).groupBy((F.col("id") % 9).alias("k")).count())
+    assert table.count() == 9 and tracker.shuffleStatuses().size() <= before + 1  # that of the count
+    assert spark.conf.get(name) == was
+    files = table.inputFiles()
+    given_back(table)
+    assert not any(Path(f.removeprefix("file:")).exists() for f in (x.replace("///", "/") for x in files))
+    assert spark.read.parquet(files[0].rsplit("/", 1)[0]).count() == 0
