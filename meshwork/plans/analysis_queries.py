@@ -437,9 +437,9 @@ def rewired_graph(spark, folder):
 
 
 def _regions(spark, folder):
-    """Edges between areas, and the graph of the pairs of areas with more of them than by chance."""
-    edges = checkpointed(R.areas(V.edge_lengths(spark, folder)).select("src_region", "dst_region", "length"), "areas")
-    return edges, checkpointed(R.region_graph(edges, dense=False), "area-graph")
+    """Pairs of areas, and the graph of those with more edges than by chance. Edges are read once and added up, not kept."""
+    pairs = checkpointed(R.region_pairs(R.areas(V.edge_lengths(spark, folder))), "area-pairs")
+    return pairs, checkpointed(R.graph_of_pairs(pairs, dense=False), "area-graph")
 
 
 @query()
@@ -451,9 +451,9 @@ def stable_communities(spark, folder):
 @query()
 def region_communities(spark, folder):
     """The partition that most of a hundred seeds agree on."""
-    edges, graph = _regions(spark, folder)
+    pairs, graph = _regions(spark, folder)
     parts, _ = C.stable_partition(graph, 100, SEED)
-    return parts.join(R.region_strength(edges).select(F.col("region").alias("node"), "strength"), "node").groupBy("community").agg(F.count("*").alias("regions"), F.sum("strength").alias("strength"), F.sort_array(F.collect_list("node")).alias("members"))
+    return parts.join(R.strength_of_pairs(pairs).select(F.col("region").alias("node"), "strength"), "node").groupBy("community").agg(F.count("*").alias("regions"), F.sum("strength").alias("strength"), F.sort_array(F.collect_list("node")).alias("members"))
 
 
 #: Shares of the wire that schedules remove; the curves are compared at REFERENCE.

@@ -376,3 +376,18 @@ def test_written_tables_leave_no_shuffles(spark):
     given_back(table)
     assert not any(Path(f.removeprefix("file:")).exists() for f in (x.replace("///", "/") for x in files))
     assert spark.read.parquet(files[0].rsplit("/", 1)[0]).count() == 0
+
+
+def test_area_graphs_keep_no_edges(spark, monkeypatch):
+    """What is written for the area graph has a row a pair; strengths and the graph are those of the edges."""
+    from meshwork.plans import analysis_queries as Q
+    from meshwork.sources import graph_views as V
+
+    folder, written = "/root/testdata/sf0.001", []
+    edges = R.areas(V.edge_lengths(spark, folder))
+    monkeypatch.setattr(Q, "checkpointed", lambda frame, name: written.append(checkpointed(frame, name)) or written[-1])
+    pairs, graph = Q._regions(spark, folder)
+    areas = pairs.select("one").union(pairs.select("two")).distinct().count()
+    assert written and all(t.count() <= areas * (areas + 1) // 2 for t in written) and pairs.count() < edges.count()
+    rows = lambda t: sorted(map(tuple, t.collect()), key=repr)
+    assert rows(graph) == rows(R.region_graph(edges, dense=False)) and rows(R.strength_of_pairs(pairs)) == rows(R.region_strength(edges))
