@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +474,25 @@ def test_bucketed(spark):
     assert joined.count() == sum(sum(i % 7 == k for i in range(40)) ** 2 for k in range(7))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_draws_in_stretches_give_their_tables_back(spark, monkeypatch):
+    """Placements and rewired layers come in stretches of draws; what a stretch writes on the way is gone when it ends."""
+    from meshwork.operators import trades
+
+    folder = Path(sinks.shared_folder(spark).removeprefix("file:").replace("///", "/"))
+    full = lambda: {p.parent.name for p in folder.glob("*/*.parquet") if p.stat().st_size and pq.read_metadata(p).num_rows}
+    r = random.Random(9)
+    nodes = spark.createDataFrame([(f"n{i:02}", *(r.uniform(0, 50) for _ in "xyz")) for i in range(30)], "node string, x double, y double, z double")
+    edges = spark.createDataFrame([(f"n{r.randrange(30):02}", f"n{r.randrange(30):02}", i % 2) for i in range(80)], "src string, dst string, level int")
+    want = sorted(map(tuple, S.placement_null(edges, nodes, 20, by=("level",)).collect()))
+    layers = spark.createDataFrame([(layer, f"{one}{i}", f"{two}{j}") for layer, one, two in (("brain-descending", "b", "d"), ("descending-vnc", "d", "v")) for i in range(9) for j in range(9) if r.random() < 0.5], "layer string, src string, dst string")
+    rich = spark.createDataFrame([(f"{k}{i}", [0]) for k in "bv" for i in range(4)], "node string, rich array<int>")
+    real = E.routes_by(layers.withColumn("draw", F.lit(0)), rich, "draw").where("role = 'total'").first()["routes"]
+    monkeypatch.setattr(S, "CELLS", 1)
+    monkeypatch.setattr(trades, "CELLS", 1)
+    before = full()
+    assert sorted(map(tuple, S.placement_null(edges, nodes, 20, by=("level",)).collect())) == want
+    got = {x["draw"]: x["routes"] for x in trades.route_nulls(layers, rich, [0.5], 10, 3).where("role = 'total'").collect()}
+    assert set(got) == set(range(11)) and got[0] == real and len(set(got.values())) > 3
+    assert not {n.rsplit("-", 1)[0] for n in full() - before} & {"traded", "lists", "counts", "placed", "sizes"}
