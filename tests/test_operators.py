@@ -391,3 +391,19 @@ def test_area_graphs_keep_no_edges(spark, monkeypatch):
     assert written and all(t.count() <= areas * (areas + 1) // 2 for t in written) and pairs.count() < edges.count()
     rows = lambda t: sorted(map(tuple, t.collect()), key=repr)
     assert rows(graph) == rows(R.region_graph(edges, dense=False)) and rows(R.strength_of_pairs(pairs)) == rows(R.region_strength(edges))
+
+
+def test_pair_histogram_meets_places_once(spark, monkeypatch):
+    """In blocks of three places, with odd coordinates, against all pairs as Spark makes them; each unordered pair of places is made once."""
+    r = random.Random(11)
+    odd = [(None, 1.0, 1.0), (None, None, None), (float("nan"), 1.0, 1.0), (float("inf"), 0.0, 0.0), (1e30, 0.0, 0.0), (3e7, 0.0, 0.0)]
+    spots = [tuple(r.random() * 100 for _ in range(3)) for _ in range(14)] + odd
+    rows = [(str(i), *spots[i % len(spots)], r.choice(["brain", "vnc", None])) for i in range(130)] + [(None, 1.0, 1.0, 1.0, "brain")]
+    n = spark.createDataFrame(rows, "node string, x double, y double, z double, compartment string")
+    monkeypatch.setattr(R, "PLACES", (2, 3))
+    kind = F.when(F.col("src_c") == F.col("dst_c"), F.col("src_c")).otherwise("cross")
+    pairs = R.all_pairs(n.where("node is not null").withColumn("c", F.coalesce("compartment", F.lit("none"))), ["x", "y", "z", "c"])
+    want = pairs.groupBy(F.floor(X.distance("src_", "dst_") / 20.0).alias("bin"), kind.alias("category")).agg(F.count("*").alias("pairs"))
+    got = R.pair_histogram(n, 20.0)
+    assert sorted(map(tuple, got.select("bin", "category", "pairs").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
